@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL, by name. Queries without SQL are tested against brute force."""
 
-from . import mixing, url_filter, warc
+from . import mixing, packing, url_filter, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op4_mixing": mixing.query,
     "op6_url_filter": url_filter.query,
     "op10_warc": warc.query,
