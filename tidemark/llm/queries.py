@@ -1,11 +1,13 @@
 """Queries of this subpackage and their SQL, by name. Queries without SQL are tested against brute force."""
 
-from . import mixing, packing, url_filter, warc
+from . import mixing, packing, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
     "op4_mixing": mixing.query,
+    "op5_quality": quality.query,
     "op6_url_filter": url_filter.query,
+    "op8_token_files": token_files.query,
     "op10_warc": warc.query,
 }
 ORACLE_SQL = {
