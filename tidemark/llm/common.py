@@ -60,3 +60,31 @@ def lower_ascii(c: Column) -> Column:
 def n_words(text: Column) -> Column:
     """Number of runs of characters other than space and \\t \\n \\v \\f \\r; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+def components(edges: DataFrame, name: str = "components", keep_roots: bool = True) -> DataFrame:
+    """id, component: the smallest id reachable, for every id in the columns a and b of edges.
+
+    Large-star and small-star steps: each points the neighbours of an id at the smallest of them, so
+    the number of rounds grows with the logarithm of a component's size and no round makes more rows
+    than there are edges. Ids of either column may be hubs: their minima come from aggregates with
+    partial sums, and the joins back are plain equi-joins, which Spark splits where they are skewed.
+    """
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
+    now, last = written(pairs, name), None
+    while True:
+        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if mark == last:
+            break
+        last = mark
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        then = written(small.distinct(), name)
+        dropped(now)
+        now = then
+    out = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    roots = now.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
+    return out.unionByName(roots) if keep_roots else out

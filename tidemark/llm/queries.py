@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL, by name. Queries without SQL are tested against brute force."""
 
-from . import mixing, packing, quality, token_files, url_filter, warc
+from . import jaccard_join, mixing, packing, quality, token_files, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op3_jaccard_join": jaccard_join.query,
     "op4_mixing": mixing.query,
     "op5_quality": quality.query,
     "op6_url_filter": url_filter.query,
