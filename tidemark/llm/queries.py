@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL, by name. Queries without SQL are tested against brute force."""
 
-from . import embedding_dedup, jaccard_join, mixing, packing, quality, token_files, url_filter, warc
+from . import embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_files, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_url_filter": url_filter.query,
     "op7_embedding_dedup": embedding_dedup.query,
     "op8_token_files": token_files.query,
+    "op9_suffix_dedup": suffix_dedup.query,
     "op10_warc": warc.query,
 }
 ORACLE_SQL = {
