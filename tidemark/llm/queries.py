@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL, by name. Queries without SQL are tested against brute force."""
 
-from . import embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_files, url_filter, warc
+from . import embedding_dedup, html_text, jaccard_join, mixing, packing, quality, suffix_dedup, token_files, url_filter, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_html_text": html_text.query,
     "op3_jaccard_join": jaccard_join.query,
     "op4_mixing": mixing.query,
     "op5_quality": quality.query,
