@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -52,6 +53,16 @@ def dropped(df: DataFrame) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Ask for the deletion of shuffle files that no frame in use needs any longer.
+
+    Spark deletes them when the driver's garbage collection finds their frames gone, which by itself
+    may take half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z to a-z, all else unchanged."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

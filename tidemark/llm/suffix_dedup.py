@@ -21,6 +21,7 @@ from each other; nor do rows that share an id; ids must be integers; an empty ta
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +30,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import freed, written
 from .words import STEP, mixed, pieces, ragged, run_hashes, texts
 
 LENGTH, GRAM, BLOCK, NO_ID = 50, 16, 1 << 22, 2**63 - 1
-FIELDS = (("ids", np.int64), ("marks", np.int64), ("doc", np.uint32), ("start", np.int64), ("size", np.uint32), ("at", np.uint32))
+SEGMENTS, SPANS, DOCS = range(3)
 
 
 def eight(run: np.ndarray) -> np.ndarray:
@@ -96,37 +97,54 @@ def by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, low
 
 
+def packed(*arrays: np.ndarray) -> bytes:
+    """Whole numbers as differences, byte by byte of equal weight, compressed."""
+    planes = [np.diff(x.astype(np.int64), prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
+    return struct.pack(f"<{len(arrays) + 1}Q", len(arrays), *(len(x) for x in arrays)) + zstandard.compress(b"".join(planes), 1)
+
+
+def unpacked(data: bytes) -> list[np.ndarray]:
+    n = struct.unpack_from("<Q", data)[0]
+    sizes = struct.unpack_from(f"<{n}Q", data, 8)
+    flat = np.frombuffer(zstandard.decompress(data[8 + 8 * n :]), np.uint8)
+    ends = np.cumsum(np.array(sizes, np.int64) * 8)
+    return [np.cumsum(np.ascontiguousarray(flat[e - 8 * k : e].reshape(8, k).T).view("<i8").reshape(-1)) for e, k in zip(ends, sizes)]
+
+
 def cut_up(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
-    """Rows (bucket, known, arrays): segments by bucket, and as known those found removable here."""
+    """Rows (bucket, piece, kind, facts, text) of each piece, a stretch of consecutive documents.
 
-    def rows(bucket: int, known: bool, pick: np.ndarray, ids: np.ndarray, marks: np.ndarray, parts: tuple[np.ndarray, ...], run: np.ndarray, offsets: np.ndarray, press: zstandard.ZstdCompressor) -> list:
-        doc, first, size, at = (p[pick] for p in parts[:4])
-        used, own = np.unique(doc, return_inverse=True)
-        text = b"" if known else press.compress(run[ragged(first, size)].tobytes())
-        values = (ids[used], marks[used], own, first - offsets[doc], size, at)
-        return [bucket, known, *(v.astype(t).tobytes() for v, (_, t) in zip(values, FIELDS)), text]
+    SEGMENTS by bucket; SPANS, of what is found removable here; DOCS, the ids and marks that the
+    numbers of documents in the other rows stand for.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for whole in batches:
             for batch in pieces(whole, "_text", BLOCK):
                 run, offsets = texts(batch.column("_text"))
-                ids = batch.column("_id").fill_null(NO_ID).to_numpy(zero_copy_only=False)
+                ids = batch.column("_id").to_numpy(zero_copy_only=False)
                 marks = batch.column("_mark").to_numpy(zero_copy_only=False)
-                parts = segments(run, offsets, length)
-                which, low = by_key(parts[5], ids[parts[0]])
-                known = ids[parts[0]] > low[which]
-                bucket = (parts[4] % np.uint64(n_buckets)).astype(np.int64)
+                # the same for the same documents, so a task that runs again gives the same rows
+                piece = int(mixed((ids.view(np.uint64) * STEP ^ marks.view(np.uint64)) + np.arange(len(ids), dtype=np.uint64)).sum(dtype=np.uint64)) - 2**63
+                doc, first, size, at, grams, keys = segments(run, offsets, length)
+                which, low = by_key(keys, ids[doc])
+                known = ids[doc] > low[which]
+                start, side = first - offsets[doc], abs(piece) % n_buckets
+                rows = [(side, piece, DOCS, packed(ids, marks), b"")]
+                if known.any():
+                    rows.append((side, piece, SPANS, packed(doc[known], start[known], size[known] - length + 1), b""))
+                bucket = (grams % np.uint64(n_buckets)).astype(np.int64)
                 order = np.flatnonzero(~known)[np.argsort(bucket[~known], kind="stable")]
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
-                args = (ids, marks, parts, run, offsets, press)
-                out = [rows(k, False, order[x:y], *args) for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-                if known.any():
-                    out.append(rows(int(mixed(marks[:1].view(np.uint64))[0] % np.uint64(n_buckets)), True, np.flatnonzero(known), *args))
-                types = [pa.int64(), pa.bool_(), *[pa.binary()] * (len(FIELDS) + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["bucket", "known", *(f for f, _ in FIELDS), "text"])
+                for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+                    if y > x:
+                        pick = order[x:y]
+                        used, own = np.unique(doc[pick], return_inverse=True)
+                        rows.append((k, piece, SEGMENTS, packed(used, ids[used], own, start[pick], size[pick], at[pick]), press.compress(run[ragged(first[pick], size[pick])].tobytes())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "piece", "kind", "facts", "text"])
 
-    return docs.mapInArrow(cut, "bucket long, known boolean, " + ", ".join(f"{f} binary" for f, _ in FIELDS) + ", text binary")
+    return docs.mapInArrow(cut, "bucket long, piece long, kind int, facts binary, text binary")
 
 
 def suffix_array(words: np.ndarray, left: np.ndarray) -> np.ndarray:
@@ -252,27 +270,27 @@ def settled(group: np.ndarray, ids: np.ndarray, sizes: np.ndarray, run: np.ndarr
     return np.concatenate([np.zeros(0, bool), *out])
 
 
-def found_in(table: pa.Table, length: int, most: int, n_out: int) -> pa.Table:
-    """Removable passages of a bucket as rows (bucket, ids, marks, start, count) by document."""
-    cols = {f: [] for f, _ in FIELDS}
-    known, run, base = [], [], 0
-    for k in range(len(table)):
-        got = {f: np.frombuffer(table.column(f)[k].as_buffer(), t) for f, t in FIELDS}
-        for f in ("ids", "marks"):
-            cols[f].append(got[f])
-        cols["doc"].append(got["doc"].astype(np.int64) + base)
-        for f in ("start", "size", "at"):
-            cols[f].append(got[f].astype(np.int64))
-        base += len(got["ids"])
-        known.append(np.full(len(got["doc"]), table.column("known")[k].as_py()))
-        if not known[-1].any():
-            run.append(np.frombuffer(zstandard.decompress(table.column("text")[k].as_py()), np.uint8))
-    c = {f: np.concatenate(v) for f, v in cols.items()}
-    known = np.concatenate(known)
-    doc, start, count = [c["doc"][known]], [c["start"][known]], [c["size"][known] - length + 1]
-    doc_of, begin, sizes, at = (c[f][~known] for f in ("doc", "start", "size", "at"))
-    ids = c["ids"][doc_of]
-    run = np.concatenate([np.zeros(0, np.uint8), *run])
+def found_in(table: pa.Table, length: int, most: int) -> pa.Table:
+    """Rows (piece, kind, facts) of a bucket: its SPANS and DOCS as they came, and SPANS found here."""
+    kinds, piece_of = table.column("kind").to_pylist(), table.column("piece").to_pylist()
+    facts, runs = table.column("facts"), table.column("text")
+    out = [(piece_of[k], kind, facts[k].as_py()) for k, kind in enumerate(kinds) if kind != SEGMENTS]
+    rows = [k for k, kind in enumerate(kinds) if kind == SEGMENTS]
+    got, base, names, owners, ids_of = [], 0, [], [], []
+    for j, k in enumerate(rows):
+        used, ids, own, *rest = unpacked(facts[k].as_py())
+        names.append(used)
+        ids_of.append(ids)
+        owners.append(np.full(len(used), j))
+        got.append([own + base, *rest])
+        base += len(used)
+    if not rows:
+        return _spans_table(out)
+    doc_of, begin, sizes, at = (np.concatenate(c) for c in zip(*got))
+    ids_of, names, owners = np.concatenate(ids_of), np.concatenate(names), np.concatenate(owners)
+    ids = ids_of[doc_of]
+    run = np.concatenate([np.frombuffer(zstandard.decompress(runs[k].as_py()), np.uint8) for k in rows])
+    doc, start, count = [], [], []
     if len(sizes):
         places = np.cumsum(sizes) - sizes
         words = eight(run)
@@ -313,37 +331,46 @@ def found_in(table: pa.Table, length: int, most: int, n_out: int) -> pa.Table:
                 doc.append(doc_of[seg])
                 start.append(begin[seg] + (edge_starts - first[owner])[rep])
                 count.append((edge_ends - edge_starts)[rep])
-    doc, start, count = (np.concatenate(x) for x in (doc, start, count))
-    bucket = (mixed(c["marks"].view(np.uint64) ^ STEP) % np.uint64(n_out)).astype(np.int64)[doc]
-    order = np.argsort(bucket, kind="stable")
-    names, first = np.unique(bucket[order], return_index=True)
-    parts = np.split(order, first[1:]) if len(order) else []
-    columns = [[x[p].tobytes() for p in parts] for x in (c["ids"][doc], c["marks"][doc], start, count)]
-    return pa.table({"bucket": pa.array(names, pa.int64())} | {f: pa.array(v, pa.binary()) for f, v in zip(("ids", "marks", "start", "count"), columns)})
+    if doc:
+        doc, start, count = (np.concatenate(x) for x in (doc, start, count))
+        order = np.lexsort((start, doc))
+        doc, start, count = doc[order], start[order], count[order]
+        cuts = np.searchsorted(owners[doc], np.arange(len(rows) + 1))
+        out += [(piece_of[k], SPANS, packed(names[doc[x:y]], start[x:y], count[x:y])) for k, x, y in zip(rows, cuts[:-1], cuts[1:]) if y > x]
+    return _spans_table(out)
+
+
+def _spans_table(rows: list[tuple]) -> pa.Table:
+    return pa.table({c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate((("piece", pa.int64()), ("kind", pa.int32()), ("facts", pa.binary())))})
 
 
 def merged(table: pa.Table, length: int) -> pa.Table:
-    """_id, _mark, starts and ends of the maximal removed runs of bytes of each document."""
-    ids, marks, start, count = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(f)]) for f in ("ids", "marks", "start", "count"))
-    order = np.lexsort((start, marks, ids))
-    ids, marks, start, end = ids[order], marks[order], start[order], (start + count + length - 1)[order]
-    own = np.append(True, (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1]))
-    shift = (np.cumsum(own) - 1) * (int(end.max()) + 1)  # documents one after the other, so one running maximum does for all
+    """_id, _mark, starts and ends of the maximal removed runs of bytes of a piece's documents."""
+    kinds, facts = table.column("kind").to_pylist(), table.column("facts")
+    ids, marks = next(unpacked(facts[k].as_py()) for k, kind in enumerate(kinds) if kind == DOCS)
+    got = [unpacked(facts[k].as_py()) for k, kind in enumerate(kinds) if kind == SPANS]
+    if not got:
+        return pa.table({"_id": ids[:0], "_mark": marks[:0], "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64()))})
+    doc, start, count = (np.concatenate(c) for c in zip(*got))
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], (start + count + length - 1)[order]
+    shift = doc * (int(end.max()) + 1)  # documents one after the other, so one running maximum does for all
     reach = np.maximum.accumulate(end + shift)
     new = np.append(True, start[1:] + shift[1:] > reach[:-1])
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(new)) - 1
-    docs = np.flatnonzero(own)
-    bounds = pa.array(np.append(np.searchsorted(first, docs), len(first)), pa.int32())
+    own = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+    bounds = pa.array(np.append(np.searchsorted(first, own), len(first)), pa.int32())
     lists = [pa.ListArray.from_arrays(bounds, pa.array(x, pa.int64())) for x in (start[first], reach[last] - shift[last])]
-    return pa.table({"_id": ids[docs], "_mark": marks[docs], "starts": lists[0], "ends": lists[1]})
+    return pa.table({"_id": ids[doc[own]], "_mark": marks[doc[own]], "starts": lists[0], "ends": lists[1]})
 
 
 def spans(docs: DataFrame, *, length: int, shard_bytes: int) -> DataFrame:
     """_id (NO_ID for null), _mark, starts, ends of the removed runs of docs (_id, _mark, _text) that have any."""
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_up(docs, length, n).groupBy("bucket").applyInArrow(lambda t: found_in(t, length, shard_bytes, n), "bucket long, ids binary, marks binary, start binary, count binary")
-    return found.groupBy("bucket").applyInArrow(lambda t: merged(t, length), "_id long, _mark long, starts array<long>, ends array<long>")
+    found = cut_up(docs, length, n).groupBy("bucket").applyInArrow(lambda t: found_in(t, length, shard_bytes), "piece long, kind int, facts binary")
+    out = found.groupBy("piece").applyInArrow(lambda t: merged(t, length), "_id long, _mark long, starts array<long>, ends array<long>")
+    return out.distinct()  # pieces of equal documents are one piece, and so are rows that repeat a document
 
 
 def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = 4 << 20) -> DataFrame:
@@ -353,6 +380,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     marked = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_mark": F.xxhash64(text)})
     found = written(spans(marked.select("_id", "_mark", text.alias("_text")), length=length, shard_bytes=shard_bytes), "spans")
+    freed(docs.sparkSession)
     out = marked.withColumn("_text", text).join(found, ["_id", "_mark"], "left")
     # what stays between removed runs
     none = F.array().cast("array<long>")
