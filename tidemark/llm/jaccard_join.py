@@ -248,6 +248,8 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     comps = components(found, "linked")
     if (split := placed.filter("shards > 1")).limit(1).count():
         split = written(split.join(comps.withColumnRenamed("id", "_id"), "_id", "left").select("_id", "block", "shard", F.coalesce("component", "_id").alias("component")), "split")
+        apart = split.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
+        split = split.join(apart.select("block"), "block", "left_semi")  # in other blocks all classes are connected
         comps = components(found.unionByName(across(classes, split, n, percent, sets)), "linked")
     comps = written(comps, "components")
     low = classes.select(*mark, F.col("_id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component"))
