@@ -71,7 +71,7 @@ def with_copies(
     """
     names = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
     placed = docs.select(
-        *names,
+        F.struct(*names).alias("_row"),
         F.col(id_col).alias("_id"),
         n_words(F.col(text_col)).alias("_size"),
         # 's' before every name, 't' for null: by code point, null last
@@ -98,7 +98,7 @@ def with_copies(
         placed.withColumn("_rank", rank)
         .join(offsets, cell)
         .withColumn("copies", F.least(copies, F.lit(cap)))
-        .select(*names, F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
+        .select("_row.*", F.col("_size").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("_size")).alias("taken"))
     )
 
 

@@ -378,10 +378,10 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     if length < GRAM:
         raise ValueError(f"passages have {GRAM} bytes or more")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    marked = docs.withColumns({"_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_mark": F.xxhash64(text)})
-    found = written(spans(marked.select("_id", "_mark", text.alias("_text")), length=length, shard_bytes=shard_bytes), "spans")
+    marked = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
+    found = written(spans(marked.drop("_row"), length=length, shard_bytes=shard_bytes), "spans")
     freed(docs.sparkSession)
-    out = marked.withColumn("_text", text).join(found, ["_id", "_mark"], "left")
+    out = marked.join(found, ["_id", "_mark"], "left")
     # what stays between removed runs
     none = F.array().cast("array<long>")
     ends, starts = F.coalesce("ends", none), F.coalesce("starts", none)
@@ -389,7 +389,7 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(starts, F.array(size)), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
     kept = F.aggregate(gaps, F.lit(b"").cast("binary"), lambda s, g: F.concat(s, F.substring(F.col("_text"), (g["a"] + 1).cast("int"), g["n"].cast("int"))))
     kept = F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept)
-    return out.select(*docs.columns, size.alias("_n_bytes"), starts.alias("_starts"), ends.alias("_ends"), kept.alias("_kept"))
+    return out.select("_row.*", size.alias("_n_bytes"), starts.alias("_starts"), ends.alias("_ends"), kept.alias("_kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
