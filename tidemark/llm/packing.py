@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
-from .tokens import Encoder
+from .tokens import encoder
 from .words import pieces, ragged
 
 SIZE, END_ID, SALTS = 1024, 2, 64
@@ -91,7 +91,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     schema = f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for whole in batches:
             for batch in pieces(whole, text_col, 8 << 20):
                 ids, at = encode(batch.column(text_col))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import new_path, written
 from .packing import tokenizer_path
-from .tokens import Encoder
+from .tokens import encoder
 from .words import pieces, ragged
 
 BLOCK, SHARE, END_ID = 128, 0.9, 1
@@ -112,7 +112,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(tokenizer)
+        encode = encoder(tokenizer)
         for whole in batches:
             for batch in pieces(whole, "_text", segment_bytes):
                 ids, at = encode(batch.column("_text"))

@@ -10,6 +10,7 @@ stretches that hold a special token's string go to the library alone.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -37,7 +38,7 @@ def has_odd(run: np.ndarray) -> bool:
 class Encoder:
     """Ids of texts. most: stretches that the table holds before it starts anew."""
 
-    def __init__(self, path: str, most: int = 3_000_000):
+    def __init__(self, path: str, most: int = 2_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -134,3 +135,9 @@ class Encoder:
         for k, ids in zip(np.flatnonzero(odd), self._alone([values[k] for k in np.flatnonzero(odd)])):
             parts[k] = ids
         return np.concatenate([np.zeros(0, np.uint32), *parts]).astype(np.uint32), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each tokenizer and worker process, so tasks that follow find the table filled."""
+    return Encoder(path)
