@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import redact, schedule, text
-from ..operators import chunking, config, diff, fleet, journal, reconcile, restore, retention, tree, verify
+from ..functions import crypto, redact, rules, schedule, text
+from ..operators import chunking, config, control, diff, fleet, journal, reconcile, restore, retention, tree, verify
+from ..sources import repository
 from ..sources import views as v
 from ..sources.views import oracle
 from ..streaming import jobs
@@ -387,8 +388,8 @@ MATCHES = f", r(rule, severity, metric, op, threshold, enabled, suppress_s) AS (
 
 
 def _matches(spark, d):
-    rules = spark.createDataFrame(RULES, "rule string, severity string, metric string, op string, threshold double, enabled boolean, suppress_s int")
-    return fleet.alert_matches(v.samples(spark, d), rules)
+    table = spark.createDataFrame(RULES, "rule string, severity string, metric string, op string, threshold double, enabled boolean, suppress_s int")
+    return fleet.alert_matches(v.samples(spark, d), table)
 
 
 @query(oracle("v_samples", body=MATCHES + " SELECT rule, severity, device, id, value FROM m"))
@@ -578,6 +579,84 @@ def config_mapping(spark, d):
     return config.mapped(config.imported_once(spark.createDataFrame(CONFIGS, "id int, config string")))
 
 
+# Control tables and small rules
+
+
+@query("SELECT o_orderkey AS execution, o_custkey AS job, c_name AS name, o_orderdate AS started FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'P' ORDER BY started, execution LIMIT 10")
+def pending_executions(spark, d):
+    e = v.table(spark, d, "orders").selectExpr("o_orderkey AS execution", "o_custkey AS job", "if(o_orderstatus = 'P', 'pending', 'done') AS state", "o_orderdate AS started")
+    return control.pending_executions(e, v.table(spark, d, "customer").selectExpr("c_custkey AS job", "c_name AS name"))
+
+
+@query("SELECT DISTINCT c_custkey AS user, unnest(CASE WHEN c_mktsegment = 'BUILDING' THEN ['job:*', 'log:read'] ELSE ['log:read'] END) AS permission FROM customer")
+def user_permissions(spark, d):
+    users = v.table(spark, d, "customer").selectExpr("c_custkey AS user", "c_mktsegment AS role")
+    roles = users.select("role").distinct().withColumn("permissions", F.expr("CASE WHEN role = 'BUILDING' THEN '[\"job:*\", \"log:read\"]' ELSE '[\"log:read\"]' END"))
+    return control.user_permissions(users, roles)
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'new' || s_suppkey ELSE s_name END AS s_name, CASE WHEN s_suppkey % 6 = 0 THEN 1.5 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def partial_update(spark, d):
+    s = v.table(spark, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
+    changes = s.filter("s_suppkey % 3 = 0").selectExpr("s_suppkey", "concat('new', s_suppkey) AS s_name", "if(s_suppkey % 6 = 0, 1.5D, NULL) AS s_acctbal")
+    return control.updated(s, changes, "s_suppkey", ["s_name", "s_acctbal"])
+
+
+@query("SELECT o_orderkey AS id, unnest(list_filter([CASE WHEN o_totalprice <= 1000 THEN 'positive' END, CASE WHEN o_orderstatus = 'P' THEN 'settled' END], lambda x: x IS NOT NULL)) AS rule FROM orders")
+def constraint_violations(spark, d):
+    o = v.table(spark, d, "orders").withColumnRenamed("o_orderkey", "id")
+    return control.violations(o, {"positive": F.col("o_totalprice") > 1000, "settled": F.col("o_orderstatus") != "P"}, "id")
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_custkey % 9 <> 0)::BIGINT AS orders, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey % 9 <> 0) OR l_orderkey NOT IN (SELECT o_orderkey FROM orders))::BIGINT AS lines, (SELECT count(*) FROM customer WHERE c_custkey % 9 <> 0)::BIGINT AS customers")
+def delete_cascade(spark, d):
+    tables = {n: v.table(spark, d, n) for n in ("customer", "orders", "lineitem")}
+    gone = tables["customer"].filter("c_custkey % 9 = 0").select("c_custkey")
+    out = control.deleted(tables, "customer", gone, [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey")])
+    n = lambda t, a: out[t].agg(F.count("*").alias(a))
+    return n("orders", "orders").crossJoin(n("lineitem", "lines")).crossJoin(n("customer", "customers"))
+
+
+@query("SELECT event_type AS name, '{\"g\":\"' || user_id % 4 || '\"}' AS labels, CASE WHEN event_type = 'error' THEN 'counter' ELSE 'gauge' END AS kind, round(CASE WHEN event_type = 'error' THEN sum(value) ELSE max_by(value, event_id) END, 4) AS value FROM events GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY event_type, user_id % 4"))
+def metric_state(spark, d):
+    e = v.table(spark, d, "events").select(F.col("event_type").alias("name"), F.create_map(F.lit("g"), (F.col("user_id") % 4).cast("string")).alias("labels"), F.when(F.col("event_type") == "error", "counter").otherwise("gauge").alias("kind"), "value", F.col("event_id").alias("at"))
+    return control.metric_state(e).withColumn("value", F.round("value", 4))
+
+
+@query(oracle("v_versions", "v_refs", body=", x AS (SELECT *, job % 10 AS repo FROM v_versions), c AS (SELECT repo, count(DISTINCT chunk) AS n FROM v_refs r JOIN x ON r.version = x.version GROUP BY repo) SELECT repo, count(*)::BIGINT AS versions, round(sum(size), 2) AS size, coalesce(max(n), 0)::BIGINT AS chunks FROM x LEFT JOIN c USING (repo) GROUP BY repo"))
+def repository_rollup(spark, d):
+    return control.roll_up(v.versions(spark, d).withColumn("repo", F.col("job") % 10), v.refs(spark, d), "repo")
+
+
+@query(oracle("v_files", body="SELECT count_if(doc_id % 6 <> 0)::BIGINT AS accepted, count_if(doc_id % 6 = 0)::BIGINT AS refused FROM v_files"))
+def batch_put(spark, d):
+    f = v.files(spark, d)
+    return control.batch_put(f.select(F.when(F.col("doc_id") % 6 == 0, "bad").otherwise(F.sha2("content", 256)).alias("hash"), F.col("content").alias("data")))
+
+
+@query("SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'retry' WHEN 'view' THEN 'skip' ELSE 'mark_failed' END AS decision, CASE WHEN value > 60 THEN 'exceed' ELSE 'pass' END AS target, value < 40 AS blocked, round(CASE WHEN event_id % 5 = 0 THEN 0 ELSE value * 1000 / (event_id % 5) END, 4) AS speed, greatest(0, least(1, value / 100)) AS progress FROM events")
+def small_rules(spark, d):
+    c = F.col
+    kind = F.when(c("event_type") == "click", "file_locked").when(c("event_type") == "view", "access_denied").otherwise("other")
+    return v.table(spark, d, "events").select(
+        c("event_id").alias("id"), rules.decision(kind).alias("decision"), rules.target_status(F.lit(60.0), c("value")).alias("target"), rules.blocked(F.lit(40.0), c("value")).alias("blocked"),
+        F.round(rules.throughput(c("value"), c("event_id") % 5), 4).alias("speed"), rules.clamped(c("value") / 100).alias("progress"),
+    )
+
+
+@query(oracle("v_files", body="SELECT path, true AS same, true AS tampered_is_null, true AS unpacked FROM v_files"))
+def chunk_round_trip(spark, d):
+    key, digest = F.lit(b"0123456789abcdef0123456789abcdef"), F.sha2("content", 256)
+    packed = v.files(spark, d).select("path", "content", crypto.encrypted(F.col("content"), key, digest).alias("e"), crypto.compressed("content").alias("z"))
+    torn = F.concat(F.col("e"), F.lit(b"x").cast("binary"))
+    return packed.select("path", (crypto.decrypted(F.col("e"), key) == F.col("content")).alias("same"), crypto.decrypted(torn, key).isNull().alias("tampered_is_null"), (crypto.decompressed("z") == F.col("content")).alias("unpacked"))
+
+
+@query(oracle("v_files", body="SELECT path AS key FROM v_files WHERE starts_with(path, 'src1') AND path > 'src11/' ORDER BY path LIMIT 25"))
+def list_objects(spark, d):
+    return repository.list_objects(v.files(spark, d).select(F.col("path").alias("key")), "src1", 25, "src11/")
+
+
 # Streams, run to the end of what is there; their batch twins are the oracle of the tests
 
 
@@ -600,8 +679,8 @@ def stream_sessions(spark, d):
 
 @query(None)
 def stream_alerts(spark, d):
-    rules = spark.createDataFrame(RULES, "rule string, severity string, metric string, op string, threshold double, enabled boolean, suppress_s int")
-    matches = fleet.alert_matches(jobs.samples(spark, d), rules).select("rule", "device", "ts", "suppress_s")
+    table = spark.createDataFrame(RULES, "rule string, severity string, metric string, op string, threshold double, enabled boolean, suppress_s int")
+    matches = fleet.alert_matches(jobs.samples(spark, d), table).select("rule", "device", "ts", "suppress_s")
     return _streamed(spark, jobs.suppressed(matches))
 
 
