@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 
 def digest(data: Column) -> Column:
@@ -26,7 +27,7 @@ def decrypted(data: Column, key: Column) -> Column:
     return F.try_aes_decrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def compressed(data: pd.Series) -> pd.Series:
     """Zstandard at level 3; null stays null, empty data is allowed."""
     import zstandard
@@ -35,7 +36,7 @@ def compressed(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else press.compress(x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decompressed(data: pd.Series) -> pd.Series:
     import zstandard
 
