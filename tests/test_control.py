@@ -15,8 +15,8 @@ def test_scan_and_manifests(spark, tmp_path):
     (tmp_path / "a/x.txt").write_bytes(b"12345")
     (tmp_path / "a/b/y.txt").write_bytes(b"")
     (tmp_path / "a/b/z.log").write_bytes(b"1")
-    assert repository.estimate(repository.scan(spark, f"file://{tmp_path}/a", only="*.txt")).first()[:] == (2, 5)
-    assert {bytes(r.content) for r in repository.scan(spark, f"file://{tmp_path}/a", with_content=True).collect()} == {b"12345", b"", b"1"}
+    assert repository.estimate(repository.scan(spark, f"file://{tmp_path}/a", only="*.txt")).first()[:] == (1, 5)
+    assert {bytes(r.content) for r in repository.scan(spark, f"file://{tmp_path}/a", with_content=True).collect()} == {b"12345", b"1"}
     good = {"version_id": 1, "ts": "2024-01-01 00:00:00", "files": [{"path": "p", "size": 3, "mtime": 1, "chunks": ["h1", "h2"]}]}
     (tmp_path / "m.json").write_text(json.dumps(good) + "\n{broken\n" + json.dumps({"version_id": 2, "files": None}) + "\n")
     got = {r.version_id: (r.n_files, r.total_size) for r in repository.list_versions(spark, f"file://{tmp_path}/m.json").collect()}
@@ -50,7 +50,7 @@ def test_logs_metrics_and_rules(spark):
     lines = spark.createDataFrame([("ok  pkg",), ("FAIL pkg",), ("test result: ok. 3",), ("nok",)], "value string")
     assert control.test_counts(lines).first()[:] == (2, 1)
     row = spark.range(1).select(rules.decision(F.lit("?")), rules.throughput(F.lit(5), F.lit(0)), rules.clamped(F.lit(7.0)), rules.blocked(F.lit(None), F.lit(1)), rules.fixture_verdict(F.lit(""), F.lit(-1), F.lit(None), F.lit("x"), F.lit(False))).first()
-    assert tuple(row) == ("mark_failed", 0.0, 1.0, False, "no_path")
+    assert tuple(row) == ("mark_failed", 0.0, 1.0, False, "bad_size")
 
 
 @pytest.mark.parametrize("text", [b"", b"abc" * 100, None])

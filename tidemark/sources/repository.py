@@ -11,7 +11,8 @@ MANIFEST = "version_id LONG, ts TIMESTAMP_NTZ, files ARRAY<STRUCT<path: STRING,
 def scan(spark: SparkSession, root: str, *, with_content: bool = False, only: str | None = None) -> DataFrame:
     """path, size, mtime (microseconds) and, if asked for, content of all files under root.
 
-    only: a glob on base names, applied while listing. Files that go meanwhile are left out.
+    only: a glob on base names, applied while listing. Files that go meanwhile are left out, and so
+    are empty files, which the reader makes no rows of.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
     rows = (reader.option("pathGlobFilter", only) if only else reader).load(root)
