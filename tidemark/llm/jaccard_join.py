@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import components, written
 from .words import LOWER, STEP, mixed, pieces, run_hashes, shingle_hashes, texts, word_spans
 
-BANDS, ROWS, PIECE, FAN = 80, 6, 4 << 20, 8
+BANDS, ROWS, PIECE, FAN = 80, 6, 2 << 20, 8
 FACTORS = (mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * STEP) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 

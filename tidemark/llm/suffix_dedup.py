@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import freed, written
 from .words import STEP, mixed, pieces, ragged, run_hashes, texts
 
-LENGTH, GRAM, BLOCK, NO_ID = 50, 16, 1 << 22, 2**63 - 1
+LENGTH, GRAM, BLOCK, NO_ID = 50, 16, 1 << 21, 2**63 - 1
 SEGMENTS, SPANS, DOCS = range(3)
 
 
