@@ -14,24 +14,30 @@ def changes(baseline: DataFrame, current: DataFrame) -> DataFrame:
     return b.join(c, "path", "full_outer").select("path", kind.alias("change"), "b_size", "b_mtime", "c_size", "c_mtime").filter("change IS NOT NULL")
 
 
+def _paired(changed: DataFrame) -> DataFrame:
+    """changed with old_path and new_path where a deleted and an added path of equal size and mtime are paired.
+
+    Both sides are numbered in order of path within (size, mtime); equal numbers are a pair. One
+    shuffle serves both windows. Modified paths stand alone.
+    """
+    alone = F.col("change") == "modified"
+    keyed = changed.select("path", "change", F.when(alone, F.xxhash64("path")).otherwise(F.coalesce("b_size", "c_size")).alias("size"), F.when(~alone, F.coalesce("b_mtime", "c_mtime")).alias("mtime"))
+    number = F.row_number().over(Window.partitionBy("change", "size", "mtime").orderBy("path"))
+    pair = Window.partitionBy("size", "mtime", "rn")
+    side = lambda kind: F.max(F.when(F.col("change") == kind, F.col("path"))).over(pair)
+    return keyed.repartition("size", "mtime").withColumn("rn", number).withColumns({"old_path": side("deleted"), "new_path": side("added")})
+
+
 def renames(changed: DataFrame) -> DataFrame:
     """old_path, new_path: deleted and added paths of equal size and mtime, paired one to one in order of path."""
-    w = Window.partitionBy("size", "mtime").orderBy("path")
-    side = lambda kind, s: changed.filter(F.col("change") == kind).select("path", F.col(f"{s}_size").alias("size"), F.col(f"{s}_mtime").alias("mtime")).withColumn("rn", F.row_number().over(w))
-    gone, new = side("deleted", "b").withColumnRenamed("path", "old_path"), side("added", "c").withColumnRenamed("path", "new_path")
-    return gone.join(new, ["size", "mtime", "rn"]).select("old_path", "new_path", "size", "mtime")
+    return _paired(changed).filter("change = 'added' AND old_path IS NOT NULL").select("old_path", "new_path", "size", "mtime")
 
 
 def snapshot_diff(baseline: DataFrame, current: DataFrame) -> DataFrame:
     """path, old_path, change; renamed paths are neither added nor deleted."""
-    every = changes(baseline, current)
-    pairs = renames(every)
-    rest = every.join(pairs.select(F.col("old_path").alias("path")), "path", "left_anti").filter("change = 'deleted'").unionByName(
-        every.join(pairs.select(F.col("new_path").alias("path")), "path", "left_anti").filter("change = 'added'")
-    )
-    rest = rest.unionByName(every.filter("change = 'modified'"))
-    none = F.lit(None).cast("string").alias("old_path")
-    return rest.select("path", none, "change").unionByName(pairs.select(F.col("new_path").alias("path"), "old_path", F.lit("renamed").alias("change")))
+    rows = _paired(changes(baseline, current)).filter("NOT (change = 'deleted' AND new_path IS NOT NULL)")
+    moved = (F.col("change") == "added") & F.col("old_path").isNotNull()
+    return rows.select("path", F.when(moved, F.col("old_path")).alias("old_path"), F.when(moved, "renamed").otherwise(F.col("change")).alias("change"))
 
 
 def incremental_manifest(baseline: DataFrame, current: DataFrame) -> DataFrame:
