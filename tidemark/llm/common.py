@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,10 +58,12 @@ def freed(spark: SparkSession) -> None:
     """Ask for the deletion of shuffle files that no frame in use needs any longer.
 
     Spark deletes them when the driver's garbage collection finds their frames gone, which by itself
-    may take half an hour.
+    may take half an hour. A first collection lets go of the frames, a second one of what they held.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def lower_ascii(c: Column) -> Column:
