@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
@@ -196,6 +196,24 @@ def test_mixing_edges(spark, edge):
     assert rows(mixing.with_copies(edge).drop("_id").toPandas()) == rows(mixing.with_copies(edge.repartition(5)).drop("_id").toPandas())
 
 
+def test_mixed_has_each_row_copies_times(spark, small):
+    """The share leaves the first sources above their target, so that some documents are dropped."""
+    docs = spark.createDataFrame(small[["doc_id", "text", "source"]])
+    for share in (0.5, 1.5):
+        copies = {r.doc_id: r.copies for r in mixing.with_copies(docs, share=share).collect()}
+        got = Counter(r.doc_id for r in mixing.mixed(docs, share=share).collect())
+        assert 0 in copies.values() or share > 1
+        assert got == Counter({i: n for i, n in copies.items() if n})
+
+
+def test_mixed_with_clashing_names_and_repeated_rows(spark, edge):
+    for share in (0.3, 1.5):
+        want = Counter()
+        for r in mixing.with_copies(edge, share=share).collect():
+            want[r.doc_id, r.text, r.source] += r.copies
+        assert Counter((r.doc_id, r.text, r.source) for r in mixing.mixed(edge, share=share).collect()) == +want
+
+
 def base(text) -> tuple:
     text = text or ""
     w, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]

@@ -104,7 +104,7 @@ def with_copies(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document once for each of its copies, with the columns of docs."""
-    out = with_copies(docs, **options)
+    out = with_copies(docs, **options).filter("copies > 0")  # sequence(1, 0) counts down: two rows
     return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns) if not set(docs.columns) & set(RESULT) else _mixed_clashing(docs, **options)
 
 
