@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables; the others against their batch twins."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.oracle import connect, rows
 from tidemark.operators import fleet
@@ -37,6 +38,30 @@ def test_sessions_are_disjoint(spark):
     assert ((later > out["end"]) | later.isna()).all()
 
 
+@pytest.fixture(scope="module")
+def in_parts(spark, tmp_path_factory):
+    """Events as a folder of more part files than one trigger takes, out of order."""
+    d = str(tmp_path_factory.mktemp("parts"))
+    spark.read.parquet(f"{SF}/events.parquet").repartition(10, "event_id").write.parquet(f"{d}/events.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", ["stream_windows", "stream_sessions"])
+def test_streams_return_all_that_a_batch_does(spark, in_parts, name):
+    from tidemark.sources import views
+    from tidemark.streaming import jobs
+
+    batch = views.samples(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
+    want = jobs.windows(batch, late=None) if name == "stream_windows" else jobs.sessions(batch, "1 day", late=None)
+    want = rows(want.toPandas())
+    for d in (SF, in_parts):
+        assert rows(catalog.QUERIES[name](spark, d).toPandas()) == want
+
+
+def test_alerts_read_a_folder_of_part_files(spark, in_parts):
+    assert catalog.stream_alerts(spark, in_parts).count() > 0
+
+
 def test_contents_defined_chunks_cover_each_file(spark):
     from tidemark.sources import views
 

@@ -660,21 +660,21 @@ def list_objects(spark, d):
 # Streams, run to the end of what is there; their batch twins are the oracle of the tests
 
 
-def _streamed(spark, stream, mode="append"):
+def _streamed(spark, stream, run=jobs.to_parquet):
     base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
     path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    jobs.to_parquet(stream, f"{path}/out", f"{path}/log", mode).awaitTermination()
+    run(stream, f"{path}/out", f"{path}/log").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
 @query(None)
 def stream_windows(spark, d):
-    return _streamed(spark, jobs.windows(jobs.samples(spark, d)))
+    return _streamed(spark, jobs.windows(jobs.samples(spark, d), late=None), jobs.replayed)
 
 
 @query(None)
 def stream_sessions(spark, d):
-    return _streamed(spark, jobs.sessions(jobs.samples(spark, d), "1 day"))
+    return _streamed(spark, jobs.sessions(jobs.samples(spark, d), "1 day", late=None), jobs.replayed)
 
 
 @query(None)

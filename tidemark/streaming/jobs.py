@@ -12,21 +12,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 SAMPLE = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def samples(spark: SparkSession, folder: str, files_per_trigger: int = 8, pattern: str = "events.parquet") -> DataFrame:
-    """A stream of the event files under folder, files_per_trigger in a batch at most."""
-    raw = spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", pattern).parquet(folder)
+def samples(spark: SparkSession, folder: str, files_per_trigger: int = 8, table: str = "events.parquet") -> DataFrame:
+    """A stream of the table in folder, a file or a folder of part files, files_per_trigger in a batch at most."""
+    # as a pattern, since Spark takes a plain path for a folder
+    raw = spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{table[:-1]}[{table[-1]}]")
     return raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("device"), F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def windows(stream: DataFrame, size: str = "1 hour", slide: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    """Peak, mean and count by metric in sliding windows; rows later than the watermark are dropped."""
-    out = stream.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "metric").agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("peak"), F.round(F.avg("value"), 4).alias("mean"))
+def _marked(stream: DataFrame, late: str | None) -> DataFrame:
+    return stream if late is None else stream.withWatermark("ts", late)
+
+
+def windows(stream: DataFrame, size: str = "1 hour", slide: str = "30 minutes", late: str | None = "10 minutes") -> DataFrame:
+    """Peak, mean and count by metric in sliding windows; rows later than the watermark are dropped, none if late is None."""
+    out = _marked(stream, late).groupBy(F.window("ts", size, slide), "metric").agg(F.count("*").alias("n"), F.round(F.max("value"), 4).alias("peak"), F.round(F.avg("value"), 4).alias("mean"))
     return out.select(F.col("window.start").alias("start"), "metric", "n", "peak", "mean")
 
 
-def sessions(stream: DataFrame, gap: str = "90 seconds", late: str = "10 minutes") -> DataFrame:
+def sessions(stream: DataFrame, gap: str = "90 seconds", late: str | None = "10 minutes") -> DataFrame:
     """Runs of a device's samples with no gap longer than gap: what lies between is time offline."""
-    out = stream.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "device").agg(F.count("*").alias("n"))
+    out = _marked(stream, late).groupBy(F.session_window("ts", gap), "device").agg(F.count("*").alias("n"))
     return out.select("device", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
@@ -69,6 +74,16 @@ def to_parquet(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
 
 
+def replayed(stream: DataFrame, path: str, checkpoint: str):
+    """All groups of an aggregation without watermark over all that is there now, those still open at the end included.
+
+    Each batch replaces the result, so path holds the last one; state is one row a group.
+    """
+    stream.sparkSession.createDataFrame([], stream.schema).write.parquet(path)
+    put = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+
+
 def token_bucket(requests: DataFrame, rate: float) -> DataFrame:
     """requests (source, at_s, amount, id) with granted and infeasible (above the capacity of 2 * rate); rate 0 grants all.
 
