@@ -189,6 +189,27 @@ def test_tree_drops_no_link():
     assert label == want_labels
 
 
+def test_labels_hold_few_vectors_of_long_pages():
+    """One long page among short ones: labels as by the training pass, without padding all to the longest."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    n = np.array([3, 0, 2000, 5, *rng.integers(1, 9, 120)])
+    at = np.concatenate([[0], np.cumsum(n)])
+    x = rng.standard_normal((at[-1], html_text.SIZE)).astype(np.float32)
+    model = html_text.Labeller(1)
+    model.w["out_x"] = rng.standard_normal(html_text.SIZE).astype(np.float32) * 0.1
+    tracemalloc.start()
+    got = model.labels(x, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    for a, b in zip(at[:-1], at[1:]):
+        if b > a:
+            z = model.logits(x[a:b, None], np.ones((b - a, 1), np.float32))[0][:, 0]
+            assert (got[a:b] == (z > 0))[np.abs(z) > 1e-4].all()
+    assert peak < 50e6  # padded to the longest: 124 pages x 2000 blocks
+
+
 def test_mixing_edges(spark, edge):
     got = mixing.with_copies(edge).toPandas()
     assert len(got) == len(EDGE) and (got.taken <= 2 * got["size"]).all() and (got.target <= 2 * got.source_size).all()

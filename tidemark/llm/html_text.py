@@ -145,6 +145,10 @@ def vectors(pages: list[tuple[list[str], list]]) -> tuple[np.ndarray, np.ndarray
     return out, at
 
 
+#: Blocks, padding included, whose vectors are held at once.
+CELLS = 1 << 16
+
+
 class Labeller:
     """A bidirectional LSTM with one logit a block; weights in w."""
 
@@ -156,21 +160,34 @@ class Labeller:
             self.w |= {f"x{d}": one(SIZE, 4 * HIDDEN), f"h{d}": one(HIDDEN, 4 * HIDDEN), f"b{d}": np.zeros(4 * HIDDEN, np.float32), ("out_f" if d == "f" else "out_b2"): one(HIDDEN)}
             self.w[f"b{d}"][HIDDEN : 2 * HIDDEN] = 1
 
+    def _step(self, z: np.ndarray, h: np.ndarray, c: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
+        i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
+        g = np.tanh(z[:, 3 * HIDDEN :])
+        c_new = f * c + i * g
+        tc = np.tanh(c_new)
+        return m * o * tc + (1 - m) * h, m * c_new + (1 - m) * c, (h, c, i, f, o, g, tc, m)
+
     def _one_way(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
         h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
         inputs, hs, kept = x @ self.w[f"x{d}"] + self.w[f"b{d}"], [], []
         for t in range(len(x)):
-            z = inputs[t] + h @ self.w[f"h{d}"]
-            gates = 1 / (1 + np.exp(-z[:, : 3 * HIDDEN]))
-            i, f, o = gates[:, :HIDDEN], gates[:, HIDDEN : 2 * HIDDEN], gates[:, 2 * HIDDEN :]
-            g, m = np.tanh(z[:, 3 * HIDDEN :]), mask[t][:, None]
-            c_new = f * c + i * g
-            tc = np.tanh(c_new)
-            kept.append((h, c, i, f, o, g, tc, m))
-            h, c = m * o * tc + (1 - m) * h, m * c_new + (1 - m) * c
+            h, c, state = self._step(inputs[t] + h @ self.w[f"h{d}"], h, c, mask[t][:, None])
+            kept.append(state)
             hs.append(h)
         return np.stack(hs), kept
 
+    def _scores(self, x: np.ndarray, mask: np.ndarray, d: str, out: str, stretch: int) -> np.ndarray:
+        """One direction's part of the logits. Keeps no states and multiplies inputs by stretches of steps."""
+        h = c = np.zeros((x.shape[1], HIDDEN), np.float32)
+        scores = np.zeros(x.shape[:2], np.float32)
+        for k in range(0, len(x), stretch):
+            inputs = x[k : k + stretch] @ self.w[f"x{d}"] + self.w[f"b{d}"]
+            for t in range(len(inputs)):
+                h, c, _ = self._step(inputs[t] + h @ self.w[f"h{d}"], h, c, mask[k + t][:, None])
+                scores[k + t] = h @ self.w[out]
+        return scores
+
     def logits(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, tuple]:
         """x: step, page, vector; mask: step, page."""
         hf, kf = self._one_way(x, mask, "f")
@@ -199,20 +216,29 @@ class Labeller:
         loss = -float((mask * (truth * np.log(p + 1e-7) + (1 - truth) * np.log(1 - p + 1e-7))).sum() / mask.sum())
         return loss, g
 
-    def labels(self, x: np.ndarray, at: np.ndarray, batch: int = 256) -> np.ndarray:
-        """Which blocks are article, for the vectors of vectors()."""
+    def labels(self, x: np.ndarray, at: np.ndarray, batch: int = 256, cells: int = CELLS) -> np.ndarray:
+        """Which blocks are article, for the vectors of vectors(). Pages run together while longest x pages is within cells."""
         n, out = np.diff(at), np.zeros(len(x), bool)
         order = np.argsort(n, kind="stable")
         order = order[n[order] > 0]
-        for k in range(0, len(order), batch):
-            mine = order[k : k + batch]
+        k = 0
+        while k < len(order):
+            sizes = n[order[k : k + batch]]
+            mine = order[k : k + max(1, int((sizes * np.arange(1, len(sizes) + 1) <= cells).sum()))]
+            k += len(mine)
             longest = int(n[mine].max())
-            wide = np.zeros((longest, len(mine), SIZE), np.float32)
             step = np.concatenate([np.arange(c) for c in n[mine]])
             page, flat = np.repeat(np.arange(len(mine)), n[mine]), np.concatenate([np.arange(at[i], at[i + 1]) for i in mine])
             mask = np.zeros((longest, len(mine)), np.float32)
-            wide[step, page], mask[step, page] = x[flat], 1
-            out[flat] = self.logits(wide, mask)[0][step, page] > 0
+            mask[step, page] = 1
+            if len(mine) == 1:
+                wide = x[at[mine[0]] : at[mine[0] + 1], None]
+            else:
+                wide = np.zeros((longest, len(mine), SIZE), np.float32)
+                wide[step, page] = x[flat]
+            stretch = max(1, cells // 8 // len(mine))
+            z = self._scores(wide, mask, "f", "out_f", stretch) + self._scores(wide[::-1], mask[::-1], "b", "out_b2", stretch)[::-1]
+            out[flat] = (z + wide @ self.w["out_x"] + self.w["out_b"])[step, page] > 0
         return out
 
 
@@ -362,10 +388,14 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
             for k in range(0, len(whole), 512):
                 batch = whole.slice(k, 512)
                 cut = [blocks(page or "") for page in batch.column("_html").to_pylist()]
-                x, at = vectors(cut)
-                keep = sent.value.labels(x, at)
-                out = [" ".join(t for t, y in zip(found, keep[a:b]) if y) for (found, _), a, b in zip(cut, at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(np.diff(at), pa.int64())], names=["_id", "text", "n_chars", "n_blocks"])
+                n = np.array([len(found) for found, _ in cut])
+                out = []
+                for part in np.split(np.arange(len(cut)), np.flatnonzero(np.diff(np.cumsum(n) // CELLS)) + 1):
+                    mine = cut[part[0] : part[-1] + 1]
+                    x, at = vectors(mine)
+                    keep = sent.value.labels(x, at)
+                    out += [" ".join(t for t, y in zip(found, keep[a:b]) if y) for (found, _), a, b in zip(mine, at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64()), pa.array(n, pa.int64())], names=["_id", "text", "n_chars", "n_blocks"])
 
     return pages.select(F.col(id_col).alias("_id"), F.col(html_col).alias("_html")).mapInArrow(run, f"_id {kind}, text string, n_chars long, n_blocks long").withColumnRenamed("_id", id_col)
 
