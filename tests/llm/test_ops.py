@@ -154,7 +154,7 @@ def linked_components(sets: dict) -> dict:
 @pytest.mark.parametrize("max_sets", [2000, 2])
 def test_jaccard_join(spark, edge, small, max_sets):
     sets = {i: shingles(t) for i, t in zip(small.doc_id, small.text)}
-    got = jaccard_join.joined(spark.read.parquet(f"{SF}/documents.parquet"), max_sets=max_sets, pivots=1).toPandas().set_index("doc_id")
+    got = jaccard_join.joined(spark.read.parquet(f"{SF}/documents.parquet"), max_sets=max_sets, pivots=2).toPandas().set_index("doc_id")
     assert got.n_shingles.to_dict() == {i: len(s) for i, s in sets.items()} and got.component_id.to_dict() == linked_components(sets)
 
 

@@ -91,9 +91,9 @@ def components(edges: DataFrame, name: str = "components", keep_roots: bool = Tr
         if mark == last:
             break
         last = mark
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # edges point from u down to v, so only where v is some edge's u too is there anything below it
+        low = now.groupBy("u").agg(F.min("v").alias("m"))
+        large = now.join(low.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         then = written(small.distinct(), name)

@@ -1,9 +1,12 @@
 """Join of documents whose sets of word n-grams overlap, by signature trees.
 
 Documents with equal sets are one class from the start. Classes that may link are brought together
-by bands of MinHash values: two sets with Jaccard similarity s share one of b bands of r values with
-probability 1 - (1 - s^r)^b, so at s = 0.8 with 80 bands of 6 a link goes unseen once in 10^10, and
-sets that only have a passage in common hardly ever meet. Classes joined by bands form blocks.
+by prefix tokens and sizes, which loses no link: with the n-grams of every set in one global order,
+two sets with Jaccard similarity s or more share one of their first size - ceil(s * size) + 1
+n-grams, and the smaller has at least s times the larger's size. The order puts n-grams first that
+few documents have (by a table of hashed counts over all documents, of a fixed size), so passages
+that many documents share hardly ever route. Classes that a chain of shared prefix tokens and near
+sizes connects form a block.
 
 Inside a block the sets hang in a signature tree: a leaf has one set's token bitmap, a node the OR
 of its children's bitmaps, their range of sizes and how far a bitmap may undercount a set. A dual
@@ -12,8 +15,12 @@ overlap that bitmaps and sizes allow would be too small. What is left at the lea
 exactly, on the sets themselves, unless both are in one component already.
 
 A block beyond max_sets or max_tokens is cut into shards, each with the same few pivots of the
-block. Pairs across shards that are still in different components afterwards, and share a band, are
-compared one by one, so shards change the work but not the result.
+block. After that most of its classes are in one component, the main one. The classes outside it are
+dealt into shards of their own, and each of these meets each shard of the block: a dual traversal
+across the two trees finds the links that are left. So shards change the work but not the result.
+
+N-grams are compared by 64-bit hashes. Words are hashed whole, whatever their length, and so are
+texts of any length.
 
 Defined cases: null or empty text has an empty set and links with nothing; fewer words than n form
 one n-gram; a null id gets a null component and links with nothing; rows that repeat an id are judged
@@ -25,16 +32,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, dropped, written
 from .words import LOWER, STEP, mixed, pieces, run_hashes, shingle_hashes, texts, word_spans
 
-BANDS, ROWS, PIECE, FAN = 80, 6, 2 << 20, 8
-FACTORS = (mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * STEP) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+PIECE, FAN = 2 << 20, 8
+#: The table of counts: 2^20 cells in parts of 2^14.
+CELL_BITS, PART_BITS = 20, 14
 
 
 def token_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -46,67 +53,117 @@ def token_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(grams[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def band_keys(tokens: np.ndarray) -> np.ndarray:
-    """A key for each band of MinHash values; equal only for equal values of the same band."""
-    slim = (tokens >> np.uint64(32)).astype(np.uint32)
-    least = np.full(len(FACTORS), 2**32 - 1, np.uint32)
-    for k in range(0, len(slim), 256):
-        np.minimum(least, (FACTORS[:, None] * slim[None, k : k + 256]).min(1), out=least)
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * STEP
-    for column in least.reshape(BANDS, ROWS).T:
-        keys = mixed(keys ^ column)
-    return keys.view(np.int64)
+def cells(tokens: np.ndarray) -> np.ndarray:
+    """Where tokens count in the table."""
+    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """_id, size, two halves of a fingerprint of the set, and bands (null for empty sets)."""
+    """_id, size and two halves of a fingerprint of the set of every document; and, in rows of their
+    own with a part, the counts of each task: places in the part (16 bits) and counts (32 bits).
+    """
+    names = ["_id", "size", "mark1", "mark2", "part", "places", "counts"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.uint32)
         for whole in batches:
             for batch in pieces(whole, "_text", PIECE):
                 sets = token_sets(batch.column("_text"), n)
-                marks = [[int(mixed(s ^ k).sum(dtype=np.uint64)) - 2**63 for s in sets] for k in (STEP, STEP << np.uint64(7))]
-                bands = pa.array([band_keys(s) if len(s) else None for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), bands], names=["_id", "size", "mark1", "mark2", "bands"])
+                if any(len(s) for s in sets):
+                    total += np.bincount(cells(np.concatenate(sets)), minlength=len(total)).astype(np.uint32)
+                marks = [[fingerprint(s, k) for s in sets] for k in (STEP, STEP << np.uint64(7))]
+                none = [pa.nulls(len(batch), k) for k in kinds[4:]]
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), *none], names=names)
+        for part, counts in enumerate(total.reshape(-1, 1 << PART_BITS)):
+            some = np.flatnonzero(counts)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), *(pa.array([x], k) for x, k in zip((part, some.astype("<u2").tobytes(), counts[some].tobytes()), kinds[4:]))], names=names)
+
+    return docs.mapInArrow(run, "_id long, size long, mark1 long, mark2 long, part int, places binary, counts binary")
+
+
+def rarity(signed: DataFrame) -> np.ndarray:
+    """For each cell of the table a rank by its count over all documents (a quarter of an octave apart), one byte."""
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << PART_BITS, np.int64)
+        for places, counts in zip(table.column("places"), table.column("counts")):
+            total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), np.uint32)
+        rank = np.minimum(np.log2(total + 1.0) * 4, 255).astype(np.uint8)
+        return pa.table({"part": table.column("part")[:1], "rank": pa.array([rank.tobytes()], pa.binary())})
+
+    rows = signed.filter("part is not null").select("part", "places", "counts").groupBy("part").applyInArrow(added, "part int, rank binary").toArrow()  # 64 rows
+    out = np.zeros((1 << CELL_BITS - PART_BITS, 1 << PART_BITS), np.uint8)
+    for part, rank in zip(rows.column("part").to_pylist(), rows.column("rank")):
+        out[part] = np.frombuffer(rank.as_buffer(), np.uint8)
+    return out.reshape(-1)
 
-    return docs.mapInArrow(run, "_id long, size long, mark1 long, mark2 long, bands array<long>")
 
+def prefix(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The first tokens of a set in the global order, as many as a linked set must share one of."""
+    need = -(-len(tokens) * percent // 100)
+    return tokens[np.lexsort((tokens, rank[cells(tokens)]))[: len(tokens) - need + 1]]
 
-def band_edges(classes: DataFrame, n_buckets: int) -> DataFrame:
-    """a, b: each class and the smallest class that shares a band with it.
 
-    Band keys travel as a few arrays for each task and bucket, not as a row each.
+def near_runs(token: np.ndarray, size: np.ndarray, mark: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of marks that connect the sets of each token whose sizes a chain of near sizes spans."""
+    order = np.lexsort((size, token))
+    token, size, mark = token[order], size[order], mark[order]
+    new = np.append(True, (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])) if len(token) else np.zeros(0, bool)
+    first = mark[np.flatnonzero(new)][np.cumsum(new) - 1]
+    pairs = np.stack([first, mark], 1)[first != mark]
+    return np.unique(pairs, axis=0)
+
+
+def routes(docs: DataFrame, n: int, percent: int, rank: np.ndarray, n_buckets: int) -> DataFrame:
+    """a, b: marks of sets that share a prefix token and have near sizes, enough of them to connect all.
+
+    Of the sets of a batch that share token and size one travels for all. Tokens travel as a few
+    arrays for each batch and bucket, not as a row each.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(rank)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.repeat(batch.column("_id").to_numpy(zero_copy_only=False), BANDS)
-            keys = batch.column("bands").flatten().to_numpy(zero_copy_only=False)
-            bucket = (keys.view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+        for whole in batches:
+            token, size, mark = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for batch in pieces(whole, "_text", PIECE):
+                for s in token_sets(batch.column("_text"), n):
+                    if len(s):
+                        token.append(prefix(s, sent.value, percent))
+                        size.append(np.full(len(token[-1]), len(s)))
+                        mark.append(np.full(len(token[-1]), fingerprint(s)))
+            token, size, mark = (np.concatenate(x) for x in (token, size, mark))
+            order = np.lexsort((mark, size, token))
+            token, size, mark = token[order], size[order], mark[order]
+            new = np.append(True, (token[1:] != token[:-1]) | (size[1:] != size[:-1])) if len(token) else np.zeros(0, bool)
+            held = mark[np.flatnonzero(new)][np.cumsum(new) - 1]
+            here = np.unique(np.stack([held, mark], 1)[held != mark], axis=0)
+            token, size, mark = token[new], size[new], mark[new]
+            bucket = (token % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             rows = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_buckets)), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array([ids[r].tobytes() for r in rows], pa.binary())], names=["bucket", "keys", "ids"])
+            packs = [[x[r].tobytes() for r in rows] for x in (token, size.astype(np.uint32), mark)]
+            pairs = [b""] * n_buckets
+            pairs[int(abs(int(here.sum())) % n_buckets)] = here.tobytes()
+            keep = pa.array([bool(len(r)) or bool(p) for r, p in zip(rows, pairs)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_buckets)), *(pa.array(p, pa.binary()) for p in (*packs, pairs))], names=["bucket", "token", "size", "mark", "pairs"]).filter(keep)
 
     def meet(table: pa.Table) -> pa.Table:
-        keys, ids = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(c)]) for c in ("keys", "ids"))
-        order = np.lexsort((ids, keys))
-        keys, ids = keys[order], ids[order]
-        new = np.append(True, keys[1:] != keys[:-1])
-        least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
-        pairs = np.unique(np.stack([least, ids], 1)[least != ids], axis=0)
+        token, size, mark, here = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("token", np.uint64), ("size", np.uint32), ("mark", np.int64), ("pairs", np.int64)))
+        pairs = np.concatenate([near_runs(token, size.astype(np.int64), mark, percent), here.reshape(-1, 2)])
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    rows = classes.select("_id", "bands").filter("bands is not null").mapInArrow(spread, "bucket long, keys binary, ids binary")
+    rows = docs.select("_text").mapInArrow(spread, "bucket long, token binary, size binary, mark binary, pairs binary")
     return rows.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 class Tree:
     """A signature tree over sets, which should come in an order that puts like sets together."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], bits: int):
         sizes = np.array([len(s) for s in sets], np.int64)
-        bits = 1 << int(np.clip(np.ceil(np.log2(2 * np.median(sizes) + 1)), 7, 15))
         maps = np.zeros((len(sets), bits), bool)
         maps[np.repeat(np.arange(len(sets)), sizes), (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) & bits - 1] = True
         maps = np.packbits(maps, axis=1).view(np.uint64)
@@ -117,25 +174,40 @@ class Tree:
             at = np.arange(0, len(maps), FAN)
             self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(over, at)))
 
-    def pairs(self, a: np.ndarray, b: np.ndarray, level: int, percent: int) -> np.ndarray:
-        """Which pairs of nodes may hold a link."""
-        maps, low, high, over = self.levels[level]
-        common = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(maps[a[k : k + 4096]] & maps[b[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(a), 4096))])
-        most = np.minimum(np.minimum(high[a], high[b]), common + np.minimum(over[a], over[b]))
-        return 100 * most >= percent * (np.maximum(low[a] + low[b] - most, np.maximum(low[a], low[b])))
-
-    def near(self, percent: int, level: int = 1) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of nodes of a level that the dual traversal from the root doesn't drop."""
-        top = len(self.levels) - 1
-        a = b = np.zeros(1, np.int64)
-        for at in range(top - 1, min(level, top) - 1, -1):
-            n, children = len(self.levels[at][0]), np.arange(FAN)
-            a, b = (np.broadcast_to(x, (len(a), FAN, FAN)).reshape(-1) for x in (a[:, None, None] * FAN + children[:, None], b[:, None, None] * FAN + children))
-            fit = (a < n) & (b < n) & (a <= b)
-            a, b = a[fit], b[fit]
-            fit = self.pairs(a, b, at, percent)
-            a, b = a[fit], b[fit]
-        return a, b
+    @staticmethod
+    def bits_for(sizes: np.ndarray) -> int:
+        return 1 << int(np.clip(np.ceil(np.log2(2 * np.median(sizes) + 1)), 7, 15))
+
+
+def may_link(x: Tree, a: np.ndarray, at: int, y: Tree, b: np.ndarray, level: int, percent: int) -> np.ndarray:
+    """Which pairs of nodes, a on level at of x and b on level of y, may hold a link."""
+    (maps, low, high, over), (maps2, low2, high2, over2) = x.levels[at], y.levels[level]
+    common = np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(maps[a[k : k + 4096]] & maps2[b[k : k + 4096]]).sum(1, dtype=np.int64) for k in range(0, len(a), 4096))])
+    most = np.minimum(np.minimum(high[a], high2[b]), common + np.minimum(over[a], over2[b]))
+    return 100 * most >= percent * np.maximum(low[a] + low2[b] - most, np.maximum(low[a], low2[b]))
+
+
+def near(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of parents of leaves that the dual traversal from both roots doesn't drop; once each if x is y.
+
+    The taller tree goes down alone until both are level.
+    """
+    at, level = len(x.levels) - 1, len(y.levels) - 1
+    a = b = np.zeros(1, np.int64)
+    children = np.arange(FAN)
+    while at > 1 or level > 1:
+        down_x, down_y = at >= level, level >= at
+        grid = np.broadcast_to
+        shape = (len(a), FAN if down_x else 1, FAN if down_y else 1)
+        a, b = (grid(a[:, None, None] * FAN + children[:, None] if down_x else a[:, None, None], shape).reshape(-1), grid(b[:, None, None] * FAN + children if down_y else b[:, None, None], shape).reshape(-1))
+        at, level = at - down_x, level - down_y
+        fit = (a < len(x.levels[at][0])) & (b < len(y.levels[level][0]))
+        if x is y:
+            fit &= a <= b
+        a, b = a[fit], b[fit]
+        fit = may_link(x, a, at, y, b, level, percent)
+        a, b = a[fit], b[fit]
+    return a, b
 
 
 def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
@@ -147,50 +219,73 @@ def linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * both >= percent * (len(x) + sizes - both)
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Enough of the links between sets, by place, to connect all that are connected."""
-    if len(sets) == 2:
+def _by_likeness(sets: list[np.ndarray]) -> list[int]:
+    return sorted(range(len(sets)), key=lambda k: (len(sets[k]), sets[k][0]))
+
+
+def links(sets: list[np.ndarray], percent: int, more: list[np.ndarray] | None = None, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Enough of the links among sets, by place, to connect all that are connected.
+
+    With more: of the links between the two lists, places in more counted on from those in sets.
+    label: what is connected already, for both lists.
+    """
+    if more is None and len(sets) == 2:
         return [(0, 1)] if linked(sets[0], sets[1:], percent)[0] else []
-    order = sorted(range(len(sets)), key=lambda k: (len(sets[k]), sets[k][0]))
-    sets = [sets[k] for k in order]
-    tree, label, out = Tree(sets), np.arange(len(sets)), []
-    nodes_a, nodes_b = tree.near(percent)
+    bits = Tree.bits_for(np.array([len(s) for s in (sets + (more or []))]))
+    order = _by_likeness(sets)
+    one = other = Tree([sets[k] for k in order], bits)
+    back = order
+    if more is not None:
+        back = _by_likeness(more)
+        other = Tree([more[k] for k in back], bits)
+        back = [k + len(sets) for k in back]
+    every = sets + (more or [])
+    label = np.arange(len(every)) if label is None else np.unique(label, return_inverse=True)[1]
+    order, back, out = np.array(order), np.array(back), []
+    nodes_a, nodes_b = near(one, other, percent)
     first = np.argsort(nodes_a != nodes_b, kind="stable")
     for a, b in zip(nodes_a[first].tolist(), nodes_b[first].tolist()):
-        mine = np.arange(a * FAN, min(len(sets), a * FAN + FAN))
-        rest = np.arange(b * FAN, min(len(sets), b * FAN + FAN))
-        if len(np.unique(label[np.concatenate([mine, rest])])) == 1:
+        mine, rest = np.arange(a * FAN, min(len(order), a * FAN + FAN)), np.arange(b * FAN, min(len(back), b * FAN + FAN))
+        if len(np.unique(label[np.concatenate([order[mine], back[rest]])])) == 1:
             continue
         for x in mine.tolist():
-            y = rest[(rest > x) & (label[rest] != label[x])] if a == b else rest[label[rest] != label[x]]
+            own = order[x]
+            y = rest[label[back[rest]] != label[own]]
+            if one is other and a == b:
+                y = y[y > x]
             if len(y):
-                y = y[tree.pairs(np.full(len(y), x), y, 0, percent)]
+                y = y[may_link(one, np.full(len(y), x), 0, other, y, 0, percent)]
             if len(y):
-                for k in y[linked(sets[x], [sets[k] for k in y], percent)].tolist():
-                    if label[k] != label[x]:
-                        out.append((order[x], order[k]))
-                        label[label == label[k]] = label[x]
+                for k in back[y[linked(every[own], [every[k] for k in back[y]], percent)]].tolist():
+                    if label[k] != label[own]:
+                        out.append((int(own), k))
+                        label[label == label[k]] = label[own]
     return out
 
 
+def fingerprint(tokens: np.ndarray, k: np.uint64 = STEP) -> int:
+    return int(mixed(tokens ^ k).sum(dtype=np.uint64)) - 2**63
+
+
 def _sets_of(rows: DataFrame, n: int) -> DataFrame:
-    """rows with tokens, the set as bytes, in place of _text."""
+    """rows (mark1 among the columns) with tokens, the set as bytes, in place of _text; only those whose set has that mark."""
     keep = [c for c in rows.columns if c != "_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces(whole, "_text", PIECE):
-                tokens = pa.array([s.tobytes() for s in token_sets(batch.column("_text"), n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), tokens], names=[*keep, "tokens"])
+                sets = token_sets(batch.column("_text"), n)
+                own = pa.array([fingerprint(s) == m for s, m in zip(sets, batch.column("mark1").to_pylist())], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*keep, "tokens"]).filter(own)
 
     return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "_text") + ", tokens binary")
 
 
 def block_links(rows: DataFrame, percent: int) -> DataFrame:
-    """a, b: links among rows (bin, block, _id, tokens) that share bin and block."""
+    """a, b: links among rows (bin, block, mark1, tokens) that share bin and block."""
 
     def within(table: pa.Table) -> pa.Table:
-        block, ids = (table.column(c).to_numpy() for c in ("block", "_id"))
+        block, ids = (table.column(c).to_numpy() for c in ("block", "mark1"))
         order = np.lexsort((ids, block))
         cuts = np.flatnonzero(np.diff(block[order])) + 1
         tokens, a, b = table.column("tokens"), [], []
@@ -204,21 +299,30 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("bin").applyInArrow(within, "a long, b long")
 
 
-def across(classes: DataFrame, split: DataFrame, n: int, percent: int, sets: DataFrame) -> DataFrame:
-    """Links between classes of split (_id, block, shard, component) in different shards and components that share a band."""
-    rows = classes.select("_id", F.posexplode("bands").alias("band", "key")).join(split, "_id")
-    mixed_groups = rows.groupBy("band", "key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("band", "key")
-    rows = rows.join(mixed_groups, ["band", "key"])
-    other = rows.select("band", "key", F.col("_id").alias("b"), F.col("component").alias("other"), F.col("shard").alias("there"))
-    pairs = rows.join(other, ["band", "key"]).filter("component < other and shard <> there").select(F.col("_id").alias("a"), "b").distinct()
-    sets = sets.select("_id", "tokens")
-    with_sets = pairs.join(sets.select(F.col("_id").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("tokens").alias("y")), "b")
-
-    @F.pandas_udf("boolean")
-    def fits(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([bool(linked(np.frombuffer(a, np.uint64), [np.frombuffer(b, np.uint64)], percent)[0]) for a, b in zip(x, y)])
+def across(sets: DataFrame, split: DataFrame, percent: int, max_sets: int) -> DataFrame:
+    """Links that are left in split blocks: split (mark1, block, shard, shards, component), sets (mark1, tokens).
 
-    return with_sets.filter(fits("x", "y")).select("a", "b")
+    Classes outside a block's main component, dealt into shards of their own, meet every shard of the
+    block, shard by shard; no pair of classes is a row.
+    """
+    counts = split.groupBy("block", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.withColumn("parts", F.ceil((F.col("all") - F.col("most")) / max_sets).cast("long")).filter("parts > 0")
+    rows = split.join(main.select("block", "main", "parts"), "block").join(sets.select("mark1", "tokens").dropDuplicates(["mark1"]), "mark1")
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    outside = rows.filter("component <> main").withColumns({"_part": F.pmod(F.xxhash64("mark1", F.lit(3)), F.col("parts")), "_to": F.explode(upto("shards")), "_out": F.lit(True)})
+    every = rows.withColumns({"_to": F.col("shard"), "_part": F.explode(upto("parts")), "_out": F.lit(False)})
+    names = ["block", "_part", "_to", "_out", "mark1", "component", "tokens"]
+
+    def between(table: pa.Table) -> pa.Table:
+        out, ids, label = (table.column(c).to_numpy() for c in ("_out", "mark1", "component"))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("tokens")]
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
+        found = links([sets[k] for k in left], percent, [sets[k] for k in right], label[np.concatenate([left, right])]) if len(left) and len(right) else []
+        ids = ids[np.concatenate([left, right])]
+        return pa.table({c: pa.array([ids[p[k]] for p in found], pa.int64()) for k, c in enumerate("ab")})
+
+    return outside.select(names).unionByName(every.select(names)).groupBy("block", "_part", "_to").applyInArrow(between, "a long, b long")
 
 
 def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, max_sets: int = 2000, max_tokens: int = 4_000_000, pivots: int = 16) -> DataFrame:
@@ -226,35 +330,37 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = written(signatures(rows, n), "signatures")
-    mark = ["size", "mark1", "mark2"]
-    classes = written(signed.filter("size > 0 and _id is not null").groupBy(*mark).agg(F.min(F.struct("_id", "bands")).alias("c")).select(*mark, "c.*"), "classes")
-    blocks = written(components(band_edges(classes, n_buckets), "blocks").select(F.col("id").alias("_id"), F.col("component").alias("block")), "blocks")
-    members = blocks.join(classes.select("_id", "size"), "_id")
+    made = written(signatures(rows, n), "signatures")
+    signed, mark = made.filter("part is null").select("_id", "size", "mark1", "mark2"), ["size", "mark1", "mark2"]
+    classes = written(signed.filter("size > 0 and _id is not null").groupBy(*mark).agg(F.min("_id").alias("_id")), "classes")
+    edges = written(routes(rows, n, percent, rarity(made), n_buckets), "routes")
+    blocks = components(edges, "blocks").select(F.col("id").alias("mark1"), F.col("component").alias("block"))
+    # from here on a class goes by its mark1
+    members = written(blocks.join(classes, "mark1").select("mark1", "_id", "block", "size"), "members")
     sizes = members.groupBy("block").agg(F.count("*").alias("sets"), F.sum("size").alias("tokens"))
     sizes = sizes.withColumn("shards", F.greatest(F.ceil(F.col("sets") / max_sets), F.ceil(F.col("tokens") / max_tokens)).cast("long"))
     small = sizes.filter("shards = 1").agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     bins = max(n_buckets, int(small) // max_tokens + 1)
-    spread = F.pmod(F.xxhash64("_id", F.lit(1)), F.col("shards"))
-    # of a split block, its first class and about as many others as pivots go to every shard
-    pivot = (F.col("shards") > 1) & ((F.col("_id") == F.col("block")) | (F.pmod(F.xxhash64("_id", F.lit(2)), F.greatest(F.floor(F.col("sets") / pivots), F.lit(1))) == 0))
+    spread = F.pmod(F.xxhash64("mark1", F.lit(1)), F.col("shards"))
+    # of a split block, about as many classes as pivots go to every shard
+    pivot = (F.col("shards") > 1) & (F.pmod(F.xxhash64("mark1", F.lit(2)), F.greatest(F.floor(F.col("sets") / pivots), F.lit(1))) == 0)
     placed = members.join(sizes, "block").select(
-        "_id", "block", "shards", spread.alias("shard"), F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).otherwise(F.array(spread)).alias("into")
+        "mark1", "_id", "block", "shards", spread.alias("shard"), F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).otherwise(F.array(spread)).alias("into")
     )
     placed = written(placed, "placed")
     sets = written(_sets_of(rows.join(placed, "_id"), n), "sets")
     name = F.when(F.col("shards") > 1, F.concat_ws(":", "block", "_into")).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(bins))))
-    found = written(block_links(sets.withColumn("_into", F.explode("into")).select(name.alias("bin"), "block", "_id", "tokens"), percent), "links")
-    comps = components(found, "linked")
+    found = written(block_links(sets.withColumn("_into", F.explode("into")).select(name.alias("bin"), "block", "mark1", "tokens"), percent), "links")
+    comps = components(found, "linked").withColumnRenamed("id", "mark1")
     if (split := placed.filter("shards > 1")).limit(1).count():
-        split = written(split.join(comps.withColumnRenamed("id", "_id"), "_id", "left").select("_id", "block", "shard", F.coalesce("component", "_id").alias("component")), "split")
-        apart = split.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y")
-        split = split.join(apart.select("block"), "block", "left_semi")  # in other blocks all classes are connected
-        comps = components(found.unionByName(across(classes, split, n, percent, sets)), "linked")
-    comps = written(comps, "components")
-    low = classes.select(*mark, F.col("_id").alias("rep")).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(*mark, F.coalesce("component", "rep").alias("component"))
+        split = written(split.join(comps, "mark1", "left").select("mark1", "block", "shard", "shards", F.coalesce("component", "mark1").alias("component")), "split")
+        comps = components(found.unionByName(across(sets, split, percent, max_sets)), "linked").withColumnRenamed("id", "mark1")
+    named = written(classes.join(comps, "mark1", "left").select(*mark, "_id", F.coalesce("component", "mark1").alias("component")), "components")
+    for table in (edges, members, sets):
+        dropped(table)
+    low = named.join(named.groupBy("component").agg(F.min("_id").alias("least")), "component").select(*mark, F.col("least").alias("component"))
     out = signed.join(low, mark, "left")
-    own = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))
+    own = F.when(F.col("_id").isNotNull(), F.coalesce("component", "_id"))  # empty sets are in no class
     return out.select(F.col("_id").alias(id_col), F.col("size").alias("n_shingles"), own.alias("component_id"))
 
 

@@ -1,15 +1,17 @@
 """Token ids in files of patched frame-of-reference blocks.
 
-Documents are range-partitioned by id, so files stand in ascending order of id. A file is a row of
-segments of a bounded number of ids. A segment has a head (counts), the ids and lengths of its
-documents, the index (start of every block) and the blocks. A block holds up to BLOCK ids: the
+Documents are range-partitioned by id, and a range becomes one or more files, each a row of segments
+of a bounded number of bytes of text. A segment has a head (the number of its range, its own number
+within the range, counts), the ids and lengths of its documents, the index (start of every block) and the blocks. A block holds up to BLOCK ids: the
 block's minimum is subtracted and the differences are packed at the width that fits a set share of
 them; of the others, the outliers, the high bits stand in an exception list after the packed bits.
 Spark's own text writer writes segments as the bytes they are, each followed by one line end, so
-files of lost tasks never show; readers go by the counts in the heads.
+files of lost tasks never show; readers go by the numbers and counts in the heads, never by the names
+of files.
 
 Defined cases: a null text is empty and gives the end id alone; a null id comes first and stays
-null; documents with the same id stand in the order of their texts; an empty table gives no rows.
+null; documents with the same id stand in the order of their texts; a
+text longer than a segment makes one of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,8 +32,9 @@ from .tokens import encoder
 from .words import pieces, ragged
 
 BLOCK, SHARE, END_ID = 128, 0.9, 1
-HEAD, MAGIC = struct.Struct("<4sIQQQ"), b"PFR1"
-READ = "file string, segment int, place int, doc_id long, n_tokens long, ids_crc32 long"
+#: Of a segment: magic, ids a block, the number of its range of ids and its own in that range, documents, ids, bytes of blocks.
+HEAD, MAGIC = struct.Struct("<4sIIIQQQ"), b"PFR2"
+READ = "part int, segment int, place int, doc_id long, n_tokens long, ids_crc32 long"
 
 
 def packed_blocks(ids: np.ndarray, share: float = SHARE) -> tuple[bytes, np.ndarray]:
@@ -79,18 +83,18 @@ def unpacked_blocks(data: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     return (out + low[:, None]).reshape(-1)[:n]
 
 
-def segment(doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def segment(part: int, number: int, doc_ids: np.ndarray, known: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
     """One segment: its head, ids of documents, which of them are not null, lengths, index, blocks."""
     blocks, starts = packed_blocks(ids)
     parts = [doc_ids.astype("<i8").tobytes(), known.astype(np.uint8).tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), blocks]
-    return HEAD.pack(MAGIC, BLOCK, len(doc_ids), len(ids), len(blocks)) + b"".join(parts)
+    return HEAD.pack(MAGIC, BLOCK, part, number, len(doc_ids), len(ids), len(blocks)) + b"".join(parts)
 
 
-def segments(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """doc_ids, known, lengths and ids of every segment of a file."""
+def segments(data: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number of the range and in it, doc_ids, known, lengths and ids of every segment of a file."""
     at = 0
     while at < len(data):
-        magic, block, n_docs, n_ids, n_bytes = HEAD.unpack(data[at : at + HEAD.size].tobytes())
+        magic, block, part, number, n_docs, n_ids, n_bytes = HEAD.unpack(data[at : at + HEAD.size].tobytes())
         if magic != MAGIC or block != BLOCK:
             raise ValueError(f"no segment of blocks of {BLOCK} ids at byte {at}")
         at += HEAD.size
@@ -99,7 +103,7 @@ def segments(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             size = n * np.dtype(kind).itemsize
             parts.append(np.frombuffer(data[at : at + size].tobytes(), kind))
             at += size
-        yield parts[0], parts[1].astype(bool), parts[2].astype(np.int64), unpacked_blocks(data[at : at + n_bytes], parts[3].astype(np.int64), n_ids)
+        yield part, number, parts[0], parts[1].astype(bool), parts[2].astype(np.int64), unpacked_blocks(data[at : at + n_bytes], parts[3].astype(np.int64), n_ids)
         at += n_bytes + 1  # and the line end
 
 
@@ -112,12 +116,13 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
     n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in pieces(whole, "_text", segment_bytes):
                 ids, at = encode(batch.column("_text"))
                 keys = batch.column("_id")
-                row = segment(keys.fill_null(0).to_numpy(zero_copy_only=False), ~keys.is_null().to_numpy(zero_copy_only=False), np.diff(at) + 1, np.insert(ids, at[1:], end_id))
+                row = segment(part, number, keys.fill_null(0).to_numpy(zero_copy_only=False), ~keys.is_null().to_numpy(zero_copy_only=False), np.diff(at) + 1, np.insert(ids, at[1:], end_id))
+                number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], names=["segment"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -126,19 +131,19 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, *, id_col: str = "do
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([(c.split()[0], {"int": pa.int32(), "long": pa.int64()}[c.split()[1]]) for c in READ.split(", ")])
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-            for k, (doc_ids, known, lengths, ids) in enumerate(segments(np.frombuffer(content.as_buffer(), np.uint8))):
-                ends = np.cumsum(lengths)
-                raw = ids.astype("<u4")
+        for content in batch.column("content"):
+            for part, number, doc_ids, known, lengths, ids in segments(np.frombuffer(content.as_buffer(), np.uint8)):
+                ends, raw = np.cumsum(lengths), ids.astype("<u4")
                 crcs = [zlib.crc32(raw[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist())]
-                out = [[path.rsplit("/", 1)[1]] * len(crcs), np.full(len(crcs), k), np.arange(len(crcs)), pa.array(doc_ids, mask=~known), lengths, crcs]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) if not isinstance(x, pa.Array) else x.cast(t) for x, t in zip(out, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=[c.split()[0] for c in READ.split(", ")])
+                out = [np.full(len(crcs), part), np.full(len(crcs), number), np.arange(len(crcs)), pa.array(doc_ids, mask=~known), lengths, crcs]
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """file, segment, place, doc_id, n_tokens, ids_crc32 of every document in the files under path."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_rows, READ)
+    """part, segment, place, doc_id, n_tokens, ids_crc32 of every document in the files under path."""
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_rows, READ)
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -147,7 +152,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                for doc_ids, known, lengths, ids in segments(np.frombuffer(content.as_buffer(), np.uint8)):
+                for _, _, doc_ids, known, lengths, ids in segments(np.frombuffer(content.as_buffer(), np.uint8)):
                     lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=~known), lists], names=["doc_id", "ids"])
 
@@ -157,21 +162,19 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 def with_starts(read: DataFrame) -> DataFrame:
     """read, stored rows of read_files(), with the ids before each document in all files.
 
-    Sums by segment come first; only they, a row for some megabytes of text, are ordered as a whole,
-    file by file and then within each file.
+    Sums by segment come first; of them only those by range, a row a task of the writer, are ordered
+    as a whole.
     """
-    sums = read.groupBy("file", "segment").agg(F.sum("n_tokens").alias("n"))
-    files = sums.groupBy("file").agg(F.sum("n").alias("n"))  # a row a file
-    before = lambda *order: F.coalesce(F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = files.select("file", before(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), F.regexp_extract("file", r"-c(\d+)", 1).cast("long")).alias("_file"))
-    inner = Window.partitionBy("file").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("file", "segment", F.coalesce(F.sum("n").over(inner), F.lit(0)).alias("_segment")).join(files, "file")
-    here = Window.partitionBy("file", "segment").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    return read.join(sums, ["file", "segment"]).select(
-        "doc_id", (F.col("_file") + F.col("_segment") + F.coalesce(F.sum("n_tokens").over(here), F.lit(0))).alias("start"), "n_tokens", "ids_crc32", "file"
+    sums = read.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n"))
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("_part"))
+    sums = sums.select("part", "segment", before(Window.partitionBy("part").orderBy("segment")).alias("_segment")).join(parts, "part")
+    here = Window.partitionBy("part", "segment").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return read.join(sums, ["part", "segment"]).select(
+        "doc_id", (F.col("_part") + F.col("_segment") + F.coalesce(F.sum("n_tokens").over(here), F.lit(0))).alias("start"), "n_tokens", "ids_crc32"
     )
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     write_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path := new_path(spark, "token-ids"), tokenizer_path("word_bpe_49k.json"))
-    return with_starts(written(read_files(spark, path), "token-rows")).drop("file")
+    return with_starts(written(read_files(spark, path), "token-rows"))

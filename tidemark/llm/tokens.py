@@ -4,7 +4,8 @@ Tokenizers of the kinds used here (byte-level BPE, BPE with word ends) never joi
 place where white space follows another character, so a text's ids are those of its stretches
 'white space, then other characters', one after the other. A batch is cut there in numpy; stretches
 not met before go to the library, separated by one of its special tokens, and all ids come from a
-table of bounded size. Texts with white space outside ASCII, about which programs differ, and
+table of bounded size. Stretches are looked up by a hash and then compared byte by byte, so two with
+one hash never get each other's ids. Texts with white space outside ASCII, about which programs differ, and
 stretches that hold a special token's string go to the library alone.
 """
 
@@ -16,7 +17,7 @@ import re
 import numpy as np
 import pyarrow as pa
 
-from .words import SPACE, ragged, run_hashes, texts
+from .words import SPACE, ragged, run_words, texts, words_hashes
 
 #: White space of any kind but space and \t to \r.
 ODD = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
@@ -56,8 +57,9 @@ class Encoder:
 
     def _clear(self) -> None:
         self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-        self.held = 0
+        self.pool, self.held = np.zeros(0, np.uint32), 0
+        #: The bytes of each stretch by eights, where they start and how many bytes they are.
+        self.bytes, self.bytes_at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _alone(self, many: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
@@ -81,7 +83,7 @@ class Encoder:
             got = np.concatenate([np.zeros(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
         return got
 
-    def _learn(self, keys: np.ndarray, stretches: list[bytes]) -> None:
+    def _learn(self, keys: np.ndarray, stretches: list[bytes], eights: np.ndarray, n_eights: np.ndarray) -> None:
         words = [s.decode() for s in stretches]
         mark = self.bars[0][0].strip(" ")
         kind = np.array([0 if s[0] == " " and mark not in s else 2 if self.bars[1][0] and self.bars[1][0] in s else 1 for s in words])
@@ -93,9 +95,20 @@ class Encoder:
         at = self.held + np.cumsum(n) - n
         self.held += int(n.sum())
         self.pool = np.concatenate([self.pool, *(p[0] for p in parts)])
-        keys, at, n = np.concatenate([self.keys, keys[order]]), np.concatenate([self.at, at]), np.concatenate([self.n, n])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.at, self.n = keys[order], at[order], n[order]
+        bytes_at = (len(self.bytes) + np.cumsum(n_eights) - n_eights)[order]
+        self.bytes = np.concatenate([self.bytes, eights])
+        size = np.array([len(s) for s in stretches], np.int64)[order]
+        every = [np.concatenate(x) for x in ((self.keys, keys[order]), (self.at, at), (self.n, n), (self.bytes_at, bytes_at), (self.size, size))]
+        order = np.argsort(every[0], kind="stable")
+        self.keys, self.at, self.n, self.bytes_at, self.size = (x[order] for x in every)
+
+    def _others(self, where: np.ndarray, eights: np.ndarray, n_eights: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Which stretches aren't those that the table holds at where."""
+        same = self.size[where] == lengths
+        held = self.bytes[ragged(self.bytes_at[where], np.where(same, n_eights, 0))]
+        differs = np.zeros(len(eights), bool)
+        differs[np.repeat(same, n_eights)] = held != eights[np.repeat(same, n_eights)]
+        return np.flatnonzero(~same | np.logical_or.reduceat(differs, np.cumsum(n_eights) - n_eights))
 
     def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         where = np.searchsorted(self.keys, keys)
@@ -114,18 +127,23 @@ class Encoder:
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(cut)
         lengths = np.diff(np.append(starts, len(run)))
-        keys, first, which = np.unique(run_hashes(run, starts, lengths), return_index=True, return_inverse=True)
+        eights, n_eights = run_words(run, starts, lengths)
+        keys, first, which = np.unique(words_hashes(eights, n_eights, lengths), return_index=True, return_inverse=True)
         if len(self.keys) > self.most:
             self._clear()
         where, known = self._known(keys)
+        stretch = lambda k: run[starts[k] : starts[k] + lengths[k]].tobytes()
         if not known.all():
             new = first[~known]
-            data = run.tobytes()
-            self._learn(keys[~known], [data[a : a + n] for a, n in zip(starts[new].tolist(), lengths[new].tolist())])
+            each = np.cumsum(n_eights) - n_eights
+            self._learn(keys[~known], [stretch(k) for k in new.tolist()], eights[ragged(each[new], n_eights[new])], n_eights[new])
             where, _ = self._known(keys)
-        at, n = self.at[where][which], self.n[where][which]
+        at, n, pool = self.at[where][which], self.n[where][which], self.pool
+        for k in self._others(where[which], eights, n_eights, lengths).tolist():
+            ids, _ = self._ids([stretch(k).decode()])
+            at[k], n[k], pool = len(pool), len(ids), np.concatenate([pool, ids])
         before = np.concatenate([[0], np.cumsum(n)])
-        return self.pool[ragged(at, n)], before[np.searchsorted(starts, offsets)]
+        return pool[ragged(at, n)], before[np.searchsorted(starts, offsets)]
 
     def _with_odd(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         values = [x or "" for x in column.to_pylist()]

@@ -53,15 +53,36 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out + np.repeat(starts - (ends - lengths), lengths)
 
 
+def eights(run: np.ndarray, order: str = "<") -> np.ndarray:
+    """A view of the eight bytes from each place on as one number, zeros past the end."""
+    padded = np.concatenate([run, np.zeros(8, np.uint8)])
+    return np.ndarray((len(run),), f"{order}u8", padded, strides=(1,))
+
+
+def run_words(run: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of each run by eights, the last filled with zeros, and how many eights each run has."""
+    n = (lengths + 7) >> 3
+    inside = ragged(np.zeros(len(n), np.int64), n) << 3
+    out = eights(run)[np.repeat(starts, n) + inside].astype(np.uint64)
+    left = np.repeat(lengths, n) - inside
+    short = np.flatnonzero(left < 8)
+    out[short] &= (np.uint64(1) << (np.uint64(8) * left[short].astype(np.uint64))) - np.uint64(1)
+    return out, n
+
+
+def words_hashes(words: np.ndarray, n: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Hashes of what run_words() gave. Each eight is scrambled with its place before they are added."""
+    if not len(n):
+        return np.zeros(0, np.uint64)
+    place = ragged(np.ones(len(n), np.int64), n).astype(np.uint64)
+    sums = np.add.reduceat(mixed(words ^ mixed(place * STEP)), np.cumsum(n) - n)
+    return mixed(sums ^ (lengths.astype(np.uint64) << np.uint64(40)))
+
+
 def run_hashes(run: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """64-bit hashes of the byte runs given; equal runs have equal hashes. No run may be empty."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    at = ragged(starts, lengths)
-    inside = at - np.repeat(starts, lengths)
-    powers = np.multiply.accumulate(np.full(int(lengths.max()) + 1, STEP, np.uint64))
-    sums = np.add.reduceat((run[at].astype(np.uint64) + np.uint64(1)) * powers[inside], np.cumsum(lengths) - lengths)
-    return mixed(sums ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    words, n = run_words(run, starts, lengths)
+    return words_hashes(words, n, lengths)
 
 
 def word_spans(run: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
