@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,28 @@ def test_html(spark):
     assert html_text.extracted(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "found"),
+    [
+        ("one<svg-icon name=x></svg-icon>two", ["one", "two"]), ("a<svg width=1 />b", ["ab"]), ("<p>Let <math><mi>x</mi></math> be<p>b", ["Let x be", "b"]),
+        ("a<object>ob</object><canvas>cc</canvas>", ["aobcc"]), ("<script>if(a<b)</script >c", ["c"]), ("1 < 2 <3 & x<a", ["1 < 2 <3 & x<a"]), ("<noscript>never closed", ["never closed"]),
+        ("<a title='x>y'>t</a>", ["t"]), ("<video-player>q</video-player>r", ["q", "r"]), ("a<!-->b", ["ab"]), ("a<script>open", ["a"]),
+    ],
+)
+def test_blocks_of_odd_markup(page, found):
+    assert html_text.blocks(page)[0] == found
+
+
+@pytest.mark.parametrize("piece", ["<a", "x <a ", '<a "', "<a \"<a'", "<div>x", "</div>", "<noscript>", "<script></script ", "<!--", '<p class="', "<p>x<b>"])
+def test_reading_takes_time_in_proportion(piece):
+    import time
+
+    start = time.perf_counter()
+    html_text.blocks(piece * 20_000)
+    html_text.blocks("<i>" * 20_000 + piece * 20_000 + ">")
+    assert time.perf_counter() - start < 4
+
+
 def test_labeller_on_held_out_pages():
     rng = np.random.default_rng(99)
     made = [html_text.invented(rng) for _ in range(150)]
@@ -167,6 +190,49 @@ def test_jaccard_join_edges(spark, edge):
     assert jaccard_join.joined(edge.limit(0)).count() == 0
 
 
+def test_linked_sets_share_a_prefix_token():
+    """Whatever the order of tokens is; among them one whose upper half is zero."""
+    rng = np.random.default_rng(11)
+    rank = rng.integers(0, 4, 1 << jaccard_join.CELL_BITS).astype(np.uint8)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        core = np.append(rng.integers(0, 2**63, n).astype(np.uint64), np.uint64(12345))
+        x, y = (np.unique(np.where(rng.random(len(core)) < 0.07, rng.integers(0, 2**63, len(core)).astype(np.uint64), core)) for _ in range(2))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 80 * (len(x) + len(y) - both):
+            assert len(np.intersect1d(jaccard_join.prefix(x, rank, 80), jaccard_join.prefix(y, rank, 80)))
+            assert 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y))
+
+
+def test_hashes_of_crafted_words():
+    """Two long words whose sums of bytes times powers agree in 64 bits: ids and shingles stay apart."""
+    from tidemark.llm.tokens import Encoder
+
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    sets = jaccard_join.token_sets(pa.array([word, other]), 5)
+    assert len(np.intersect1d(*sets)) == 0
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        encode, texts = Encoder(packing.tokenizer_path(name)), [word, other, f"x {other} y {word}"]
+        ids, at = encode(pa.array(texts))
+        for k, text in enumerate(texts):
+            assert ids[at[k] : at[k + 1]].tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_compares_bytes_on_equal_hashes(monkeypatch, small):
+    from tidemark.llm import tokens
+
+    real = tokens.words_hashes
+    monkeypatch.setattr(tokens, "words_hashes", lambda *a: real(*a) % np.uint64(50))
+    encode = tokens.Encoder(packing.tokenizer_path())
+    for part in (small.text[:20], small.text[20:40]):
+        ids, at = encode(pa.array(list(part)))
+        for k, text in enumerate(part):
+            assert ids[at[k] : at[k + 1]].tolist() == encode.tokenizer.encode(text or "", add_special_tokens=False).ids
+
+
 def test_tree_drops_no_link():
     rng = np.random.default_rng(3)
     sets = []
@@ -306,6 +372,8 @@ def test_token_files(spark, edge, tmp_path):
 
     path, t = f"file://{tmp_path}/t", Tokenizer.from_file(packing.tokenizer_path("word_bpe_49k.json"))
     token_files.write_files(edge, path, packing.tokenizer_path("word_bpe_49k.json"), segment_bytes=500, segments_per_file=2, files=3)
+    for k, file in enumerate(sorted((tmp_path / "t").glob("part-*"), reverse=True)):  # order must not come from names
+        file.rename(file.with_name(f"part-{k:05d}-c218-c{k % 3:03d}.txt"))
     back = token_files.read_ids(spark, path).collect()
     want = lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 1]
     assert sorted((r.doc_id or 0, list(r.ids)) for r in back) == sorted((i or 0, want(x)) for i, x, _ in EDGE)
@@ -367,13 +435,41 @@ def test_suffix_array_and_prefixes_against_sorting():
     assert hashlib.sha256(shard.passages().tobytes()).digest() == hashlib.sha256(b"".join(sorted(first))).digest()
 
 
-def test_warc_edges(spark, tmp_path):
+def test_warc_edges(spark, tmp_path, monkeypatch):
     body = "<p>" + "é\r\n" * 60
-    pages = spark.createDataFrame([(3, "http://a b/\n", body), (1, None, body), (None, "u", body), (4, "v", "tiny"), (5, "w", "tiny"), (6, "x", None), (7, "y", "\r\n\r\nWARC/1.1\r\n" * 20)], "page_id long, url string, html string").withColumn("digest", F.lit(1))
-    warc.write_archives(pages, path := f"file://{tmp_path}/w", records_per_file=2)
+    rows = [(3, "http://a b/\n", body), (1, None, body), (None, "u", body), (4, "v", "tiny"), (5, "w", "tiny"), (6, "x", None), (7, "y", "\r\n\r\nWARC/1.1\r\n" * 20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(1))
+    warc.write_archives(pages, path := f"file://{tmp_path}/w")
     got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.resolved(warc.read_archives(spark, path)).collect()}
     n = len(body.encode())
     assert got == {1: ("response", None, n), 3: ("revisit", 1, n), None: ("revisit", 1, n), 4: ("response", None, 4), 5: ("response", None, 4), 6: ("response", None, 0), 7: ("response", None, 280)}
+    warc.write_archives(pages.limit(0), empty := f"file://{tmp_path}/e")
+    assert warc.resolved(warc.read_archives(spark, empty)).count() == 0
+
+
+def test_warc_repeated_rows_and_members(spark, tmp_path):
+    """Rows that repeat id and payload are responses with record ids of their own; each record is a gzip member."""
+    import gzip
+    import zlib
+
+    body = "<p>" + "x" * 200
+    pages = spark.createDataFrame([(1, "u", body)] * 3 + [(2, "u", body), (9, "v", "b" * 150)], "page_id long, url string, html string")
+    warc.write_archives(pages, path := f"file://{tmp_path}/w")
+    read = warc.read_archives(spark, path)
+    assert read.select("record_id").distinct().count() == 5
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.resolved(read).collect())
+    assert got == {(1, "response", None): 3, (2, "revisit", 1): 1, (9, "response", None): 1}
+    n = 0
+    for file in (tmp_path / "w").glob("part-*"):
+        data = file.read_bytes()
+        while data:
+            one = zlib.decompressobj(31)
+            text = one.decompress(data)
+            assert text.startswith(b"WARC/1.1\r\n") and text.endswith(b"\r\n\r\n") and one.eof
+            data, n = one.unused_data, n + 1
+    assert n == 5
+    long = bytes(range(256)) * (1 << 17)
+    assert warc.members(long)[-1] == 0 and gzip.decompress(warc.members(long)) == long
 
 
 def test_components(spark):

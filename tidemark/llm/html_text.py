@@ -10,9 +10,14 @@ The labeller is trained here, on the driver, on n_train invented pages whose lay
 and words vary at random (train()); its weights, well under a megabyte, are broadcast. Nothing is
 learned from the pages it labels.
 
+Reading a page takes time in proportion to its length, whatever it holds: a '<' that begins no tag
+is text, and a tag ends at its '>' or isn't one.
+
 Defined cases: null or empty html gives an empty text; repeated rows are labelled one by one; broken
-markup is read as far as it goes (an unclosed script or comment lasts to the end); an empty table
-gives no rows. Other columns aren't returned.
+markup is read as far as it goes (an unclosed script, style, frame or comment lasts to the end); very
+long pages are read whole, and their blocks go through the network stretch by stretch; elements
+unknown to HTML are inline, those with a hyphen in their name blocks; an empty table gives no rows.
+Other columns aren't returned.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ import functools
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,26 +38,27 @@ from .words import LOWER, run_hashes, texts, word_spans
 
 #: Element names of HTML that end or begin a block, stay inside one, or hold no shown text.
 BLOCK_TAGS = "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
-INLINE_TAGS = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var".split()
-RAW_TAGS = "script style template noscript svg iframe object canvas textarea math video audio".split()
+INLINE_TAGS = "a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var audio canvas math object svg video".split()
+RAW_TAGS = "script style template noscript iframe textarea".split()
 VOID_TAGS = "area base br col embed hr img input link meta source track wbr".split()
 TAGS = {t: k for k, t in enumerate(BLOCK_TAGS + INLINE_TAGS)}
 PATH_WORDS, TEXT_WORDS, MEASURES, HIDDEN = 128, 32, 6, 16
 SIZE = len(TAGS) + PATH_WORDS + TEXT_WORDS + MEASURES
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.S | re.I,
-)
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><]*+)((?:[^>\"'<]++|\"[^\"]*+\"|'[^']*+')*+|[^<>]*+)>")
+#: Where an element without markup inside ends.
+RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW_TAGS}
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b|display\s*:\s*(none)", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 SPACES = re.compile(r"\s+")
 
 
-@functools.lru_cache(50_000)
 def named(rest: str) -> tuple[int, ...]:
     """Places among PATH_WORDS of the words, and beginnings of words, in class, id and role."""
+    return _named_short(rest) if len(rest) < 300 else _named(rest)
+
+
+def _named(rest: str) -> tuple[int, ...]:
     out = set()
     for groups in NAMED.findall(rest):
         for word in PART.findall("".join(groups)):
@@ -61,9 +68,15 @@ def named(rest: str) -> tuple[int, ...]:
     return tuple(sorted(out))
 
 
-def blocks(page: str) -> tuple[list[str], list[tuple[tuple[str, ...], tuple[int, ...], int]]]:
-    """Text of each block; names and attribute words of its path, and characters inside links."""
-    stack: list[tuple[str, tuple[int, ...]]] = []
+_named_short = functools.lru_cache(50_000)(_named)
+Path = tuple[frozenset, frozenset, int, int]
+
+
+def blocks(page: str) -> tuple[list[str], list[Path]]:
+    """Text of each block; tags and attribute words on its path, its depth and characters inside links."""
+    # each open element with the tags and words of the whole path down to it
+    stack: list[tuple[str, frozenset, frozenset]] = []
+    is_open: Counter = Counter()
     out, paths, text, linked, path = [], [], [], 0, None
 
     def end() -> None:
@@ -78,46 +91,82 @@ def blocks(page: str) -> tuple[list[str], list[tuple[tuple[str, ...], tuple[int,
     def add(piece: str) -> None:
         nonlocal linked, path
         if path is None and not piece.isspace():
-            path = (tuple(t for t, _ in stack), tuple(sorted({w for _, ws in stack for w in ws})))
+            path = (*(stack[-1][1:] if stack else (frozenset(), frozenset())), len(stack))
         if path is not None:
             text.append(piece)
-            if any(t == "a" for t, _ in stack):
+            if is_open["a"]:
                 linked += len(piece)
 
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        name = (m["name"] or m["name2"] or "").lower()
-        if not name:
+    def push(name: str, words: tuple[int, ...]) -> None:
+        tags, held = stack[-1][1:] if stack else (frozenset(), frozenset())
+        stack.append((name, tags if name in tags or name not in TAGS else tags | {name}, held if held.issuperset(words) else held.union(words)))
+        is_open[name] += 1
+
+    def pop(to: int) -> None:
+        while len(stack) > to:
+            is_open[stack.pop()[0]] -= 1
+
+    at, last, endless = 0, page.rfind(">"), set()
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 2)
+            if start > at:
+                add(page[at:start])
+            at = stop + 3 if stop >= 0 else len(page)
+            continue
+        m = TAG.match(page, start) if start < last else None
+        if m is None and page[start + 1 : start + 2] in ("!", "?") and start < last:
+            if start > at:
+                add(page[at:start])
+            at = page.find(">", start) + 1
             continue
-        inline = name in TAGS and TAGS[name] >= len(BLOCK_TAGS)
+        if m is None:
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        if start > at:
+            add(page[at:start])
+        at = m.end()
+        name, rest = m[2].lower(), m[3]
+        inline = TAGS[name] >= len(BLOCK_TAGS) if name in TAGS else "-" not in name and name not in VOID_TAGS and name not in RAW_TAGS
         if not inline:
             end()
-        if m["close"] or m["close2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
+        if m[1]:
+            if is_open[name]:
+                k = len(stack) - 1
+                while stack[k][0] != name:
+                    k -= 1
+                pop(k)
             continue
-        rest = m["rest"] if m["name"] else m["rest2"]
-        if name in VOID_TAGS or rest.endswith("/") and name not in TAGS:
+        if name in RAW_TAGS:
+            close = None if name in endless else RAW_END[name].search(page, at)
+            if close:
+                stop = page.find(">", close.end())
+                at = stop + 1 if stop >= 0 else len(page)
+            elif name in ("template", "noscript"):
+                endless.add(name)  # nothing closes it: only the tag goes
+            else:
+                at = len(page)
             continue
-        if not inline and any(t == "p" for t, _ in stack[-4:]) and name not in ("button", "label", "option", "select"):
-            k = max(k for k, (t, _) in enumerate(stack) if t == "p")
-            if not any(TAGS.get(t, 0) < len(BLOCK_TAGS) for t, _ in stack[k + 1 :]):
-                del stack[k:]  # a block ends an open paragraph
+        if name in VOID_TAGS or rest.endswith("/") and (name not in TAGS or name in ("svg", "math")):
+            continue
+        if not inline and name not in ("button", "label", "option", "select"):
+            for k in range(len(stack) - 1, max(len(stack) - 5, -1), -1):
+                if stack[k][0] == "p":
+                    pop(k)  # a block ends an open paragraph
+                    break
+                if TAGS.get(stack[k][0], 0) < len(BLOCK_TAGS):
+                    break
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
-            stack.pop()
-        stack.append((name, named(rest) if "=" in rest or "hidden" in rest else ()))
+            pop(len(stack) - 1)
+        push(name, named(rest) if "=" in rest or "hidden" in rest else ())
     if at < len(page):
         add(page[at:])
     end()
     return out, paths
 
 
-def vectors(pages: list[tuple[list[str], list]]) -> tuple[np.ndarray, np.ndarray]:
+def vectors(pages: list[tuple[list[str], list[Path]]]) -> tuple[np.ndarray, np.ndarray]:
     """A vector for each block of all pages, and the number of blocks before each page."""
     every = [t for ts, _ in pages for t in ts]
     paths = [p for _, ps in pages for p in ps]
@@ -125,7 +174,7 @@ def vectors(pages: list[tuple[list[str], list]]) -> tuple[np.ndarray, np.ndarray
     at = np.concatenate([[0], np.cumsum([len(ts) for ts, _ in pages])]).astype(np.int64)
     if not every:
         return out, at
-    places = [(k, TAGS[t]) for k, (tags, _, _) in enumerate(paths) for t in set(tags) if t in TAGS] + [(k, len(TAGS) + w) for k, (_, ws, _) in enumerate(paths) for w in ws]
+    places = [(k, TAGS[t]) for k, (tags, *_) in enumerate(paths) for t in tags] + [(k, len(TAGS) + w) for k, (_, ws, *_) in enumerate(paths) for w in ws]
     if places:
         rows, columns = np.array(places).T
         out[rows, columns] = 1
@@ -138,8 +187,8 @@ def vectors(pages: list[tuple[list[str], list]]) -> tuple[np.ndarray, np.ndarray
     out[:, base : base + TEXT_WORDS] = counts / np.maximum(np.sqrt((counts * counts).sum(1)), 1)[:, None] * 0.3
     size = np.diff(offsets)
     marks = np.bincount(np.searchsorted(offsets, np.flatnonzero(np.isin(run, list(b".,;:!?"))), "right") - 1, minlength=len(every))
-    links = np.array([p[2] for p in paths]) / np.maximum(size, 1)
-    depth = np.array([len(p[0]) for p in paths])
+    links = np.array([p[3] for p in paths]) / np.maximum(size, 1)
+    depth = np.minimum([p[2] for p in paths], 40)
     place = np.arange(len(every)) - np.repeat(at[:-1], np.diff(at))
     out[:, base + TEXT_WORDS :] = np.stack([np.minimum(np.log1p(n) / 4, 1.2), np.minimum(links, 1), np.minimum(marks / np.maximum(n, 1), 0.3), depth / 8, place / np.repeat(np.maximum(np.diff(at), 1), np.diff(at)), n < 4], 1)
     return out, at
