@@ -404,20 +404,35 @@ def without_repeats(docs: list, length: int = 50) -> dict:
     return {k: sorted(x) for k, x in out.items()}
 
 
-@pytest.mark.parametrize("shard_bytes", [4 << 20, 3000])
-def test_suffix_dedup(spark, edge, small, shard_bytes):
-    got = suffix_dedup.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"), shard_bytes=shard_bytes).toPandas()
+@pytest.mark.parametrize("options", [{}, {"shard_bytes": 3000}, {"heavy_bytes": 300, "task_bytes": 20_000}])
+def test_suffix_dedup(spark, edge, small, options, monkeypatch):
+    """heavy_bytes so low that the commonest minimizers are dealt out passage by passage."""
+    if "heavy_bytes" in options:
+        real = suffix_dedup.heavy_cells
+        monkeypatch.setattr(suffix_dedup, "heavy_cells", lambda *a: seen.append(real(*a)) or seen[-1])
+    seen = []
+    got = suffix_dedup.without_repeats(spark.read.parquet(f"{SF}/documents.parquet"), **options).toPandas()
     want = without_repeats(list(zip(small.doc_id, small.text)))
     assert {i: [bytes(k)] for i, k in zip(got.doc_id, got._kept)} == want
+    assert not seen or seen[0].any()
     rng = np.random.default_rng(6)
     docs = [(i, t) for i, t, _ in EDGE] + [(100 + k, "".join(rng.choice(list("ab\x00"), 90)) * 3 + "ab" * 60) for k in range(8)]
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("starts", F.lit(1))
-    got = suffix_dedup.without_repeats(df, shard_bytes=shard_bytes).collect()
+    got = suffix_dedup.without_repeats(df, **options).collect()
     mine = defaultdict(list)
     for r in got:
         mine[r.doc_id].append(bytes(r._kept))
     assert {k: sorted(x) for k, x in mine.items()} == without_repeats(docs)
-    assert suffix_dedup.without_repeats(df.limit(0)).count() == 0
+    assert suffix_dedup.without_repeats(df.limit(0), **options).count() == 0
+
+
+def test_equal_hashes_of_segments_are_told_apart():
+    run = np.frombuffer(b"a" * 60 + b"b" * 60 + b"a" * 60 + b"a" * 40, np.uint8)
+    starts, sizes, ids = np.array([0, 60, 120, 180]), np.array([60, 60, 60, 40]), np.array([3, 2, 1, 0])
+    which, low, one = suffix_dedup.equal_runs(np.zeros(4, np.uint64), ids, run, starts, sizes)
+    assert len(set(which.tolist())) == 4  # the least id's bytes decide who stays
+    which, low, one = suffix_dedup.equal_runs(np.array([5, 5, 5, 6], np.uint64), ids, run, starts, sizes)
+    assert which[0] == which[2] != which[1] and low[which[0]] == 1 and one[which[0]] == 2 and low[which[1]] == 2
 
 
 def test_suffix_array_and_prefixes_against_sorting():

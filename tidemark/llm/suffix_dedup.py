@@ -3,9 +3,14 @@
 A passage is any run of `length` bytes. Equal runs must meet, wherever their documents are: each run
 is dealt out by its minimizer, the 16-byte string in it with the least hash. Consecutive runs of a
 document with one minimizer travel together, as one short segment of text, and all segments with one
-minimizer come to the same bucket. Segments that are equal as a whole are settled by their ids, in
-the task that cuts them and again in the bucket, so a passage that thousands of documents share
-arrives once from each task.
+minimizer come to the same bucket. Segments that are equal as a whole, byte by byte, are settled by
+their ids, in the task that cuts them and again in the bucket, so a passage that thousands of
+documents share arrives once from each task.
+
+The number of buckets follows the bytes of all texts. A minimizer with more than heavy_bytes of
+segments (by hashed counts over all texts, of a fixed size; at least eight times the mean cell) would
+still gather in one bucket, so its segments are dealt out as single passages, each by the hash of the
+whole passage: equal ones meet, the others spread over all buckets.
 
 The other segments of a minimizer form shards of bounded size. Each shard gets a suffix array by
 Larsson and Sadakane's refinement: suffixes are sorted by eight bytes, then groups of equals are
@@ -15,7 +20,7 @@ that of the suffix one byte before. Suffixes that share a passage's length form
 smallest id in a class stays. Where segments of one minimizer fill several shards, each shard looks
 its passages up in the sorted passages of the others by binary search.
 
-Defined cases: null text is empty; a null id comes after all others and such documents don't remove
+Defined cases: null text is empty; texts are cut up stretch by stretch, however long; a null id comes after all others and such documents don't remove
 from each other; nor do rows that share an id; ids must be integers; an empty table gives no rows.
 """
 
@@ -31,19 +36,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import freed, written
-from .words import STEP, mixed, pieces, ragged, run_hashes, texts
+from .words import STEP, eights, mixed, pieces, ragged, run_hashes, run_words, texts
 
 LENGTH, GRAM, BLOCK, NO_ID = 50, 16, 1 << 21, 2**63 - 1
+#: The table of bytes by minimizer: 2^20 cells in parts of 2^14.
+CELL_BITS, PART_BITS = 20, 14
 SEGMENTS, SPANS, DOCS = range(3)
 
 
 def eight(run: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on as one big-endian number, zeros past the end."""
-    padded = np.concatenate([run, np.zeros(8, np.uint8)])
-    out = np.zeros(len(run), np.uint64)
-    for k in range(8):
-        out = out << np.uint64(8) | padded[k : k + len(run)]
-    return out
+    return eights(run, ">").astype(np.uint64)
+
+
+def same_bytes(run: np.ndarray, starts: np.ndarray, others: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which of the runs of sizes bytes from starts on equal those from others on."""
+    if not len(starts):
+        return np.zeros(0, bool)
+    mine, n = run_words(run, starts, sizes)
+    return ~np.logical_or.reduceat(mine != run_words(run, others, sizes)[0], np.cumsum(n) - n)
 
 
 def gram_hashes(words: np.ndarray) -> np.ndarray:
@@ -62,10 +73,15 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def segments(run: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Text, first byte, bytes, minimizer's place (in the segment) and hash, and a hash of each segment.
+def cells(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    A segment covers the passages from its first byte to its last less length.
+
+def segments(run: np.ndarray, offsets: np.ndarray, length: int, heavy: np.ndarray | None = None, keyed: bool = True) -> tuple[np.ndarray, ...]:
+    """Text, first byte, bytes, minimizer's place (in the segment), what deals it out (the minimizer's hash), and a hash of each segment.
+
+    A segment covers the passages from its first byte to its last less length. Those with a minimizer
+    in a heavy cell are cut into single passages, dealt out by their own hash.
     """
     out = [[np.zeros(0, np.int64)] * 4 + [np.zeros(0, np.uint64)] * 2]
     n = len(run) - length + 1
@@ -80,15 +96,51 @@ def segments(run: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         new = np.ones(b - a, bool)
         new[1:] = (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | ~fits[:-1]
         first = np.flatnonzero(new & fits)
-        last = np.flatnonzero(fits & np.append(new[1:] | ~fits[1:], True))
-        size = last - first + length
+        size = np.flatnonzero(fits & np.append(new[1:] | ~fits[1:], True)) - first + length
+        deal = grams[least[first]]
+        if heavy is not None and (big := heavy[cells(deal)]).any():
+            count = np.where(big, size - length + 1, 1)
+            first, size, deal, big = ragged(first, count), np.repeat(np.where(big, length, size), count), np.repeat(deal, count), np.repeat(big, count)
+        else:
+            big = np.zeros(0, np.int64)
+        if not keyed:
+            out.append([doc[first], first + a, size, least[first] - first, deal, deal])
+            continue
         key = mixed(size.astype(np.uint64) * STEP + (least[first] - first).astype(np.uint64))
         for k in range(0, int(size.max()) if len(size) else 0, GRAM):
             key = mixed(key ^ grams[first + np.minimum(k, size - GRAM)] + np.uint64(k))
-        out.append([doc[first], first + a, size, least[first] - first, grams[least[first]], key])
+        deal[np.flatnonzero(big)] = key[np.flatnonzero(big)]
+        out.append([doc[first], first + a, size, least[first] - first, deal, key])
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+def heavy_cells(docs: DataFrame, length: int, heavy_bytes: int) -> np.ndarray:
+    """Cells whose minimizers have more than heavy_bytes of segments, and eight times the mean cell, in docs (_text)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << CELL_BITS, np.int64)
+        for whole in batches:
+            for batch in pieces(whole, "_text", BLOCK):
+                _, _, size, _, deal, _ = segments(*texts(batch.column("_text")), length, keyed=False)
+                total += np.bincount(cells(deal), weights=size, minlength=len(total)).astype(np.int64)
+        for part, sums in enumerate(total.reshape(-1, 1 << PART_BITS)):
+            some = np.flatnonzero(sums)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([some.astype("<u2").tobytes()], pa.binary()), pa.array([sums[some].tobytes()], pa.binary())], names=["part", "places", "sums"])
+
+    def added(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << PART_BITS, np.int64)
+        for places, sums in zip(table.column("places"), table.column("sums")):
+            total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(sums.as_buffer(), np.int64)
+        return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.select("_text").mapInArrow(count, "part int, places binary, sums binary").groupBy("part").applyInArrow(added, "part int, sums binary").toArrow()  # 64 rows
+    total = np.zeros((1 << CELL_BITS - PART_BITS, 1 << PART_BITS), np.int64)
+    for part, sums in zip(rows.column("part").to_pylist(), rows.column("sums")):
+        total[part] = np.frombuffer(sums.as_buffer(), np.int64)
+    return total.reshape(-1) > max(heavy_bytes, 8 * total.mean())
+
+
 def by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class number of each row, and the least id of each class."""
     names, which = np.unique(keys, return_inverse=True)
@@ -97,6 +149,21 @@ def by_key(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return which, low
 
 
+def equal_runs(keys: np.ndarray, ids: np.ndarray, run: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """by_key(), and a row of the least id in each class; rows whose bytes aren't those of that row leave the class."""
+    which, low = by_key(keys, ids)
+    one = np.full(len(low), -1, np.int64)
+    first = np.flatnonzero(ids == low[which])[::-1]
+    one[which[first]] = first
+    several = np.flatnonzero(np.bincount(which, minlength=len(low))[which] > 1)
+    rep = one[which[several]]
+    fits = sizes[several] == sizes[rep]
+    fits[fits] = same_bytes(run, starts[several[fits]], starts[rep[fits]], sizes[several[fits]])
+    odd = several[~fits]
+    which[odd] = len(low) + np.arange(len(odd))
+    return which, np.concatenate([low, ids[odd]]), np.concatenate([one, odd])
+
+
 def packed(*arrays: np.ndarray) -> bytes:
     """Whole numbers as differences, byte by byte of equal weight, compressed."""
     planes = [np.diff(x.astype(np.int64), prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in arrays]
@@ -111,15 +178,16 @@ def unpacked(data: bytes) -> list[np.ndarray]:
     return [np.cumsum(np.ascontiguousarray(flat[e - 8 * k : e].reshape(8, k).T).view("<i8").reshape(-1)) for e, k in zip(ends, sizes)]
 
 
-def cut_up(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
+def cut_up(docs: DataFrame, length: int, n_buckets: int, heavy: np.ndarray) -> DataFrame:
     """Rows (bucket, piece, kind, facts, text) of each piece, a stretch of consecutive documents.
 
     SEGMENTS by bucket; SPANS, of what is found removable here; DOCS, the ids and marks that the
     numbers of documents in the other rows stand for.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(heavy))  # 128 KiB
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, heavy = zstandard.ZstdCompressor(level=1), np.unpackbits(sent.value).astype(bool)
         for whole in batches:
             for batch in pieces(whole, "_text", BLOCK):
                 run, offsets = texts(batch.column("_text"))
@@ -127,14 +195,14 @@ def cut_up(docs: DataFrame, length: int, n_buckets: int) -> DataFrame:
                 marks = batch.column("_mark").to_numpy(zero_copy_only=False)
                 # the same for the same documents, so a task that runs again gives the same rows
                 piece = int(mixed((ids.view(np.uint64) * STEP ^ marks.view(np.uint64)) + np.arange(len(ids), dtype=np.uint64)).sum(dtype=np.uint64)) - 2**63
-                doc, first, size, at, grams, keys = segments(run, offsets, length)
-                which, low = by_key(keys, ids[doc])
+                doc, first, size, at, deal, keys = segments(run, offsets, length, heavy)
+                which, low, _ = equal_runs(keys, ids[doc], run, first, size)
                 known = ids[doc] > low[which]
                 start, side = first - offsets[doc], abs(piece) % n_buckets
                 rows = [(side, piece, DOCS, packed(ids, marks), b"")]
                 if known.any():
                     rows.append((side, piece, SPANS, packed(doc[known], start[known], size[known] - length + 1), b""))
-                bucket = (grams % np.uint64(n_buckets)).astype(np.int64)
+                bucket = (deal % np.uint64(n_buckets)).astype(np.int64)
                 order = np.flatnonzero(~known)[np.argsort(bucket[~known], kind="stable")]
                 cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
                 for k, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -304,13 +372,11 @@ def found_in(table: pa.Table, length: int, most: int) -> pa.Table:
             run = run[ragged(places[pick], sizes)]
             places = np.cumsum(sizes) - sizes
             key = mixed(run_hashes(run, places, sizes) + (at.astype(np.uint64) + np.uint64(1)) * STEP)
-            which, low = by_key(key, ids)
+            which, low, one = equal_runs(key, ids, run, places, sizes)
             later = ids > low[which]  # equal as a whole to a segment of a smaller id
             doc.append(doc_of[later])
             start.append(begin[later])
             count.append(sizes[later] - length + 1)
-            one = np.full(len(low), -1, np.int64)
-            one[which[~later][::-1]] = np.flatnonzero(~later)[::-1]  # a segment for each class, its first
             several = np.bincount(group[one]) > 1
             one = one[several[group[one]]]
             one = one[np.argsort(group[one], kind="stable")]
@@ -365,21 +431,27 @@ def merged(table: pa.Table, length: int) -> pa.Table:
     return pa.table({"_id": ids[doc[own]], "_mark": marks[doc[own]], "starts": lists[0], "ends": lists[1]})
 
 
-def spans(docs: DataFrame, *, length: int, shard_bytes: int) -> DataFrame:
+def spans(docs: DataFrame, *, length: int, shard_bytes: int, task_bytes: int, heavy_bytes: int) -> DataFrame:
     """_id (NO_ID for null), _mark, starts, ends of the removed runs of docs (_id, _mark, _text) that have any."""
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = cut_up(docs, length, n).groupBy("bucket").applyInArrow(lambda t: found_in(t, length, shard_bytes), "piece long, kind int, facts binary")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0))).first()[0]
+    n_tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // task_bytes)
+    cut = cut_up(docs, length, 2 * n_tasks, heavy_cells(docs, length, heavy_bytes))
+    found = cut.repartition(n_tasks, "bucket").groupBy("bucket").applyInArrow(lambda t: found_in(t, length, shard_bytes), "piece long, kind int, facts binary")
     out = found.groupBy("piece").applyInArrow(lambda t: merged(t, length), "_id long, _mark long, starts array<long>, ends array<long>")
     return out.distinct()  # pieces of equal documents are one piece, and so are rows that repeat a document
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = 4 << 20) -> DataFrame:
-    """docs with _n_bytes, _starts and _ends (of the removed runs, in bytes) and _kept, the bytes that stay."""
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = 4 << 20, task_bytes: int = 8 << 20, heavy_bytes: int = 16 << 20) -> DataFrame:
+    """docs with _n_bytes, _starts and _ends (of the removed runs, in bytes) and _kept, the bytes that stay.
+
+    shard_bytes: bytes of segments in a suffix array; task_bytes: bytes of text for each task that
+    compares segments, of which there are three to four times as many bytes.
+    """
     if length < GRAM:
         raise ValueError(f"passages have {GRAM} bytes or more")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
-    found = written(spans(marked.drop("_row"), length=length, shard_bytes=shard_bytes), "spans")
+    found = written(spans(marked.drop("_row"), length=length, shard_bytes=shard_bytes, task_bytes=task_bytes, heavy_bytes=heavy_bytes), "spans")
     freed(docs.sparkSession)
     out = marked.join(found, ["_id", "_mark"], "left")
     # what stays between removed runs
