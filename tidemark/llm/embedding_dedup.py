@@ -136,13 +136,15 @@ def _compared(table: pa.Table, least: float) -> pa.Table:
 
 
 def near_duplicates(
-    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, n_trees: int = 6, leaf: int = 1500, margin: float = 0.0125, max_leaf: int = 4000, max_sample: int = 20_000, seed: int = 7
+    vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.98, n_trees: int = 8, leaf: int = 400, spill: float = 0.6, max_leaf: int = 4000, max_sample: int = 20_000, seed: int = 7
 ) -> DataFrame:
     """id, n_links, component_id and kept of every row."""
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
+    # floats travel as floats, which double precision holds exactly
+    v = F.col(vector_col) if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), v.alias("v"), F.col(label_col).alias("label"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
-    length2 = F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c)
+    length2 = F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))
     good = F.coalesce(F.col("label").isNotNull() & finite & (length2 > 0) & (length2 < F.lit(math.inf)), F.lit(False))
     key = ["label", "mark", "v"]
     rows = rows.withColumn("_good", good).withColumn("mark", F.xxhash64("label", "v"))
@@ -154,6 +156,7 @@ def near_duplicates(
         same = classes.filter(F.col("size") == size)
         depth = max(0, math.ceil(math.log2(max(1, same.count() / leaf))))
         sample = same.orderBy(F.xxhash64("cls"), "cls").limit(max_sample).select("v").toArrow()
+        margin = spill * math.sqrt((2 - 2 * least) / size)
         forest = Forest(unit(matrix(pa.concat_arrays(sample.column("v").chunks))), n_trees, depth, margin, seed)
         placed = written(with_leaves(same.select("cls", "w", "label", "v"), forest), "leaves")
         sizes = placed.select("label", F.explode("codes").alias("code")).groupBy("label", "code").agg(F.count("*").alias("n"))

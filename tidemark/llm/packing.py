@@ -7,10 +7,11 @@ left takes a sequence, a subset sum over the lengths left (the reachable sums ar
 integer) finds the fullest combination beside it, and that combination is removed as often as the
 counts allow, which is what removing it once again and again would do. Each use of a length in a
 combination covers a range of the pieces of that length, so pieces find their places by their number
-within their length. Those numbers come from counts by (length, salt): no length gathers in a task.
+within their length. Those numbers come from counts by (length, salt), with as many salts as the
+number of pieces asks for: no length gathers in a task. A piece as long as a sequence is one.
 
 Defined cases: a null text is empty and gives a piece with the end id alone; repeated rows are
-separate documents; a null id is kept; an empty table gives no rows. Other columns aren't returned.
+separate documents; a null id is kept; a text of any length is encoded whole; an empty table gives no rows. Other columns aren't returned.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from .common import written
 from .tokens import encoder
 from .words import pieces, ragged
 
-SIZE, END_ID, SALTS = 1024, 2, 64
+SIZE, END_ID = 1024, 2
+#: Pieces that a (length, salt) should hold at most, if salts spread evenly.
+CELL = 500_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -110,7 +113,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
 def placed(parts: DataFrame, *, size: int = SIZE, id_col: str = "doc_id") -> DataFrame:
     """parts, a stored table from token_pieces(), with sequence_id and offset."""
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(SALTS)))
+    whole, rest = parts.filter(F.col("length") == size), parts.filter(F.col("length") < size)
+    salts = max(64, rest.count() // CELL)
+    salted = rest.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece"), F.lit(salts)))
     cells = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     counts = {int(r["length"]): int(r["n"]) for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most size rows
     slots = sorted(plan(counts, size))
@@ -126,7 +131,10 @@ def placed(parts: DataFrame, *, size: int = SIZE, id_col: str = "doc_id") -> Dat
     starts = cells.select("length", "_salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "start", "ids_crc32"))
     rows = salted.withColumn("_number", number).join(starts, ["length", "_salt"])
-    return rows.withColumn("_place", place("length", F.col("_before") + F.col("_number") - 1)).select(*parts.columns, "_place.sequence_id", "_place.offset")
+    names = [*parts.columns, "sequence_id", "offset"]
+    shared = rows.withColumn("_place", place("length", F.col("_before") + F.col("_number") - 1)).select(*parts.columns, "_place.sequence_id", "_place.offset")
+    alone = whole.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})  # apart from the plan's numbers
+    return shared.select(names).unionByName(alone.select(names))
 
 
 def packed(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

@@ -32,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import freed, written
@@ -441,11 +441,21 @@ def spans(docs: DataFrame, *, length: int, shard_bytes: int, task_bytes: int, he
     return out.distinct()  # pieces of equal documents are one piece, and so are rows that repeat a document
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = 4 << 20, task_bytes: int = 8 << 20, heavy_bytes: int = 16 << 20) -> DataFrame:
+def _trimmed(text: Column, gap: Column) -> Column:
+    """gap (a, n) of text without the bytes of characters that begin before it or end after it."""
+    part = lambda at, n: F.hex(F.substring(text, (at + 1).cast("int"), n.cast("int")))
+    three = F.least(gap["n"], F.lit(3))
+    lead = F.when(gap["a"] > 0, F.length(F.regexp_extract(part(gap["a"], three), "^((?:[89AB].)*)", 1)) / 2).otherwise(0).cast("long")
+    tail = (F.length(F.regexp_extract(part(gap["a"] + gap["n"] - three, three), "([C-F].|[EF].[89AB].|F.[89AB].[89AB].)$", 1)) / 2).cast("long")
+    return F.struct((gap["a"] + lead).alias("a"), F.greatest(gap["n"] - lead - tail, F.lit(0)).alias("n"))
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, shard_bytes: int = 4 << 20, task_bytes: int = 8 << 20, heavy_bytes: int = 16 << 20, whole_chars: bool = False) -> DataFrame:
     """docs with _n_bytes, _starts and _ends (of the removed runs, in bytes) and _kept, the bytes that stay.
 
     shard_bytes: bytes of segments in a suffix array; task_bytes: bytes of text for each task that
-    compares segments, of which there are three to four times as many bytes.
+    compares segments, of which there are three to four times as many bytes. whole_chars: of a
+    character that a cut splits, no byte is in _kept, which then is valid UTF-8.
     """
     if length < GRAM:
         raise ValueError(f"passages have {GRAM} bytes or more")
@@ -459,6 +469,8 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ends, starts = F.coalesce("ends", none), F.coalesce("starts", none)
     size = F.octet_length("_text").cast("long")
     gaps = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), ends), F.concat(starts, F.array(size)), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    if whole_chars:
+        gaps = F.transform(gaps, lambda g: _trimmed(F.col("_text"), g))
     kept = F.aggregate(gaps, F.lit(b"").cast("binary"), lambda s, g: F.concat(s, F.substring(F.col("_text"), (g["a"] + 1).cast("int"), g["n"].cast("int"))))
     kept = F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept)
     return out.select("_row.*", size.alias("_n_bytes"), starts.alias("_starts"), ends.alias("_ends"), kept.alias("_kept"))

@@ -116,7 +116,11 @@ def judged(urls: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     )
     best = F.max_by(F.struct("rule", "action"), F.struct(F.length("rule"), F.length("r_host"), "r_host"))
     hits = keys.join(listed, ["r_host", "r_path"]).groupBy("host", "path").agg(best.alias("hit"))
-    return rows.join(hits, ["host", "path"], "left").select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit("allow")).alias("verdict"))
+    # rows without a host fit nothing: their keys are spread
+    key = F.when(F.col("host") == "", F.concat(F.lit("/"), F.pmod(F.xxhash64(id_col, url_col), F.lit(4096)).cast("string"))).otherwise(F.col("host"))
+    rows = urls.select(id_col, url_col).select(id_col, host.alias("host"), path.alias("path"), url_col).withColumn("_key", key)
+    hits = hits.select(F.col("host").alias("_key"), F.col("path").alias("_path"), "hit")
+    return rows.join(hits, (rows["_key"] == hits["_key"]) & (rows["path"] == hits["_path"]), "left").select(id_col, "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.action", F.lit("allow")).alias("verdict"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
