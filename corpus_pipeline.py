@@ -30,11 +30,11 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages. Bytes of a character that a cut has split go with the passage; texts left empty go."""
-    out = suffix_dedup.without_repeats(docs)
-    text = F.when(F.size("_starts") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8(F.col("_kept").cast("string")), F.lit("�"), F.lit("")))
-    rest = out.withColumn("text", text).filter("text is null or length(text) > 0 or size(_starts) = 0")
-    return rest.withColumn("n_chars", F.when(F.size("_starts") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    """Texts without repeated passages. A character that a cut has split goes with the passage; texts left empty go."""
+    out = suffix_dedup.without_repeats(docs, whole_chars=True)
+    cut = F.size("_starts") > 0
+    rest = out.withColumn("text", F.when(cut, F.col("_kept").cast("string")).otherwise(F.col("text"))).filter(~cut | (F.length("text") > 0))
+    return rest.withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
