@@ -190,18 +190,30 @@ def test_jaccard_join_edges(spark, edge):
     assert jaccard_join.joined(edge.limit(0)).count() == 0
 
 
-def test_linked_sets_share_a_prefix_token():
+def test_linked_sets_are_connected_by_prefix_tokens():
     """Whatever the order of tokens is; among them one whose upper half is zero."""
     rng = np.random.default_rng(11)
-    rank = rng.integers(0, 4, 1 << jaccard_join.CELL_BITS).astype(np.uint8)
-    for _ in range(300):
+    rank = rng.integers(jaccard_join.ALONE + 1, 9, 1 << jaccard_join.LEAST_BITS).astype(np.uint8)
+    n_linked = 0
+    for _ in range(400):
         n = int(rng.integers(1, 40))
         core = np.append(rng.integers(0, 2**63, n).astype(np.uint64), np.uint64(12345))
-        x, y = (np.unique(np.where(rng.random(len(core)) < 0.07, rng.integers(0, 2**63, len(core)).astype(np.uint64), core)) for _ in range(2))
-        both = len(np.intersect1d(x, y))
-        if 100 * both >= 80 * (len(x) + len(y) - both):
-            assert len(np.intersect1d(jaccard_join.prefix(x, rank, 80), jaccard_join.prefix(y, rank, 80)))
-            assert 100 * min(len(x), len(y)) >= 80 * max(len(x), len(y))
+        sets = [np.unique(np.append(np.where(rng.random(len(core)) < 0.07, rng.integers(0, 2**63, len(core)).astype(np.uint64), core), rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64))) for _ in range(2)]
+        both = len(np.intersect1d(*sets))
+        if 100 * both >= 80 * (len(sets[0]) + len(sets[1]) - both):
+            n_linked += 1
+            parts = [jaccard_join.prefix(s, rank, 80) for s in sets]
+            token, short = (np.concatenate(x) for x in zip(*parts))
+            n_each = [len(p[0]) for p in parts]
+            pairs = jaccard_join.near_runs(token, np.repeat([len(s) for s in sets], n_each), np.repeat([1, 2], n_each), short, 80)
+            assert len(pairs) or len(sets[0]) == both == len(sets[1])
+    assert n_linked > 100
+
+
+def test_gaps():
+    rng = np.random.default_rng(3)
+    for at in (np.zeros(0, np.int64), np.array([0]), np.array([65535]), np.array([254, 255, 510, 765]), np.unique(rng.integers(0, 65536, 300))):
+        assert (jaccard_join.places(np.frombuffer(jaccard_join.gaps(at), np.uint8)) == at).all()
 
 
 def test_hashes_of_crafted_words():

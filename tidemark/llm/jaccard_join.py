@@ -3,10 +3,13 @@
 Documents with equal sets are one class from the start. Classes that may link are brought together
 by prefix tokens and sizes, which loses no link: with the n-grams of every set in one global order,
 two sets with Jaccard similarity s or more share one of their first size - ceil(s * size) + 1
-n-grams, and the smaller has at least s times the larger's size. The order puts n-grams first that
-few documents have (by a table of hashed counts over all documents, of a fixed size), so passages
-that many documents share hardly ever route. Classes that a chain of shared prefix tokens and near
-sizes connects form a block.
+n-grams, for the smaller one of its first size - ceil(2s / (1 + s) * size) + 1, and the smaller has
+at least s times the larger's size. The order puts n-grams first that few documents have, by a table
+of hashed counts over all documents, so passages that many documents share hardly ever route; an
+n-gram alone in its cell is no other document's and doesn't travel. The table has a cell for every 16
+bytes of text, 2^26 at most (64 MiB, a byte each); with more text it tells less apart, which makes
+blocks larger but loses nothing. Classes that a chain of shared prefix tokens and near sizes connects
+form a block.
 
 Inside a block the sets hang in a signature tree: a leaf has one set's token bitmap, a node the OR
 of its children's bitmaps, their range of sizes and how far a bitmap may undercount a set. A dual
@@ -40,8 +43,8 @@ from .common import components, dropped, written
 from .words import LOWER, STEP, mixed, pieces, run_hashes, shingle_hashes, texts, word_spans
 
 PIECE, FAN = 2 << 20, 8
-#: The table of counts: 2^20 cells in parts of 2^14.
-CELL_BITS, PART_BITS = 20, 14
+#: The table of counts: cells by the upper bits of a token, in parts of 2^16.
+LEAST_BITS, MOST_BITS, PART_BITS = 18, 26, 16
 
 
 def token_sets(column: pa.Array, n: int) -> list[np.ndarray]:
@@ -53,67 +56,98 @@ def token_sets(column: pa.Array, n: int) -> list[np.ndarray]:
     return [np.unique(grams[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
 
-def cells(tokens: np.ndarray) -> np.ndarray:
-    """Where tokens count in the table."""
-    return (tokens >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+def cells(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Where tokens count in a table of 2^bits cells."""
+    return (tokens >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
+def gaps(places: np.ndarray) -> bytes:
+    """Ascending places as the gaps between them, a byte each and one more for every 255 in a gap."""
+    gap = np.diff(places, prepend=0)
+    ends = np.cumsum(gap // 255 + 1)
+    out = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gap % 255
+    return out.tobytes()
+
+
+def places(data: np.ndarray) -> np.ndarray:
+    """What gaps() was given."""
+    return np.cumsum(data, dtype=np.int64)[data != 255]
+
+
+def signatures(docs: DataFrame, n: int, bits: int) -> DataFrame:
     """_id, size and two halves of a fingerprint of the set of every document; and, in rows of their
-    own with a part, the counts of each task: places in the part (16 bits) and counts (32 bits).
+    own with a part, the counts of each task, up to 255: cells of the part (by gaps) and counts.
     """
     names = ["_id", "size", "mark1", "mark2", "part", "places", "counts"]
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << CELL_BITS, np.uint32)
+        total = np.zeros(1 << bits, np.uint8)
         for whole in batches:
             for batch in pieces(whole, "_text", PIECE):
                 sets = token_sets(batch.column("_text"), n)
-                if any(len(s) for s in sets):
-                    total += np.bincount(cells(np.concatenate(sets)), minlength=len(total)).astype(np.uint32)
+                if sets:
+                    at, more = np.unique(cells(np.concatenate(sets), bits), return_counts=True)
+                    total[at] = np.minimum(total[at] + more, 255)
                 marks = [[fingerprint(s, k) for s in sets] for k in (STEP, STEP << np.uint64(7))]
                 none = [pa.nulls(len(batch), k) for k in kinds[4:]]
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), *none], names=names)
         for part, counts in enumerate(total.reshape(-1, 1 << PART_BITS)):
             some = np.flatnonzero(counts)
             if len(some):
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), *(pa.array([x], k) for x, k in zip((part, some.astype("<u2").tobytes(), counts[some].tobytes()), kinds[4:]))], names=names)
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, k) for k in kinds[:4]), *(pa.array([x], k) for x, k in zip((part, gaps(some), counts[some].tobytes()), kinds[4:]))], names=names)
 
     return docs.mapInArrow(run, "_id long, size long, mark1 long, mark2 long, part int, places binary, counts binary")
 
 
-def rarity(signed: DataFrame) -> np.ndarray:
-    """For each cell of the table a rank by its count over all documents (a quarter of an octave apart), one byte."""
+def rarity(signed: DataFrame, bits: int) -> np.ndarray:
+    """For each cell of the table a rank by its count over all documents (a quarter of an octave apart), one byte; 0 for none, ALONE for one."""
 
     def added(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << PART_BITS, np.int64)
-        for places, counts in zip(table.column("places"), table.column("counts")):
-            total[np.frombuffer(places.as_buffer(), "<u2")] += np.frombuffer(counts.as_buffer(), np.uint32)
+        for at, counts in zip(table.column("places"), table.column("counts")):
+            total[places(np.frombuffer(at.as_buffer(), np.uint8))] += np.frombuffer(counts.as_buffer(), np.uint8)
         rank = np.minimum(np.log2(total + 1.0) * 4, 255).astype(np.uint8)
         return pa.table({"part": table.column("part")[:1], "rank": pa.array([rank.tobytes()], pa.binary())})
 
-    rows = signed.filter("part is not null").select("part", "places", "counts").groupBy("part").applyInArrow(added, "part int, rank binary").toArrow()  # 64 rows
-    out = np.zeros((1 << CELL_BITS - PART_BITS, 1 << PART_BITS), np.uint8)
+    rows = signed.filter("part is not null").select("part", "places", "counts").groupBy("part").applyInArrow(added, "part int, rank binary").toArrow()  # 2^10 rows of 64 KiB at most
+    out = np.zeros((1 << bits - PART_BITS, 1 << PART_BITS), np.uint8)
     for part, rank in zip(rows.column("part").to_pylist(), rows.column("rank")):
         out[part] = np.frombuffer(rank.as_buffer(), np.uint8)
     return out.reshape(-1)
 
 
-def prefix(tokens: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The first tokens of a set in the global order, as many as a linked set must share one of."""
-    need = -(-len(tokens) * percent // 100)
-    return tokens[np.lexsort((tokens, rank[cells(tokens)]))[: len(tokens) - need + 1]]
+#: The rank of a cell with one token.
+ALONE = 4
 
 
-def near_runs(token: np.ndarray, size: np.ndarray, mark: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of marks that connect the sets of each token whose sizes a chain of near sizes spans."""
-    order = np.lexsort((size, token))
-    token, size, mark = token[order], size[order], mark[order]
-    new = np.append(True, (token[1:] != token[:-1]) | (100 * size[:-1] < percent * size[1:])) if len(token) else np.zeros(0, bool)
-    first = mark[np.flatnonzero(new)][np.cumsum(new) - 1]
-    pairs = np.stack([first, mark], 1)[first != mark]
-    return np.unique(pairs, axis=0)
+def prefix(tokens: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first tokens of a set in the global order, as many as a linked set must share one of, but
+    those that no other set has; and which of them are among those that a larger linked set must share one of.
+    """
+    bits, size = len(rank).bit_length() - 1, len(tokens)
+    own = rank[cells(tokens, bits)]
+    first = np.lexsort((tokens, own))[: size - -(-size * percent // 100) + 1]
+    shorter = np.arange(len(first)) < size - -(-2 * percent * size // (100 + percent)) + 1
+    shared = own[first] > ALONE
+    return tokens[first[shared]], shorter[shared]
+
+
+def near_runs(token: np.ndarray, size: np.ndarray, mark: np.ndarray, short: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of marks that connect the sets of each token that may link: of near sizes, and the smaller with the token in its shorter prefix.
+
+    A set is paired with the next smaller one that has the token there; chains of these connect the rest.
+    """
+    order = np.lexsort((~short, size, token))
+    token, size, mark, short = token[order], size[order], mark[order], short[order]
+    at = np.arange(len(token))
+    first = np.maximum.accumulate(np.where(np.append(True, token[1:] != token[:-1])[: len(at)], at, 0))
+    last = np.append(-1, np.maximum.accumulate(np.where(short, at, -1)))[: len(at)]
+    fit = last >= first
+    fit[fit] = 100 * size[last[fit]] >= percent * size[fit]
+    pairs = np.stack([mark[last[fit]], mark[fit]], 1)
+    return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
 
 
 def routes(docs: DataFrame, n: int, percent: int, rank: np.ndarray, n_buckets: int) -> DataFrame:
@@ -126,25 +160,27 @@ def routes(docs: DataFrame, n: int, percent: int, rank: np.ndarray, n_buckets: i
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            token, size, mark = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            token, size, mark, short = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
             for batch in pieces(whole, "_text", PIECE):
                 for s in token_sets(batch.column("_text"), n):
-                    if len(s):
-                        token.append(prefix(s, sent.value, percent))
-                        size.append(np.full(len(token[-1]), len(s)))
-                        mark.append(np.full(len(token[-1]), fingerprint(s)))
-            token, size, mark = (np.concatenate(x) for x in (token, size, mark))
-            order = np.lexsort((mark, size, token))
-            token, size, mark = token[order], size[order], mark[order]
-            new = np.append(True, (token[1:] != token[:-1]) | (size[1:] != size[:-1])) if len(token) else np.zeros(0, bool)
+                    mine, shorter = prefix(s, sent.value, percent) if len(s) else (s, s)
+                    if len(mine):
+                        token.append(mine)
+                        short.append(shorter)
+                        size.append(np.full(len(mine), len(s)))
+                        mark.append(np.full(len(mine), fingerprint(s)))
+            token, size, mark, short = (np.concatenate(x) for x in (token, size, mark, short))
+            order = np.lexsort((mark, ~short, size, token))
+            token, size, mark, short = token[order], size[order], mark[order], short[order]
+            new = np.append(True, (token[1:] != token[:-1]) | (size[1:] != size[:-1]))[: len(token)]
             held = mark[np.flatnonzero(new)][np.cumsum(new) - 1]
             here = np.unique(np.stack([held, mark], 1)[held != mark], axis=0)
-            token, size, mark = token[new], size[new], mark[new]
+            token, size, mark, short = token[new], size[new], mark[new], short[new]
             bucket = (token % np.uint64(n_buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
             rows = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-            packs = [[x[r].tobytes() for r in rows] for x in (token, size.astype(np.uint32), mark)]
+            packs = [[x[r].tobytes() for r in rows] for x in (token, (size << 1 | short).astype(np.uint32), mark)]
             pairs = [b""] * n_buckets
             pairs[int(abs(int(here.sum())) % n_buckets)] = here.tobytes()
             keep = pa.array([bool(len(r)) or bool(p) for r, p in zip(rows, pairs)])
@@ -152,7 +188,7 @@ def routes(docs: DataFrame, n: int, percent: int, rank: np.ndarray, n_buckets: i
 
     def meet(table: pa.Table) -> pa.Table:
         token, size, mark, here = (np.concatenate([np.frombuffer(x.as_buffer(), k) for x in table.column(c)]) for c, k in (("token", np.uint64), ("size", np.uint32), ("mark", np.int64), ("pairs", np.int64)))
-        pairs = np.concatenate([near_runs(token, size.astype(np.int64), mark, percent), here.reshape(-1, 2)])
+        pairs = np.concatenate([near_runs(token, (size >> 1).astype(np.int64), mark, (size & 1).astype(bool), percent), here.reshape(-1, 2)])
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     rows = docs.select("_text").mapInArrow(spread, "bucket long, token binary, size binary, mark binary, pairs binary")
@@ -300,7 +336,7 @@ def block_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def across(sets: DataFrame, split: DataFrame, percent: int, max_sets: int) -> DataFrame:
-    """Links that are left in split blocks: split (mark1, block, shard, shards, component), sets (mark1, tokens).
+    """Links that are left in split blocks: split (mark1, block, shard, shards, component), sets (mark1, shards, tokens).
 
     Classes outside a block's main component, dealt into shards of their own, meet every shard of the
     block, shard by shard; no pair of classes is a row.
@@ -308,7 +344,8 @@ def across(sets: DataFrame, split: DataFrame, percent: int, max_sets: int) -> Da
     counts = split.groupBy("block", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("block").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
     main = main.withColumn("parts", F.ceil((F.col("all") - F.col("most")) / max_sets).cast("long")).filter("parts > 0")
-    rows = split.join(main.select("block", "main", "parts"), "block").join(sets.select("mark1", "tokens").dropDuplicates(["mark1"]), "mark1")
+    own = sets.filter("shards > 1").select("mark1", "tokens").join(split, "mark1").join(main.select("block", "main", "parts"), "block")
+    rows = own.dropDuplicates(["mark1"])
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     outside = rows.filter("component <> main").withColumns({"_part": F.pmod(F.xxhash64("mark1", F.lit(3)), F.col("parts")), "_to": F.explode(upto("shards")), "_out": F.lit(True)})
     every = rows.withColumns({"_to": F.col("shard"), "_part": F.explode(upto("parts")), "_out": F.lit(False)})
@@ -330,10 +367,12 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
     spark = docs.sparkSession
     n_buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    made = written(signatures(rows, n), "signatures")
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("_text").cast("long")), F.lit(0))).first()[0]
+    bits = min(max((n_bytes // 16).bit_length(), LEAST_BITS), MOST_BITS)
+    made = written(signatures(rows, n, bits), "signatures")
     signed, mark = made.filter("part is null").select("_id", "size", "mark1", "mark2"), ["size", "mark1", "mark2"]
     classes = written(signed.filter("size > 0 and _id is not null").groupBy(*mark).agg(F.min("_id").alias("_id")), "classes")
-    edges = written(routes(rows, n, percent, rarity(made), n_buckets), "routes")
+    edges = written(routes(rows, n, percent, rarity(made, bits), n_buckets), "routes")
     blocks = components(edges, "blocks").select(F.col("id").alias("mark1"), F.col("component").alias("block"))
     # from here on a class goes by its mark1
     members = written(blocks.join(classes, "mark1").select("mark1", "_id", "block", "size"), "members")
