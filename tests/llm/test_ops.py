@@ -198,7 +198,7 @@ def test_linked_sets_are_connected_by_prefix_tokens():
     for _ in range(400):
         n = int(rng.integers(1, 40))
         core = np.append(rng.integers(0, 2**63, n).astype(np.uint64), np.uint64(12345))
-        sets = [np.unique(np.append(np.where(rng.random(len(core)) < 0.07, rng.integers(0, 2**63, len(core)).astype(np.uint64), core), rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64))) for _ in range(2)]
+        sets = [np.unique(np.append(np.where(rng.random(len(core)) < 0.04, rng.integers(0, 2**63, len(core)).astype(np.uint64), core), rng.integers(0, 2**63, int(rng.integers(0, 3))).astype(np.uint64))) for _ in range(2)]
         both = len(np.intersect1d(*sets))
         if 100 * both >= 80 * (len(sets[0]) + len(sets[1]) - both):
             n_linked += 1
@@ -207,7 +207,7 @@ def test_linked_sets_are_connected_by_prefix_tokens():
             n_each = [len(p[0]) for p in parts]
             pairs = jaccard_join.near_runs(token, np.repeat([len(s) for s in sets], n_each), np.repeat([1, 2], n_each), short, 80)
             assert len(pairs) or len(sets[0]) == both == len(sets[1])
-    assert n_linked > 100
+    assert n_linked > 60
 
 
 def test_gaps():
