@@ -96,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
         for whole in batches:
-            for batch in pieces(whole, text_col, 4 << 20):
+            for batch in pieces(whole, text_col, 2 << 20):
                 ids, at = encode(batch.column(text_col))
                 n = np.diff(at)
                 row, piece, start, length = cut(n + 1, size)

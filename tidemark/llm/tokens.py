@@ -39,7 +39,7 @@ def has_odd(run: np.ndarray) -> bool:
 class Encoder:
     """Ids of texts. most: stretches that the table holds before it starts anew."""
 
-    def __init__(self, path: str, most: int = 2_000_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -56,10 +56,10 @@ class Encoder:
         return "", None
 
     def _clear(self) -> None:
-        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.pool, self.held = np.zeros(0, np.uint32), 0
         #: The bytes of each stretch by eights, where they start and how many bytes they are.
-        self.bytes, self.bytes_at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.bytes, self.bytes_at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def _alone(self, many: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(many, add_special_tokens=False)]
@@ -98,14 +98,14 @@ class Encoder:
         bytes_at = (len(self.bytes) + np.cumsum(n_eights) - n_eights)[order]
         self.bytes = np.concatenate([self.bytes, eights])
         size = np.array([len(s) for s in stretches], np.int64)[order]
-        every = [np.concatenate(x) for x in ((self.keys, keys[order]), (self.at, at), (self.n, n), (self.bytes_at, bytes_at), (self.size, size))]
+        every = [np.concatenate([x, y.astype(x.dtype)]) for x, y in ((self.keys, keys[order]), (self.at, at), (self.n, n), (self.bytes_at, bytes_at), (self.size, size))]
         order = np.argsort(every[0], kind="stable")
         self.keys, self.at, self.n, self.bytes_at, self.size = (x[order] for x in every)
 
     def _others(self, where: np.ndarray, eights: np.ndarray, n_eights: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Which stretches aren't those that the table holds at where."""
         same = self.size[where] == lengths
-        held = self.bytes[ragged(self.bytes_at[where], np.where(same, n_eights, 0))]
+        held = self.bytes[ragged(self.bytes_at[where].astype(np.int64), np.where(same, n_eights, 0))]
         differs = np.zeros(len(eights), bool)
         differs[np.repeat(same, n_eights)] = held != eights[np.repeat(same, n_eights)]
         return np.flatnonzero(~same | np.logical_or.reduceat(differs, np.cumsum(n_eights) - n_eights))
@@ -138,7 +138,7 @@ class Encoder:
             each = np.cumsum(n_eights) - n_eights
             self._learn(keys[~known], [stretch(k) for k in new.tolist()], eights[ragged(each[new], n_eights[new])], n_eights[new])
             where, _ = self._known(keys)
-        at, n, pool = self.at[where][which], self.n[where][which], self.pool
+        at, n, pool = self.at[where][which].astype(np.int64), self.n[where][which].astype(np.int64), self.pool
         for k in self._others(where[which], eights, n_eights, lengths).tolist():
             ids, _ = self._ids([stretch(k).decode()])
             at[k], n[k], pool = len(pool), len(ids), np.concatenate([pool, ids])
