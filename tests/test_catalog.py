@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import connect, rows
-from tidemark.operators import fleet
 from tidemark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -20,18 +19,6 @@ def test_same_as_sql(spark, con, name):
     assert rows(catalog.QUERIES[name](spark, SF).toPandas()) == rows(con.execute(catalog.ORACLE_SQL[name]).df())
 
 
-def test_stream_fires_as_batch_does_where_nothing_is_late(spark):
-    batch = {(r.rule, r.device, r.ts) for r in fleet.fired(catalog._matches(spark, SF)).collect()}
-    stream = {(r.rule, r.device, r.ts) for r in catalog.stream_alerts(spark, SF).collect()}
-    assert stream and stream <= batch | stream and len(stream - batch) == 0
-
-
-def test_windows_count_every_sample_twice_until_the_watermark(spark):
-    out = catalog.stream_windows(spark, SF).toPandas()
-    n = spark.read.parquet(f"{SF}/events.parquet").count()
-    assert 0.8 * 2 * n <= out["n"].sum() <= 2 * n
-
-
 def test_sessions_are_disjoint(spark):
     out = catalog.stream_sessions(spark, SF).toPandas().sort_values(["device", "start"])
     later = out.groupby("device")["start"].shift(-1)
@@ -53,7 +40,7 @@ def test_streams_return_all_that_a_batch_does(spark, in_parts, name):
 
     batch = views.samples(spark, SF).withColumn("ts", F.col("ts").cast("timestamp"))
     want = jobs.windows(batch, late=None) if name == "stream_windows" else jobs.sessions(batch, "1 day", late=None)
-    want = rows(want.toPandas())
+    want = rows(catalog._plain(want, *(c for c in ("start", "end") if c in want.columns)).toPandas())
     for d in (SF, in_parts):
         assert rows(catalog.QUERIES[name](spark, d).toPandas()) == want
 

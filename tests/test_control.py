@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import crypto, rules
 from tidemark.operators import control
+from tidemark.operators import reconcile
 from tidemark.sources import repository
 
 
@@ -50,7 +51,7 @@ def test_logs_metrics_and_rules(spark):
     lines = spark.createDataFrame([("ok  pkg",), ("FAIL pkg",), ("test result: ok. 3",), ("nok",)], "value string")
     assert control.test_counts(lines).first()[:] == (2, 1)
     row = spark.range(1).select(rules.decision(F.lit("?")), rules.throughput(F.lit(5), F.lit(0)), rules.clamped(F.lit(7.0)), rules.blocked(F.lit(None), F.lit(1)), rules.fixture_verdict(F.lit(""), F.lit(-1), F.lit(None), F.lit("x"), F.lit(False))).first()
-    assert tuple(row) == ("mark_failed", 0.0, 1.0, False, "bad_size")
+    assert tuple(row) == (None, 0.0, 1.0, False, "bad_size")
 
 
 @pytest.mark.parametrize("text", [b"", b"abc" * 100, None])
@@ -60,3 +61,52 @@ def test_crypto_round_trip(spark, text):
     e = crypto.encrypted(F.col("d"), key, F.col("id"))
     row = df.select(crypto.decrypted(e, key).alias("a"), crypto.decrypted(e, other).alias("b"), crypto.decompressed(crypto.compressed("d")).alias("c")).first()
     assert (row.a, row.b, row.c) == (text, None, text)
+
+
+def test_scan_of_several_roots_with_rules(spark, tmp_path):
+    for name in ("a/x.txt", "a/skip/y.txt", "b/z.txt", "b/z.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"1")
+    roots = [f"file://{tmp_path}/{r}" for r in ("a", "b", "missing")]
+    got = {r.path.rsplit("/", 1)[1] for r in repository.scan(spark, roots, include=[("glob", "*.txt")], exclude=[("glob", "*/skip/*")]).collect()}
+    assert got == {"x.txt", "z.txt"} and repository.scan(spark, roots[2]).count() == 0
+
+
+def test_chunks_are_removed_and_other_buckets_left_alone(spark, tmp_path):
+    data = spark.createDataFrame([(f"d{k}".encode(),) for k in range(60)], "data binary").withColumn("hash", F.sha2("data", 256))
+    repository.store_chunks(data.select("hash", "data"), path := f"file://{tmp_path}/c")
+    hashes = sorted(r.hash for r in data.collect())
+    before = {f.name for f in (tmp_path / "c").glob("bucket=*")}
+    only = hashes[0]
+    gone = repository.remove_chunks(spark, path, spark.createDataFrame([(only,), (hashes[30],), ("ff" * 32,)], "hash string"))
+    assert {r.hash for r in gone.collect()} == {only, hashes[30]}
+    assert sorted(r.hash for r in spark.read.parquet(path).select("hash").collect()) == sorted(set(hashes) - {only, hashes[30]})
+    assert {f.name for f in (tmp_path / "c").glob("bucket=*")} <= before
+    assert repository.remove_chunks(spark, path, spark.createDataFrame([("00",)], "hash string")).count() == 0
+
+
+def test_versions_show_once_they_are_committed(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    manifest = spark.createDataFrame([(1, None, [("p", 3, 1, ["h1", "h2"])])], repository.MANIFEST)
+    chunks = spark.createDataFrame([("h1",), ("h2",)], "chunk string")
+    repository.stage_version(manifest, root, 1)
+    repository.stage_version(manifest, root, 2)
+    (tmp_path / "r/staging/2/_SUCCESS").unlink()
+    assert not repository.commit_version(spark, root, 1, chunks.limit(1)) and repository.commit_version(spark, root, 1, chunks)
+    assert [r.version_id for r in repository.list_versions(spark, f"{root}/versions/1").collect()] == [1]
+    assert not repository.commit_version(spark, root, 2, chunks) and repository.clear_incomplete(spark, root) == [2] and repository.clear_incomplete(spark, root) == []
+    assert repository.remove_object(spark, f"{root}/versions/1") and not repository.remove_object(spark, f"{root}/versions/1")
+
+
+def test_conversion_there_and_back(spark):
+    m = spark.createDataFrame([(1, None, [("p", 3, 1, ["h1", "h2"]), ("q", 0, 2, [])]), (2, None, None)], repository.MANIFEST)
+    assert repository.from_compat(repository.to_compat(m)).collect() == m.collect()
+    with pytest.raises(Exception, match="no version"):
+        repository.from_compat(repository.to_compat(m).withColumn("version", F.lit("x"))).collect()
+
+
+def test_collection(spark):
+    index = spark.createDataFrame([("a", 0, 5, "gc_pending"), ("b", 0, 6, "gc_pending"), ("c", 0, 7, "active"), ("d", 2, 8, "gc_pending")], "hash string, ref_count long, stored_size long, status string")
+    report = reconcile.gc_report(index, spark.createDataFrame([("a",), ("c",), ("d",)], "hash string"))
+    assert {tuple(r) for r in report.collect()} == {("a", "purged", 5), ("b", "gone", 0), ("c", "skipped", 0)}
+    assert {r.hash: r.status for r in reconcile.index_after_gc(index, report).collect()} == {"a": "purged", "b": "purged", "c": "active", "d": "gc_pending"}

@@ -7,9 +7,9 @@ import pytest
 from tidemark.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-PYTHON = {"chunk_cdc", "chunk_round_trip", "stream_alerts"}
+PYTHON = {"chunk_cdc", "chunk_round_trip", "stream_alerts", "alert_suppressed", "rate_limit_replay", "journal_frames", "redact_json"}
 #: Written by a stream before the frame is returned.
-STREAMS = {"stream_alerts", "stream_windows", "stream_sessions"}
+STREAMS = {"stream_alerts", "stream_windows", "stream_sessions", "log_ingest"}
 
 
 def plan(df) -> str:
@@ -26,3 +26,8 @@ def test_scans_read_what_is_asked_for(spark):
     assert "l_extendedprice" not in "".join(re.findall(r"ReadSchema: struct<[^>]*>", plan(catalog.status_histogram(spark, SF)))) and "p_name" not in text
     scan = next(x for x in plan(catalog.claim_tasks(spark, SF)).split("\n") if "FileScan" in x)
     assert "EqualTo(o_orderstatus,P)" in scan and "o_totalprice" not in scan
+
+
+def test_placement_shuffles_nothing(spark):
+    text = plan(catalog.QUERIES["replica_placement"](spark, SF))
+    assert "hashpartitioning" not in text and "Window" not in text

@@ -86,15 +86,39 @@ def compares(op: Column, value: Column, limit: Column) -> Column:
     return F.coalesce(out.when(op == "<=", value <= limit).when(op == "==", value == limit), F.lit(False))
 
 
-def tier(memory_mb: Column) -> Column:
-    return F.when(memory_mb <= 4096, "legacy").when(memory_mb <= 8192, "standard").otherwise("modern")
-
-
 def backoff(attempt: Column, initial: float, factor: float, most: float, max_retries: int) -> Column:
     """Seconds before a retry; null once max_retries are used up."""
     return F.when(attempt <= max_retries, F.least(F.lit(initial) * F.pow(F.lit(factor), attempt - 1), F.lit(most)))
 
 
+def repository_backoff(attempt: Column, initial_s: float = 1.0, most_s: float = 30.0, max_retries: int = 5) -> Column:
+    """Seconds before attempt (from 0) of a repository call is made again, doubling; null for the last one and for errors of no passing kind."""
+    return F.when(attempt < max_retries, F.least(F.lit(initial_s) * F.pow(F.lit(2.0), attempt), F.lit(most_s)))
+
+
+def retryable(kind: Column) -> Column:
+    """Only input/output errors and failures pass by themselves."""
+    return F.coalesce(F.lower(kind).isin("io", "failed"), F.lit(False))
+
+
+def holds(column: Column, term: str | None) -> Column:
+    """Does column hold term, whatever the case; without a term everything does."""
+    return F.lit(True) if not term else F.coalesce(F.contains(F.lower(column), F.lit(term.lower())), F.lit(False))
+
+
+def holds_exactly(term: str | None, *columns: str) -> Column:
+    """Does one of the columns hold term in this very case; without a term everything does."""
+    return F.lit(True) if not term else _any([F.coalesce(F.contains(F.col(c), F.lit(term)), F.lit(False)) for c in columns])
+
+
+def within(at: Column, start: str | None, end: str | None) -> Column:
+    """Both ends included; an end that is None is open."""
+    out = F.lit(True)
+    if start is not None:
+        out = out & (at >= F.lit(start).cast("timestamp_ntz"))
+    return out if end is None else out & (at <= F.lit(end).cast("timestamp_ntz"))
+
+
 def restore_path(base: str, path: Column, rename: bool = False) -> Column:
     """Under base with its folders kept; renamed files get the suffix .restored."""
     return F.concat(F.lit(base.rstrip("/") + "/"), F.ltrim(path, F.lit("/")), F.lit(".restored" if rename else ""))

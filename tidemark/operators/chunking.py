@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import stored
+
 KIB, MIB, GIB = 1 << 10, 1 << 20, 1 << 30
 
 
@@ -93,11 +95,24 @@ def dedup_ratio(chunks: DataFrame) -> DataFrame:
 def first_seen(chunks: DataFrame, *order: str) -> DataFrame:
     """chunks with stored: is this the first sighting of its hash in the given order.
 
-    The minimum per hash comes from an aggregate with partial sums, so a hash of very many chunks
-    isn't sorted in one task.
+    Contents are hashed once, into a narrow table. Only hashes that come more than once are joined
+    back; their minima come from an aggregate with partial sums, so a hash of very many chunks isn't
+    sorted in one task, and Spark splits its rows in the join.
+    """
+    rows = stored(chunks, "chunks")
+    first = rows.groupBy("hash").agg(F.min(F.struct(*order)).alias("_first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    return rows.join(first, "hash", "left").withColumn("stored", F.coalesce(F.struct(*order) == F.col("_first"), F.lit(True))).drop("_first")
+
+
+def backup_totals(files: DataFrame, chunks: DataFrame, *order: str) -> DataFrame:
+    """One row: files, skipped_files, skipped (their paths in order), chunks, bytes, stored_bytes, ratio.
+
+    files: path, readable; chunks: those of readable files (hash, chunk_bytes). skipped lists what an
+    operator has to look after; it is as long as there are unreadable files.
     """
-    first = chunks.groupBy("hash").agg(F.min(F.struct(*order)).alias("_first"))
-    return chunks.join(first, "hash").withColumn("stored", F.struct(*order) == F.col("_first")).drop("_first")
+    gone = F.filter(F.array_sort(F.collect_list(F.when(~F.col("readable"), F.col("path")))), lambda p: p.isNotNull())
+    f = files.agg(F.count_if("readable").alias("files"), F.count_if(~F.col("readable")).alias("skipped_files"), F.array_join(gone, ",").alias("skipped"))
+    return f.crossJoin(dedup_ratio(chunks).select(F.col("refs").alias("chunks"), "bytes", "stored_bytes", "ratio"))
 
 
 def prefix_reuse(new: DataFrame, old: DataFrame, key: str = "path") -> DataFrame:

@@ -100,5 +100,20 @@ def batch_put(items: DataFrame) -> DataFrame:
     return items.agg(F.count_if(good).alias("accepted"), F.count_if(~good).alias("refused"))
 
 
+def cross_granted(users: DataFrame, roles: DataFrame, user: str, role: str) -> DataFrame:
+    """user_id, role_id of the named user and role: a row if both are there."""
+    return users.filter(F.col("name") == user).select("user_id").crossJoin(roles.filter(F.col("name") == role).select("role_id"))
+
+
+def audit_records(entries: DataFrame, redact) -> DataFrame:
+    """entries (id, actor, action, target, result, at, detail map) ready to be appended: values of detail redacted, a missing result is unknown."""
+    return entries.select("id", "actor", "action", "target", F.coalesce("result", F.lit("unknown")).alias("result"), "at", redact(F.col("detail")).alias("detail"))
+
+
+def missing_parents(rows: DataFrame, key: str, parents: DataFrame, parent_key: str) -> DataFrame:
+    """Rows whose key isn't null and has no parent."""
+    return rows.filter(F.col(key).isNotNull()).join(parents.select(F.col(parent_key).alias(key)), key, "left_anti")
+
+
 def numbered(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return rows.withColumn("number", F.row_number().over(Window.partitionBy(group).orderBy(*order)))

@@ -51,7 +51,7 @@ def incremental_manifest(baseline: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def dual_compare(one: DataFrame, two: DataFrame) -> DataFrame:
-    """One row over two copies by path: total, consistent, missing on either side, differing, rate (1 without files)."""
+    """One row over two copies by path: total, consistent, missing on either side, differing, rate (1 without files), and the execution's conclusion and state."""
     a = one.select("path", F.col("size").alias("a_size"), F.col("digest").alias("a_digest"))
     b = two.select("path", F.col("size").alias("b_size"), F.col("digest").alias("b_digest"))
     same = (F.col("a_size") == F.col("b_size")) & (F.col("a_digest") == F.col("b_digest"))
@@ -60,4 +60,6 @@ def dual_compare(one: DataFrame, two: DataFrame) -> DataFrame:
         F.count("*").alias("total"), F.count_if(F.coalesce(same, F.lit(False))).alias("consistent"), F.count_if(no_a).alias("missing_one"),
         F.count_if(no_b).alias("missing_two"), F.count_if(~no_a & ~no_b & ~same).alias("differing"),
     )
-    return out.withColumn("rate", F.round(F.coalesce(F.col("consistent") / F.nullif(F.col("total"), F.lit(0)), F.lit(1.0)), 6))
+    same_all = F.col("consistent") == F.col("total")
+    out = out.withColumn("rate", F.round(F.coalesce(F.col("consistent") / F.nullif(F.col("total"), F.lit(0)), F.lit(1.0)), 6))
+    return out.withColumns({"conclusion": F.when(same_all, "consistent").otherwise("inconsistent"), "state": F.when(same_all, "success").otherwise("failed")})

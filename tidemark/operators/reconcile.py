@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,31 @@ def version_health(refs: DataFrame, chunks: DataFrame) -> DataFrame:
     return refs.join(stored, "chunk", "left").groupBy("version").agg(F.count("*").alias("refs"), gone.alias("missing"), (gone == 0).alias("complete"))
 
 
+def deleted_versions(wanted: DataFrame, versions: DataFrame, as_of: str) -> DataFrame:
+    """wanted (version) with outcome: missing, immutable (versions: version, immutable_until after as_of) or deleted."""
+    known = versions.select("version", "immutable_until").withColumn("_k", F.lit(True))
+    outcome = F.when(F.col("_k").isNull(), "missing").when(F.coalesce(F.col("immutable_until") > F.lit(as_of).cast("timestamp_ntz"), F.lit(False)), "immutable").otherwise("deleted")
+    return wanted.select("version").distinct().join(known, "version", "left").select("version", outcome.alias("outcome"))
+
+
+def gc_report(index: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """hash, outcome, freed of the chunks of index (hash, ref_count, stored_size, status) without references.
+
+    purged: pending and there (on_disk: hash); gone: pending, but no longer there, so only the index
+    forgets it; skipped: not pending.
+    """
+    here = on_disk.select("hash").distinct().withColumn("_h", F.lit(True))
+    outcome = F.when(F.col("status") != "gc_pending", "skipped").when(F.col("_h"), "purged").otherwise("gone")
+    rows = index.filter("ref_count = 0").join(here, "hash", "left").withColumn("outcome", outcome)
+    return rows.select("hash", "outcome", F.when(F.col("outcome") == "purged", F.col("stored_size")).otherwise(F.lit(0)).cast("long").alias("freed"))
+
+
+def index_after_gc(index: DataFrame, report: DataFrame) -> DataFrame:
+    """index with what the report purged, or found gone, as purged."""
+    done = report.filter("outcome in ('purged', 'gone')").select("hash", F.lit(True).alias("_d"))
+    return index.join(done, "hash", "left").withColumn("status", F.when(F.col("_d"), "purged").otherwise(F.col("status"))).drop("_d")
+
+
 def removed(index: DataFrame, dropped: DataFrame) -> DataFrame:
     """ref_count of index (chunk, ref_count) after the references in dropped are gone, 0 at least, and state: gc_pending at 0."""
     n = dropped.groupBy("chunk").agg(F.count("*").alias("n"))
@@ -57,13 +82,30 @@ def set_equality(left: DataFrame, right: DataFrame, group: str, item: str) -> Da
     return rows.agg(only("_b").alias("only_left"), only("_a").alias("only_right"), (only("_a") + only("_b") == 0).alias("equal"))
 
 
-def damage(refs: DataFrame, chunks: DataFrame, manifest: DataFrame) -> DataFrame:
-    """finding, subject, versions: missing chunks, orphans, and versions whose manifest count differs from their references."""
-    lost = missing(refs, chunks).select(F.lit("missing").alias("finding"), F.col("chunk").alias("subject"), "versions")
-    extra = orphans(refs, chunks).select(F.lit("orphan").alias("finding"), F.col("chunk").alias("subject"), F.lit(0).cast("long").alias("versions"))
+def damage(refs: DataFrame, chunks: DataFrame, manifest: DataFrame, broken: DataFrame | None = None) -> DataFrame:
+    """finding, subject, versions: what is wrong with a repository and how many versions it touches.
+
+    refs: version, chunk; manifest: version, expected (references it lists); broken: versions whose
+    manifest can't be read; chunks: chunk, name (of its file) and content_ok, where known.
+    missing: referenced, not stored; orphan: stored, not referenced; tampered: referenced and stored
+    with other content; bad_name: a file that isn't named by 64 hexadecimal digits; mismatch: a
+    manifest that lists other references than its files have; invalid_manifest.
+    """
+    text = lambda c: F.col(c).cast("string").alias("subject")
+    touched = refs.groupBy("chunk").agg(F.countDistinct("version").alias("versions"))
+    lost = missing(refs, chunks).select(F.lit("missing").alias("finding"), text("chunk"), "versions")
+    out = lost.unionByName(orphans(refs, chunks).select(F.lit("orphan").alias("finding"), text("chunk"), F.lit(0).cast("long").alias("versions")))
+    if "content_ok" in chunks.columns:
+        bad = chunks.filter(~F.col("content_ok")).select("chunk").join(touched, "chunk")
+        out = out.unionByName(bad.select(F.lit("tampered").alias("finding"), text("chunk"), "versions"))
+    if "name" in chunks.columns:
+        odd = chunks.filter(~F.col("name").rlike("^[0-9a-fA-F]{64}$"))
+        out = out.unionByName(odd.select(F.lit("bad_name").alias("finding"), text("name"), F.lit(0).cast("long").alias("versions")))
     have = refs.groupBy("version").agg(F.count("*").alias("n"))
-    odd = manifest.join(have, "version", "left").filter(~F.col("expected").eqNullSafe(F.coalesce("n", F.lit(0))))
-    return lost.unionByName(extra).unionByName(odd.select(F.lit("mismatch").alias("finding"), F.col("version").alias("subject"), F.lit(1).cast("long").alias("versions")))
+    one = F.lit(1).cast("long").alias("versions")
+    uneven = manifest.join(have, "version", "left").filter(~F.col("expected").eqNullSafe(F.coalesce("n", F.lit(0))))
+    out = out.unionByName(uneven.select(F.lit("mismatch").alias("finding"), text("version"), one))
+    return out if broken is None else out.unionByName(broken.select(F.lit("invalid_manifest").alias("finding"), text("version"), one))
 
 
 def lookup(hashes: DataFrame, index: DataFrame) -> DataFrame:
@@ -74,11 +116,14 @@ def lookup(hashes: DataFrame, index: DataFrame) -> DataFrame:
 def placement(chunks: DataFrame, nodes: DataFrame, copies: int) -> DataFrame:
     """chunk, node, rank: the nodes with the least hashes of (chunk, node) hold a chunk.
 
-    nodes is a cluster's member list; each chunk meets them all and no two chunks meet.
+    nodes is a cluster's member list. It goes along as one array, so each chunk ranks the members
+    within its own row: nothing is shuffled and no member is left out.
     """
-    score = F.sha2(F.concat_ws(":", F.col("chunk").cast("string"), F.col("node").cast("string")), 256)
-    rank = F.row_number().over(Window.partitionBy("chunk").orderBy("score", "node"))
-    return chunks.select("chunk").join(F.broadcast(nodes.select("node").limit(10_000))).withColumn("score", score).withColumn("rank", rank).filter(F.col("rank") <= copies).select("chunk", "node", "rank")
+    members = nodes.agg(F.array_sort(F.collect_set("node")).alias("_nodes"))
+    score = lambda n: F.struct(F.sha2(F.concat_ws(":", F.col("chunk").cast("string"), n.cast("string")), 256).alias("score"), n.alias("node"))
+    best = F.slice(F.array_sort(F.transform("_nodes", score)), 1, copies)
+    rows = chunks.select("chunk").crossJoin(F.broadcast(members)).select("chunk", F.posexplode(best).alias("_k", "_s"))
+    return rows.select("chunk", F.col("_s.node").alias("node"), (F.col("_k") + 1).alias("rank"))
 
 
 def replica_health(replicas: DataFrame, copies: int) -> DataFrame:

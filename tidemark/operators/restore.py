@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import deleted, stored
+
 
 def as_of(versions: DataFrame, wanted: DataFrame) -> DataFrame:
     """wanted (job, at) with version: the latest at or before that moment, null if there is none.
@@ -31,28 +33,59 @@ def with_parents(versions: DataFrame) -> DataFrame:
     return versions.withColumns({"number": F.row_number().over(w), "parent": F.lag("version").over(w)})
 
 
-def chains(versions: DataFrame, start: DataFrame, most: int = 100) -> DataFrame:
-    """start, version, depth: the parents of each start version, itself included, to a root or most steps.
+def chains(versions: DataFrame, start: DataFrame) -> DataFrame:
+    """start, version, depth: the parents of each start version, itself included, to a root.
 
-    The guard ends a cycle. Each step is one join on the versions reached last.
+    A chain that meets a version it already holds (a cycle) ends there; length doesn't matter. By
+    pointer doubling: a round knows the ancestor 2^k steps up of every version and doubles all
+    chains, so the number of joins is the logarithm of the longest chain.
+    """
+    up = stored(versions.filter("parent is not null").select("version", "parent"), "parents")
+    own = start.join(versions.select("version"), "version", "left_semi").select("version").distinct()
+    out, n, step = stored(own.select(F.col("version").alias("start"), "version", F.lit(0).cast("long").alias("depth")), "chains"), -1, 1
+    while (now := out.count()) != n:
+        n = now
+        further = out.join(up, "version").select("start", F.col("parent").alias("version"), (F.col("depth") + step).alias("depth"))
+        longer = stored(out.unionByName(further).groupBy("start", "version").agg(F.min("depth").alias("depth")), "chains")
+        twice = stored(up.join(up.select(F.col("version").alias("parent"), F.col("parent").alias("_p")), "parent").select("version", F.col("_p").alias("parent")), "parents")
+        deleted(out)
+        deleted(up)
+        out, up, step = longer, twice, step * 2
+    return out.select("start", "version", F.col("depth").cast("int").alias("depth"))
+
+
+def chain_verdicts(chain: DataFrame, readable: DataFrame) -> DataFrame:
+    """start, versions, whole, first_broken: are all versions of each chain readable (version), and which is the nearest that isn't."""
+    known = readable.select("version").distinct().withColumn("_r", F.lit(True))
+    bad = F.col("_r").isNull()
+    rows = chain.join(known, "version", "left").groupBy("start")
+    return rows.agg(F.count("*").alias("versions"), (F.count_if(bad) == 0).alias("whole"), F.min_by(F.when(bad, F.col("version")), F.when(bad, F.col("depth"))).alias("first_broken"))
+
+
+def rebuilt(versions: DataFrame, baselines: DataFrame, readable: DataFrame) -> DataFrame:
+    """baseline, version, ts, number: readable versions (version) of the job of each baseline (version), from its moment on."""
+    numbered = with_parents(versions)
+    base = numbered.join(baselines.select("version").distinct(), "version", "left_semi").select("job", F.col("version").alias("baseline"), F.col("ts").alias("_from"))
+    rows = numbered.join(readable.select("version").distinct(), "version", "left_semi").join(base, "job").filter(F.col("ts") >= F.col("_from"))
+    return rows.select("baseline", "version", "ts", "number")
+
+
+def plan(refs: DataFrame, chunks: DataFrame, wanted: DataFrame, located: DataFrame | None = None) -> DataFrame:
+    """version, ordinal, chunk, location, found_by for every reference of the wanted versions (version).
+
+    The manifest's own location (located: version, chunk, location) comes first, then the
+    repository's (chunks), then the place that follows from the chunk's name.
     """
-    parents = versions.select("version", "parent")
-    spark = versions.sparkSession
-    parents.createOrReplaceTempView("_chain_parents")
-    start.select("version").createOrReplaceTempView("_chain_start")
-    return spark.sql(f"""
-        WITH RECURSIVE chain(start, version, depth) AS (
-          SELECT version, version, 0 FROM _chain_start
-          UNION ALL
-          SELECT c.start, p.parent, c.depth + 1 FROM chain c JOIN _chain_parents p ON p.version = c.version WHERE p.parent IS NOT NULL AND c.depth < {int(most)}
-        ) SELECT start, version, depth FROM chain""")
-
-
-def plan(refs: DataFrame, chunks: DataFrame, wanted: DataFrame) -> DataFrame:
-    """version, ordinal, chunk, location for every reference of the wanted versions (version); location null if not stored."""
-    where = F.concat(F.col("bucket"), F.lit("/"), F.col("chunk").cast("string"), F.lit(".chunk"))
-    stored = chunks.select("chunk", where.alias("location"))
-    return refs.join(wanted.select("version").distinct(), "version", "left_semi").join(stored, "chunk", "left").select("version", "ordinal", "chunk", "location")
+    name = lambda bucket: F.concat(bucket, F.lit("/"), F.col("chunk").cast("string"), F.lit(".chunk"))
+    kept = chunks.select("chunk", name(F.col("bucket")).alias("_stored"))
+    rows = refs.join(wanted.select("version").distinct(), "version", "left_semi").join(kept, "chunk", "left")
+    if located is None:
+        rows = rows.withColumn("_manifest", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(located.select("version", "chunk", F.col("location").alias("_manifest")).dropDuplicates(["version", "chunk"]), ["version", "chunk"], "left")
+    derived = name(F.substring(F.sha2(F.col("chunk").cast("string"), 256), 1, 2))
+    by = F.when(F.col("_manifest").isNotNull(), "manifest").when(F.col("_stored").isNotNull(), "repository").otherwise("name")
+    return rows.select("version", "ordinal", "chunk", F.coalesce("_manifest", "_stored", derived).alias("location"), by.alias("found_by"))
 
 
 def progress(done: DataFrame, total: DataFrame) -> DataFrame:

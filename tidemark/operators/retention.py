@@ -62,3 +62,19 @@ def partition_expiry(partitions: DataFrame, as_of: str, keep_days: Column | int
     """Log partitions (name, end_ts, archived) that are past their days and not archived."""
     end = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(F.lit(keep_days) if isinstance(keep_days, int) else keep_days)
     return partitions.filter(~F.col("archived") & (F.col("end_ts") < end))
+
+
+def partition_name(table: str, ts: Column) -> Column:
+    """The name of the log partition that a moment belongs to."""
+    return F.concat(F.lit(f"{table}_"), F.date_format(ts, "yyyyMMdd"))
+
+
+def needed_partitions(rows: DataFrame, ts: str, table: str) -> DataFrame:
+    """name, start_ts, end_ts of the daily partitions that rows need; the end is not included."""
+    start = F.date_trunc("DAY", F.col(ts)).cast("timestamp_ntz")
+    return rows.select(partition_name(table, F.col(ts)).alias("name"), start.alias("start_ts"), (start + F.make_dt_interval(F.lit(1))).alias("end_ts")).filter("name is not null").distinct()
+
+
+def split(versions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Versions to keep and versions to delete: disjoint, and all of them together."""
+    return versions.filter("keep"), versions.filter("NOT keep")

@@ -2,34 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import crypto, redact, rules, schedule, text
 from ..operators import chunking, config, control, diff, fleet, journal, reconcile, restore, retention, tree, verify
+from ..shared import new_path
 from ..sources import repository
 from ..sources import views as v
 from ..sources.views import oracle
 from ..streaming import jobs
+from .registry import AS_OF, ORACLE_SQL, QUERIES, query
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-AS_OF = "1998-09-01 00:00:00"
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # Scans, filters, selection
@@ -61,9 +45,9 @@ def file_selection(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(oracle("v_files", body="SELECT path, '/restore/' || path || '.restored' AS target, CASE WHEN size < 1024 THEN size || ' B' ELSE printf('%.2f KB', round(size / 1024.0::DOUBLE, 2)) END AS shown FROM v_files WHERE size < 1048576"))
+@query(oracle("v_files", body="SELECT path, '/restore/' || path || '.restored' AS target, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576.0::DOUBLE) WHEN size < 1099511627776 THEN printf('%.2f GB', size / 1073741824.0::DOUBLE) ELSE printf('%.2f TB', size / 1099511627776.0::DOUBLE) END AS shown FROM v_files"))
 def restore_targets(spark, d):
-    return v.files(spark, d).filter("size < 1048576").select("path", text.restore_path("/restore", F.col("path"), True).alias("target"), text.format_bytes(F.col("size")).alias("shown"))
+    return v.files(spark, d).select("path", text.restore_path("/restore", F.col("path"), True).alias("target"), text.format_bytes(F.col("size")).alias("shown"))
 
 
 @query(oracle("v_files", body=", p AS (SELECT string_split(path, '/') AS parts FROM v_files) SELECT parts[1] AS folder, count(*)::BIGINT AS files FROM p GROUP BY 1 UNION ALL SELECT parts[1] || '/' || parts[2], count(*)::BIGINT FROM p GROUP BY 1"))
@@ -117,10 +101,10 @@ def chunk_prefix_reuse(spark, d):
 INDEX = "SELECT p_partkey AS chunk, p_partkey % 3 AS ref_count, p_size::BIGINT AS stored_size, CASE WHEN p_partkey % 5 = 0 THEN 'deleted' ELSE 'active' END AS status FROM part WHERE p_partkey % 2 = 0"
 
 
-@query(f"WITH i AS ({INDEX}), b AS (SELECT l_partkey AS chunk, count(*) AS n, max(l_quantity::BIGINT) AS s FROM lineitem WHERE l_partkey % 11 = 0 GROUP BY 1) SELECT chunk AS hash, (CASE WHEN status = 'active' OR n IS NULL THEN ref_count ELSE 0 END + coalesce(n, 0))::BIGINT AS ref_count, coalesce(stored_size, s)::BIGINT AS stored_size, CASE WHEN n IS NOT NULL THEN 'active' ELSE status END AS status FROM i FULL JOIN b USING (chunk)")
+@query(f"WITH i AS ({INDEX}), b AS (SELECT l_partkey AS chunk, count(*) AS n, max(l_quantity::BIGINT) AS s FROM lineitem GROUP BY 1) SELECT chunk AS hash, (CASE WHEN status = 'active' OR n IS NULL THEN ref_count ELSE 0 END + coalesce(n, 0))::BIGINT AS ref_count, coalesce(stored_size, s)::BIGINT AS stored_size, CASE WHEN n IS NOT NULL THEN 'active' ELSE status END AS status FROM i FULL JOIN b USING (chunk)")
 def chunk_put(spark, d):
     index = v.table(spark, d, "part").filter("p_partkey % 2 = 0").selectExpr("p_partkey AS hash", "p_partkey % 3 AS ref_count", "CAST(p_size AS BIGINT) AS stored_size", "CASE WHEN p_partkey % 5 = 0 THEN 'deleted' ELSE 'active' END AS status")
-    return chunking.put_chunks(index, v.table(spark, d, "lineitem").filter("l_partkey % 11 = 0").selectExpr("l_partkey AS hash", "CAST(l_quantity AS BIGINT) AS size"))
+    return chunking.put_chunks(index, v.table(spark, d, "lineitem").selectExpr("l_partkey AS hash", "CAST(l_quantity AS BIGINT) AS size"))
 
 
 # Snapshots
@@ -145,20 +129,20 @@ def rename_pairs(spark, d):
     return diff.renames(diff.changes(v.baseline(spark, d), v.current(spark, d)))
 
 
-@query(oracle("v_baseline", "v_current", body=DIFF + " SELECT c.*, CASE WHEN path IN (SELECT path FROM s WHERE change IN ('added', 'modified')) THEN 'new' ELSE 'parent' END AS origin FROM v_current c"))
+@query(oracle("v_baseline", "v_current", body=DIFF + " SELECT c.path, c.size, c.mtime, c.digest, CASE WHEN path IN (SELECT path FROM s WHERE change IN ('added', 'modified')) THEN 'new' ELSE 'parent' END AS origin FROM v_current c"))
 def incremental_manifest(spark, d):
     return diff.incremental_manifest(v.baseline(spark, d), v.current(spark, d))
 
 
-@query(oracle("v_baseline", "v_current", body=" SELECT count(*)::BIGINT AS total, count_if(coalesce(b.size = c.size AND b.digest = c.digest, false))::BIGINT AS consistent, count_if(b.path IS NULL)::BIGINT AS missing_one, count_if(c.path IS NULL)::BIGINT AS missing_two, count_if(b.size <> c.size OR b.digest <> c.digest)::BIGINT AS differing, round(count_if(coalesce(b.size = c.size AND b.digest = c.digest, false)) / count(*)::DOUBLE, 6) AS rate FROM v_baseline b FULL JOIN v_current c ON b.path = c.path"))
+@query(oracle("v_baseline", "v_current", body=" SELECT count(*)::BIGINT AS total, count_if(coalesce(b.size = c.size AND b.digest = c.digest, false))::BIGINT AS consistent, count_if(b.path IS NULL)::BIGINT AS missing_one, count_if(c.path IS NULL)::BIGINT AS missing_two, count_if(b.size <> c.size OR b.digest <> c.digest)::BIGINT AS differing, round(count_if(coalesce(b.size = c.size AND b.digest = c.digest, false)) / count(*)::DOUBLE, 6) AS rate, CASE WHEN count_if(coalesce(b.size = c.size AND b.digest = c.digest, false)) = count(*) THEN 'consistent' ELSE 'inconsistent' END AS conclusion, CASE WHEN count_if(coalesce(b.size = c.size AND b.digest = c.digest, false)) = count(*) THEN 'success' ELSE 'failed' END AS state FROM v_baseline b FULL JOIN v_current c ON b.path = c.path"))
 def dual_copy_compare(spark, d):
     return diff.dual_compare(v.baseline(spark, d), v.current(spark, d))
 
 
-LAYERS = ", l AS (SELECT coalesce(b.path, c.path) AS path, CASE WHEN b.path IS NULL THEN 'extra' WHEN c.path IS NULL THEN 'missing' WHEN b.digest <> c.digest THEN 'digest' WHEN b.size <> c.size THEN 'size' WHEN b.mtime <> c.mtime THEN 'mtime' ELSE 'ok' END AS verdict FROM v_baseline b FULL JOIN v_current c ON b.path = c.path)"
+LAYERS = ", l AS (SELECT coalesce(b.path, c.path) AS path, CASE WHEN b.path IS NULL THEN 'extra' WHEN c.path IS NULL THEN 'missing' WHEN b.digest <> c.digest THEN 'digest' WHEN b.digest2 <> c.digest2 THEN 'digest2' WHEN b.size <> c.size THEN 'size' WHEN b.mtime <> c.mtime THEN 'mtime' WHEN b.permissions <> c.permissions THEN 'permissions' ELSE 'ok' END AS verdict FROM v_baseline b FULL JOIN v_current c ON b.path = c.path)"
 
 
-@query(oracle("v_baseline", "v_current", body=LAYERS + " SELECT * FROM l"))
+@query(oracle("v_baseline", "v_current", body=LAYERS + " SELECT *, CASE WHEN verdict = 'extra' THEN 'structure' WHEN verdict IN ('missing', 'digest') THEN 'digest' WHEN verdict = 'digest2' THEN 'digest2' WHEN verdict <> 'ok' THEN 'metadata' END AS layer FROM l"))
 def verify_layers(spark, d):
     return verify.verify_layers(v.baseline(spark, d), v.current(spark, d))
 
@@ -227,11 +211,19 @@ def refs_set_equality(spark, d):
     return reconcile.set_equality(refs.filter("chunk % 19 <> 0"), refs.filter("chunk % 23 <> 0"), "version", "chunk")
 
 
-@query(oracle("v_refs", "v_chunks", body="SELECT 'missing' AS finding, chunk AS subject, count(DISTINCT version)::BIGINT AS versions FROM v_refs WHERE chunk NOT IN (SELECT chunk FROM v_chunks) GROUP BY chunk UNION ALL SELECT 'orphan', chunk, 0 FROM v_chunks WHERE chunk NOT IN (SELECT chunk FROM v_refs) UNION ALL SELECT 'mismatch', version, 1 FROM v_refs WHERE version % 97 = 0 GROUP BY version"))
+@query(oracle("v_refs", "v_chunks", body="""SELECT 'missing' AS finding, chunk::VARCHAR AS subject, count(DISTINCT version)::BIGINT AS versions FROM v_refs WHERE chunk NOT IN (SELECT chunk FROM v_chunks) GROUP BY chunk
+UNION ALL SELECT 'orphan', chunk::VARCHAR, 0 FROM v_chunks WHERE chunk NOT IN (SELECT chunk FROM v_refs)
+UNION ALL SELECT 'tampered', r.chunk::VARCHAR, count(DISTINCT version) FROM v_refs r JOIN v_chunks c ON r.chunk = c.chunk WHERE r.chunk % 29 = 0 GROUP BY r.chunk
+UNION ALL SELECT 'bad_name', 'chunk-' || chunk, 0 FROM v_chunks WHERE chunk % 31 = 0
+UNION ALL SELECT 'mismatch', version::VARCHAR, 1 FROM v_refs WHERE version % 97 = 0 GROUP BY version
+UNION ALL SELECT 'invalid_manifest', o_orderkey::VARCHAR, 1 FROM orders WHERE o_orderkey % 101 = 0"""))
 def repository_damage(spark, d):
     refs = v.refs(spark, d)
     manifest = refs.groupBy("version").agg((F.count("*") + F.when(F.col("version") % 97 == 0, 1).otherwise(0)).alias("expected"))
-    return reconcile.damage(refs, v.chunks(spark, d), manifest)
+    digest = F.sha2(F.col("chunk").cast("string"), 256)
+    chunks = v.chunks(spark, d).withColumns({"name": F.when(F.col("chunk") % 31 == 0, F.concat(F.lit("chunk-"), "chunk")).otherwise(digest), "content_ok": F.col("chunk") % 29 != 0})
+    broken = v.versions(spark, d).filter("version % 101 = 0").select("version")
+    return reconcile.damage(refs, chunks, manifest, broken)
 
 
 @query(oracle("v_chunks", "v_refs", body=", i AS (SELECT c.chunk, bucket, count(DISTINCT version) AS rc FROM v_chunks c LEFT JOIN v_refs r ON r.chunk = c.chunk GROUP BY ALL) SELECT p_partkey AS chunk, i.chunk IS NOT NULL AS found, coalesce(rc, 0)::BIGINT AS ref_count, bucket FROM part LEFT JOIN i ON i.chunk = p_partkey"))
@@ -241,9 +233,9 @@ def dedup_lookup(spark, d):
     return reconcile.lookup(v.table(spark, d, "part").select(F.col("p_partkey").alias("chunk")), index)
 
 
-@query(oracle("v_chunks", body=", s AS (SELECT chunk, s_suppkey AS node, sha256(chunk || ':' || s_suppkey) AS score FROM v_chunks, supplier WHERE s_suppkey <= 12), r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY score, node)::INT AS rank FROM s) SELECT chunk, node, rank FROM r WHERE rank <= 3"))
+@query(oracle("v_chunks", body=", s AS (SELECT chunk, n_nationkey AS node, sha256(chunk || ':' || n_nationkey) AS score FROM v_chunks, nation), r AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY score, node)::INT AS rank FROM s) SELECT chunk, node, rank FROM r WHERE rank <= 3"))
 def replica_placement(spark, d):
-    nodes = v.table(spark, d, "supplier").filter("s_suppkey <= 12").select(F.col("s_suppkey").alias("node"))
+    nodes = v.table(spark, d, "nation").select(F.col("n_nationkey").alias("node"))
     return reconcile.placement(v.chunks(spark, d), nodes, 3)
 
 
@@ -291,16 +283,27 @@ def nearest_baseline(spark, d):
     return restore.valid_baseline(versions, versions.filter("status = 'P' OR version % 9 = 0"))
 
 
-@query(oracle("v_versions", body=", p AS (SELECT version, lag(version) OVER (PARTITION BY job ORDER BY ts, version) AS parent FROM v_versions), chain(start, version, depth) AS (SELECT version, version, 0 FROM p WHERE version % 50 = 0 UNION ALL SELECT c.start, p.parent, c.depth + 1 FROM chain c JOIN p ON p.version = c.version WHERE p.parent IS NOT NULL AND c.depth < 100) SELECT start, version, depth FROM chain"))
+@query(oracle("v_versions", body=", p AS (SELECT version, job, ts, lag(version) OVER (PARTITION BY job ORDER BY ts, version) AS parent FROM v_versions), n AS (SELECT max_by(version, (ts, version)) AS version FROM v_versions GROUP BY job), chain(start, version, depth) AS (SELECT version, version, 0 FROM n UNION ALL SELECT c.start, p.parent, c.depth + 1 FROM chain c JOIN p ON p.version = c.version WHERE p.parent IS NOT NULL) SELECT start, version, depth FROM chain"))
 def version_chain(spark, d):
-    versions = restore.with_parents(v.versions(spark, d))
-    return restore.chains(versions, versions.filter("version % 50 = 0"))
+    return restore.chains(restore.with_parents(v.versions(spark, d)), _newest(spark, d))
+
+
+def _newest(spark, d):
+    """The newest version of each job."""
+    return fleet.latest(v.versions(spark, d), "job", "ts", "version").select("version")
+
 
+LOCATED = "r.version % 4 = 0 AND r.ordinal % 2 = 1"
 
-@query(oracle("v_refs", "v_chunks", body="SELECT version, ordinal::INT AS ordinal, r.chunk, bucket || '/' || c.chunk || '.chunk' AS location FROM v_refs r LEFT JOIN v_chunks c ON r.chunk = c.chunk WHERE version % 3 = 0"))
+
+@query(oracle("v_refs", "v_chunks", "v_versions", body=f"""SELECT r.version, ordinal::INT AS ordinal, r.chunk,
+  CASE WHEN {LOCATED} THEN 'm/' || r.version || '/' || r.chunk WHEN c.chunk IS NOT NULL THEN bucket || '/' || c.chunk || '.chunk' ELSE substr(sha256(r.chunk::VARCHAR), 1, 2) || '/' || r.chunk || '.chunk' END AS location,
+  CASE WHEN {LOCATED} THEN 'manifest' WHEN c.chunk IS NOT NULL THEN 'repository' ELSE 'name' END AS found_by
+FROM (SELECT *, bool_or(version % 4 = 0 AND ordinal % 2 = 1) OVER (PARTITION BY version, chunk) AS known FROM v_refs) r LEFT JOIN v_chunks c ON r.chunk = c.chunk JOIN v_versions w ON r.version = w.version WHERE status = 'P'""".replace(LOCATED, "known")))
 def restore_plan(spark, d):
     refs = v.refs(spark, d)
-    return restore.plan(refs, v.chunks(spark, d), refs.filter("version % 3 = 0"))
+    located = refs.filter("version % 4 = 0 AND ordinal % 2 = 1").select("version", "chunk", F.concat(F.lit("m/"), "version", F.lit("/"), "chunk").alias("location"))
+    return restore.plan(refs, v.chunks(spark, d), v.versions(spark, d).filter("status = 'P'"), located)
 
 
 @query(oracle("v_refs", body="SELECT version, count_if(ordinal <= 2)::BIGINT AS restored, count(*)::BIGINT AS total, round(count_if(ordinal <= 2) / count(*)::DOUBLE, 6) AS share FROM v_refs GROUP BY version"))
@@ -319,10 +322,11 @@ def partition_expiry(spark, d):
 # Fleet
 
 
-@query("SELECT (SELECT count(*) FROM customer)::BIGINT AS devices, (SELECT count_if(c_acctbal > 0) FROM customer)::BIGINT AS devices_online, count(*)::BIGINT AS jobs, count_if(o_orderstatus = 'O')::BIGINT AS jobs_active, round(coalesce(sum(o_totalprice), 0), 2) AS stored, (SELECT count_if(event_type = 'error') FROM events)::BIGINT AS open_alerts FROM orders")
+@query("SELECT (SELECT count(*) FROM customer)::BIGINT AS devices, (SELECT count_if(c_acctbal > 0) FROM customer)::BIGINT AS devices_online, (SELECT count(*) FROM supplier)::BIGINT AS jobs, (SELECT count_if(s_acctbal > 0) FROM supplier)::BIGINT AS jobs_active, count(*)::BIGINT AS versions, round(coalesce(sum(o_totalprice), 0), 2) AS stored, (SELECT count_if(event_type = 'error') FROM events)::BIGINT AS open_alerts FROM orders")
 def dashboard(spark, d):
-    devices = v.table(spark, d, "customer").select(F.col("c_acctbal").alias("balance"))
-    return fleet.dashboard(devices, v.versions(spark, d), v.samples(spark, d))
+    devices = v.table(spark, d, "customer").select((F.col("c_acctbal") > 0).alias("online"))
+    tasks = v.table(spark, d, "supplier").select((F.col("s_acctbal") > 0).alias("active"))
+    return fleet.dashboard(devices, tasks, v.versions(spark, d), v.samples(spark, d).select((F.col("metric") == "error").alias("open")))
 
 
 @query("SELECT o_orderpriority, count_if(o_orderstatus = 'F')::BIGINT AS n_f, count_if(o_orderstatus = 'O')::BIGINT AS n_o, count_if(o_orderstatus = 'P')::BIGINT AS n_p FROM orders GROUP BY 1")
@@ -341,7 +345,7 @@ def pass_rate_grid(spark, d):
     return fleet.pass_grid(rows, "l_returnflag", "l_linestatus", F.col("l_discount") < 0.05)
 
 
-@query("WITH l AS (SELECT o_orderpriority AS line, count(*)::BIGINT AS total, count_if(o_totalprice > CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 5000 END)::BIGINT AS passed FROM orders GROUP BY 1), s AS (SELECT *, CASE WHEN total = 0 THEN 'pending' WHEN passed = total THEN 'pass' ELSE 'fail' END AS status, round(passed / total::DOUBLE, 6) AS rate FROM l) SELECT *, (SELECT bool_and(status = 'pass') FROM s) AS signable FROM s")
+@query("WITH l AS (SELECT o_orderpriority AS line, count(*)::BIGINT AS total, count_if(o_totalprice > CASE WHEN o_orderpriority LIKE '1%' THEN 0 ELSE 5000 END)::BIGINT AS passed FROM orders GROUP BY 1), s AS (SELECT *, CASE WHEN total = 0 THEN 'pending' WHEN passed = total THEN 'pass' ELSE 'fail' END AS status, round(passed / total::DOUBLE, 6) AS rate FROM l) SELECT *, (SELECT bool_and(status = 'pass') FROM s) AS signable, coalesce((SELECT string_agg(line, ',' ORDER BY line) FROM s WHERE status <> 'pass'), '') AS failing FROM s")
 def acceptance_lines(spark, d):
     floor = F.when(F.col("o_orderpriority").startswith("1"), 0).otherwise(5000)
     lines = v.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("line")).agg(F.count("*").alias("total"), F.count_if(F.col("o_totalprice") > floor).alias("passed"))
@@ -437,9 +441,11 @@ def disk_growth(spark, d):
     return fleet.growth(v.samples(spark, d))
 
 
-@query(oracle("v_samples", body="SELECT device, max(ts) AS last_seen, CASE WHEN max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 90 SECOND THEN 'offline' ELSE 'online' END AS state FROM v_samples GROUP BY device"))
+@query(oracle("v_samples", body="SELECT device, max(ts) AS last_seen, CASE WHEN device % 11 = 0 THEN 'disabled' WHEN max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 90 SECOND THEN 'offline' ELSE 'online' END AS state FROM v_samples GROUP BY device"))
 def heartbeat_timeout(spark, d):
-    return fleet.timeouts(v.samples(spark, d), "2024-01-30 00:00:00")
+    s = v.samples(spark, d)
+    known = s.select("device", F.when(F.col("device") % 11 == 0, "disabled").otherwise("online").alias("status")).distinct()
+    return fleet.timeouts(s, "2024-01-30 00:00:00", known=known)
 
 
 @query("SELECT s_suppkey AS node, CASE WHEN s_acctbal / 100 > 90 OR s_suppkey % 17 = 0 THEN 'critical' WHEN s_acctbal / 100 > 80 OR s_suppkey % 13 = 0 OR s_suppkey % 23 > (50 + s_suppkey % 50) // 10 THEN 'warning' ELSE 'healthy' END AS level FROM supplier")
@@ -461,21 +467,30 @@ def recovery_targets(spark, d):
     return fleet.recovery_times(o.select(at.alias("fault_at"), (at + F.make_dt_interval(secs=F.col("o_custkey") % 90)).alias("recovered_at"), (at - F.make_dt_interval(secs=F.col("o_orderkey") % 40)).alias("last_data_at")), 60, 0)
 
 
-@query("WITH m AS (SELECT event_type AS name, user_id % 3 AS g, count(*)::BIGINT AS n FROM events GROUP BY ALL) SELECT name, 'counter' AS kind, '# TYPE ' || name || ' counter' || chr(10) || string_agg(name || '{group=\"' || g || '\",zone=\"z\"} ' || n, chr(10) ORDER BY name || '{group=\"' || g || '\",zone=\"z\"} ' || n) AS text FROM m GROUP BY name")
+@query("WITH m AS (SELECT event_type AS name, user_id % 3 AS g, count(*)::BIGINT AS n FROM events GROUP BY ALL) SELECT name, 'counter' AS kind, '# HELP ' || name || ' events of this kind' || chr(10) || '# TYPE ' || name || ' counter' || chr(10) || string_agg(name || '{group=\"' || g || '\",zone=\"z\"} ' || n, chr(10) ORDER BY name || '{group=\"' || g || '\",zone=\"z\"} ' || n) AS text FROM m GROUP BY name")
 def metric_text(spark, d):
     counts = v.samples(spark, d).groupBy(F.col("metric").alias("name"), (F.col("device") % 3).cast("string").alias("g")).agg(F.count("*").alias("value"))
-    return fleet.metric_lines(counts.select("name", F.lit("counter").alias("kind"), F.create_map(F.lit("zone"), F.lit("z"), F.lit("group"), F.col("g")).alias("labels"), "value"))
+    return fleet.metric_lines(counts.select("name", F.lit("events of this kind").alias("help"), F.lit("counter").alias("kind"), F.create_map(F.lit("zone"), F.lit("z"), F.lit("group"), F.col("g")).alias("labels"), "value"))
 
 
 # Text, trees, schedules, journals, configurations
 
-REDACT = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(message, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED]', 'g'), '(?i)\b([a-z][a-z0-9+.-]*://)[^\s:/@]+:[^\s@/]+@', '\1[REDACTED]@', 'g'), '(?i)\b(Bearer )[A-Za-z0-9._~+/-]+=*', '\1[REDACTED]', 'g'), '(?i)\b((?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)\s*[:=]\s*)[^\s,;]+', '\1[REDACTED]', 'g')"
+REDACT = "message"
+for _names in ("password|passwd|pwd", "secret|token|api_key|apikey", "private_key|privatekey", "credential|cred", "", "access_key|accesskey|secret_key|secretkey", "encryption_key|encryptionkey"):
+    if _names:
+        REDACT = rf"regexp_replace(regexp_replace({REDACT}, '(?i)({_names})(\s*=)\s*\S+', '\1\2***REDACTED***', 'g'), '(?i)({_names})(\s*:)\s*\S+', '\1\2 ***REDACTED***', 'g')"
+    else:
+        REDACT = rf"regexp_replace({REDACT}, '-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----', '-----REDACTED PRIVATE KEY-----', 'g')"
+        REDACT = rf"regexp_replace({REDACT}, '(?i)(authorization)(\s*:)\s*Bearer\s+\S+', '\1\2 ***REDACTED***', 'g')"
+        REDACT = rf"regexp_replace({REDACT}, '(?i)(bearer)\s+[A-Za-z0-9\-_\.]+', '***REDACTED***', 'g')"
+        REDACT = rf"regexp_replace({REDACT}, '(?i)(mongodb|redis|postgres|mysql|s3|sftp|ftp)://[^\s]+', '\1://***REDACTED***', 'g')"
 
 
-@query(oracle("v_messages", body=f"SELECT id, sha256({REDACT}) AS digest, {REDACT} <> message AS changed FROM v_messages"))
+@query(oracle("v_messages", body=f", r AS (SELECT id, message, {REDACT} AS m FROM v_messages) SELECT id, sha256(m) AS digest, m <> message AS changed FROM r"))
 def redact_messages(spark, d):
     out = redact.redacted(F.col("message"))
-    return v.messages(spark, d).select("id", F.sha2(out, 256).alias("digest"), (out != F.col("message")).alias("changed"))
+    rows = v.messages(spark, d).select("id", "message", out.alias("m"))
+    return rows.select("id", F.sha2("m", 256).alias("digest"), (F.col("m") != F.col("message")).alias("changed"))
 
 
 @query(oracle("v_messages", body=f"SELECT id FROM v_messages WHERE {REDACT} <> message"))
@@ -483,11 +498,11 @@ def leak_scan(spark, d):
     return v.messages(spark, d).filter(redact.leaks(F.col("message"))).select("id")
 
 
-@query("SELECT event_id AS id, '[REDACTED]' AS secret, event_type || ' token=[REDACTED]' AS note, user_id::VARCHAR AS who FROM events")
+@query("SELECT event_id AS id, '[REDACTED]' AS secret, event_type || ' Bearer [REDACTED]' AS note, user_id::VARCHAR AS who, event_type || ' token=***REDACTED***' AS logged FROM events")
 def redact_map(spark, d):
-    fields = F.create_map(F.lit("Token"), F.concat(F.lit("t"), "event_id"), F.lit("note"), F.concat("event_type", F.lit(" token=t"), "event_id"), F.lit("who"), F.col("user_id").cast("string"))
-    m = redact.redacted_map(fields)
-    return v.table(spark, d, "events").select(F.col("event_id").alias("id"), m["Token"].alias("secret"), m["note"].alias("note"), m["who"].alias("who"))
+    fields = F.create_map(F.lit("Token"), F.concat(F.lit("t"), "event_id"), F.lit("note"), F.concat("event_type", F.lit(" Bearer t"), "event_id"), F.lit("who"), F.col("user_id").cast("string"))
+    m, logged = redact.redacted_fields(fields), redact.redacted_map(F.create_map(F.lit("note"), F.concat("event_type", F.lit(" token=t"), "event_id")))
+    return v.table(spark, d, "events").select(F.col("event_id").alias("id"), m["Token"].alias("secret"), m["note"].alias("note"), m["who"].alias("who"), logged["note"].alias("logged"))
 
 
 @query(oracle("v_tree", body="SELECT path, parent FROM v_tree WHERE starts_with(path, (SELECT min(path) FROM v_tree WHERE parent IS NULL) || '/')"))
@@ -533,9 +548,9 @@ def next_run(spark, d):
     return o.select("id", "mode", schedule.next_run(c("mode"), c("now"), seconds=c("s"), hour=c("h"), minute=c("mi"), weekday=c("wd"), day=c("dy")).alias("next_run"))
 
 
-@query("SELECT o_orderkey AS id, (SELECT min(t) FROM generate_series(date_trunc('minute', o_orderdate)::TIMESTAMP, o_orderdate + INTERVAL 366 DAY, INTERVAL 15 MINUTE) g(t) WHERE t > o_orderdate AND minute(t) IN (0, 30) AND hour(t) IN (2, 14) AND day(t) BETWEEN 10 AND 20 AND month(t) IN (3, 6, 9, 12) AND dayofweek(t) = 1) AS next_run FROM orders WHERE o_orderkey % 97 = 0")
+@query(None)  # an oracle would have to make every minute of a year for every row; tested by brute force
 def cron_next(spark, d):
-    o = v.table(spark, d, "orders").filter("o_orderkey % 97 = 0").selectExpr("o_orderkey AS id", "o_orderdate AS now")
+    o = v.table(spark, d, "orders").selectExpr("o_orderkey AS id", "o_orderdate AS now")
     return schedule.cron_next(o, "*/30 2,14 10-20 3,6,9,12 1", "now").select("id", "next_run")
 
 
@@ -544,14 +559,12 @@ def journal_last_checkpoint(spark, d):
     return journal.last_checkpoint(v.samples(spark, d).withColumnRenamed("device", "job"), "job", "id", "metric", "purchase", "value").select("job", "id", "value")
 
 
-KINDS = "CASE event_type WHEN 'click' THEN 'upload' WHEN 'view' THEN 'commit' WHEN 'login' THEN 'delete' ELSE 'note' END"
+KINDS = "CASE event_type WHEN 'click' THEN 'commit_step' WHEN 'view' THEN 'gc_step' WHEN 'login' THEN 'verify_step' WHEN 'purchase' THEN 'state_transition' ELSE 'recovery' END"
 
 
-@query(f"SELECT user_id AS job, {KINDS} AS kind, count(*)::BIGINT AS entries, CASE {KINDS} WHEN 'upload' THEN 'discard_staging' WHEN 'commit' THEN 'roll_back' WHEN 'delete' THEN 'resume_delete' ELSE 'ignore' END AS action FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 60) GROUP BY 1, 2, 4")
+@query(f"SELECT user_id AS job, {KINDS} AS kind, count(*)::BIGINT AS entries, CASE {KINDS} WHEN 'commit_step' THEN 'clean_staging' WHEN 'gc_step' THEN 'rerun_gc' WHEN 'verify_step' THEN 'mark_verify_incomplete' WHEN 'state_transition' THEN 'continue_state_transition' ELSE 'skip' END AS action FROM events WHERE value <= 60 GROUP BY 1, 2, 4")
 def journal_plan(spark, d):
-    e = v.table(spark, d, "events")
-    done = e.filter("event_type = 'error' AND value > 60").select(F.col("user_id").alias("job"))
-    return journal.recovery_plan(e.selectExpr("user_id AS job", f"{KINDS} AS kind"), done)
+    return journal.recovery_plan(v.table(spark, d, "events").selectExpr("user_id AS job", f"{KINDS} AS kind", "value > 60 AS committed"))
 
 
 @query("WITH b AS (SELECT user_id, min(event_id) AS b FROM events WHERE event_type = 'error' GROUP BY 1) SELECT event_id AS id FROM events LEFT JOIN b USING (user_id) WHERE b IS NULL OR event_id < b")
@@ -559,24 +572,47 @@ def journal_valid_prefix(spark, d):
     return journal.valid_prefix(v.samples(spark, d).withColumn("ok", F.col("metric") != "error"), "device", "id", "ok").select("id")
 
 
-STATE = "['creating', 'uploading', 'verifying', 'committing', 'sealed', 'failed']"
+STATES = "'created', 'writing', 'verifying', 'committing', 'sealed', 'expired', 'deleted', 'gc_pending', 'purged'"
+#: The steps that are legal, typed out for the oracle.
+STEPS = "('created', 'writing'), ('writing', 'verifying'), ('writing', 'created'), ('verifying', 'committing'), ('verifying', 'writing'), ('committing', 'sealed'), ('sealed', 'expired'), ('sealed', 'deleted'), ('expired', 'deleted'), ('expired', 'gc_pending'), ('deleted', 'gc_pending'), ('gc_pending', 'purged')"
 
 
-@query(f"WITH s AS (SELECT user_id AS version, event_id AS id, {STATE}[(event_id * 7 % 6 + 1)::INT] AS st FROM events), l AS (SELECT *, lag(st) OVER (PARTITION BY version ORDER BY id) AS f FROM s) SELECT version, id, f AS from_state, st AS to_state FROM l WHERE f <> st AND (f, st) NOT IN ({', '.join(str(e) for e in journal.EDGES)})")
+@query(f"WITH s AS (SELECT user_id AS version, event_id AS id, [{STATES}][(event_id * 7 % 9 + 1)::INT] AS st FROM events), l AS (SELECT *, lag(st) OVER (PARTITION BY version ORDER BY id) AS f FROM s) SELECT version, id, f AS from_state, st AS to_state, CASE WHEN st = 'sealed' THEN 'skip_verifying' ELSE 'invalid_transition' END AS fault FROM l WHERE f <> st AND (f, st) NOT IN ({STEPS})")
 def state_violations(spark, d):
-    s = v.table(spark, d, "events").selectExpr("user_id AS version", "event_id AS id", "element_at(array('creating', 'uploading', 'verifying', 'committing', 'sealed', 'failed'), CAST(event_id * 7 % 6 + 1 AS INT)) AS st")
+    s = v.table(spark, d, "events").selectExpr("user_id AS version", "event_id AS id", f"element_at(array({STATES}), CAST(event_id * 7 % 9 + 1 AS INT)) AS st")
     return journal.violations(s, "version", "id", "st")
 
 
-CONFIGS = [
-    (1, '{"Name": "a", "Sources": ["/x", "/y"], "Options": {"dedup": "1"}, "Filters": ["include:*.txt"]}'), (2, '{"Name": "b", "Sources": ["/x"], "Options": {"warp": "9", "dedup": "1"}, "Filters": ["moon:1"]}'),
-    (3, '{"Name": "", "Sources": ["/x"]}'), (4, '{"Name": "d", "Sources": []}'), (5, "{not json"), (6, '{"Name": "f", "Sources": ["/z"]}'), (7, '{"Name": "f", "Sources": ["/z"]}'),
-]
+#: A configuration for each supplier, made in both engines: options and filters that are known or not, and broken ones.
+CONFIG = """CASE WHEN s_suppkey % 11 = 0 THEN '{not json' ELSE concat('{"Name": "', CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE s_name END, '", "Sources": [', CASE WHEN s_suppkey % 5 = 0 THEN '' ELSE '"/x", "/y"' END,
+  '], "Destination": {"Type": "', CASE WHEN s_suppkey % 3 = 0 THEN 'azure' ELSE 'file' END, '", "Path": "/b"}, "Encryption": {"Type": "AES256"}, "Compression": "zip", "Options": {"blocksize": "1", "', CASE WHEN s_suppkey % 2 = 0 THEN 'dblock-size' ELSE 'warp-speed' END,
+  '": "9"}, "Filters": [{"Type": "', CASE WHEN s_suppkey % 4 = 0 THEN 'wildcard' ELSE 'moon' END, '", "Rule": "*.txt"}]}') END"""
+SOUND = "(s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0 AND s_suppkey % 5 <> 0)"
+
+
+def _configs(spark, d):
+    return v.table(spark, d, "supplier").selectExpr("s_suppkey AS id", f"{CONFIG} AS config")
 
 
-@query("VALUES (1, 'success', 'a', 2, ''), (2, 'partial', 'b', 1, 'moon,warp'), (3, 'failed', '', 1, ''), (4, 'failed', 'd', 0, ''), (5, 'failed', NULL, 0, ''), (6, 'success', 'f', 1, '')".replace("VALUES", "SELECT * FROM (VALUES") + ") t(id, status, name, n_sources, unsupported)")
+@query(f"""SELECT s_suppkey AS id, CASE WHEN NOT {SOUND} THEN 'failed' WHEN s_suppkey % 2 = 1 OR s_suppkey % 4 <> 0 THEN 'partial' ELSE 'success' END AS status, CASE WHEN {SOUND} THEN s_name END AS name, CASE WHEN {SOUND} THEN 2 ELSE 0 END::INT AS n_sources,
+  CASE WHEN {SOUND} THEN CASE WHEN s_suppkey % 3 = 0 THEN 'azure_blob' ELSE 'local' END END AS storage, CASE WHEN {SOUND} THEN 'aes-256-gcm' END AS encryption, CASE WHEN {SOUND} THEN 'zstd' END AS compression,
+  CASE WHEN NOT {SOUND} THEN '' ELSE concat_ws(',', CASE WHEN s_suppkey % 4 <> 0 THEN 'Filters.moon' END, CASE WHEN s_suppkey % 2 = 1 THEN 'Options.warp-speed' END) END AS unsupported FROM supplier""")
 def config_mapping(spark, d):
-    return config.mapped(config.imported_once(spark.createDataFrame(CONFIGS, "id int, config string")))
+    return config.mapped(_configs(spark, d))
+
+
+@query(f"""WITH s AS (SELECT * FROM supplier WHERE {SOUND}) SELECT s_suppkey AS id, unnest([
+  {{'f': 'Name', 't': 'job.name', 'v': s_name}}, {{'f': 'Sources', 't': 'source_config.paths', 'v': '["/x","/y"]'}}, {{'f': 'Destination.Type', 't': 'storage_backend', 'v': CASE WHEN s_suppkey % 3 = 0 THEN 'azure_blob' ELSE 'local' END}},
+  {{'f': 'Destination.Path', 't': 'backend_config.root_path', 'v': '/b'}}, {{'f': 'Encryption.Type', 't': 'encryption_config.algorithm', 'v': 'aes-256-gcm'}}, {{'f': 'Compression', 't': 'compression_config.algorithm', 'v': 'zstd'}},
+  {{'f': 'Filters', 't': 'source_config.filters', 'v': '[{{"Type":"' || CASE WHEN s_suppkey % 4 = 0 THEN 'wildcard' ELSE 'moon' END || '","Rule":"*.txt"}}]'}}, {{'f': 'Options.blocksize', 't': 'options.blocksize', 'v': '1'}}]
+  || CASE WHEN s_suppkey % 2 = 0 THEN [{{'f': 'Options.dblock-size', 't': 'options.dblock-size', 'v': '9'}}] ELSE [] END) AS m FROM s""".join(("WITH x AS (", ") SELECT id, m.f AS field, m.t AS target, m.v AS value FROM x")))
+def config_fields(spark, d):
+    return config.field_mappings(_configs(spark, d))
+
+
+@query(f"SELECT min(s_suppkey) AS id, sha256({CONFIG}) AS digest FROM supplier GROUP BY 2")
+def config_imports(spark, d):
+    return config.imported_once(_configs(spark, d)).select("id", "digest")
 
 
 # Control tables and small rules
@@ -634,13 +670,20 @@ def batch_put(spark, d):
     return control.batch_put(f.select(F.when(F.col("doc_id") % 6 == 0, "bad").otherwise(F.sha2("content", 256)).alias("hash"), F.col("content").alias("data")))
 
 
-@query("SELECT event_id AS id, CASE event_type WHEN 'click' THEN 'retry' WHEN 'view' THEN 'skip' ELSE 'mark_failed' END AS decision, CASE WHEN value > 60 THEN 'exceed' ELSE 'pass' END AS target, value < 40 AS blocked, round(CASE WHEN event_id % 5 = 0 THEN 0 ELSE value * 1000 / (event_id % 5) END, 4) AS speed, greatest(0, least(1, value / 100)) AS progress FROM events")
+KIND = "['network_break', 'disk_full', 'permission_denied', 'file_locked', 'source_missing', 'repo_unavailable', 'process_killed', 'power_off', 'other'][(event_id % 9 + 1)::INT]"
+
+
+@query(f"""WITH e AS (SELECT *, {KIND} AS kind FROM events) SELECT event_id AS id,
+  CASE kind WHEN 'network_break' THEN 'retry' WHEN 'disk_full' THEN 'abort' WHEN 'permission_denied' THEN 'skip' WHEN 'file_locked' THEN 'retry' WHEN 'source_missing' THEN 'skip' WHEN 'repo_unavailable' THEN 'retry' WHEN 'process_killed' THEN 'resume' WHEN 'power_off' THEN 'self_check_and_isolate' END AS decision,
+  CASE kind WHEN 'disk_full' THEN 'abort' WHEN 'permission_denied' THEN 'skip' WHEN 'source_missing' THEN 'skip' WHEN 'file_locked' THEN 'retry' WHEN 'network_break' THEN 'retry' WHEN 'repo_unavailable' THEN 'retry' WHEN 'process_killed' THEN 'continue' WHEN 'power_off' THEN 'continue' ELSE 'mark_failed' END AS action,
+  CASE WHEN event_id % 7 = 0 THEN 'pending' WHEN event_id % 5 = 0 THEN 'not_tested' WHEN value > 60 THEN 'exceed' ELSE 'pass' END AS target, value < 40 AS blocked, round(CASE WHEN event_id % 5 = 0 THEN 0 ELSE value * 1000 / (event_id % 5) END, 4) AS speed, greatest(0, least(1, value / 100)) AS progress FROM e""")
 def small_rules(spark, d):
     c = F.col
-    kind = F.when(c("event_type") == "click", "file_locked").when(c("event_type") == "view", "access_denied").otherwise("other")
+    kind = F.element_at(F.array(*map(F.lit, (*rules.DECISIONS, "other"))), (c("event_id") % 9 + 1).cast("int"))
+    target = F.when(c("event_id") % 5 == 0, 0.0).otherwise(60.0)
     return v.table(spark, d, "events").select(
-        c("event_id").alias("id"), rules.decision(kind).alias("decision"), rules.target_status(F.lit(60.0), c("value")).alias("target"), rules.blocked(F.lit(40.0), c("value")).alias("blocked"),
-        F.round(rules.throughput(c("value"), c("event_id") % 5), 4).alias("speed"), rules.clamped(c("value") / 100).alias("progress"),
+        c("event_id").alias("id"), rules.decision(kind).alias("decision"), rules.engine_action(kind).alias("action"), rules.target_status(c("event_id") % 7 != 0, target, c("value")).alias("target"),
+        rules.blocked(F.lit(40.0), c("value")).alias("blocked"), F.round(rules.throughput(c("value"), c("event_id") % 5), 4).alias("speed"), rules.clamped(c("value") / 100).alias("progress"),
     )
 
 
@@ -657,34 +700,47 @@ def list_objects(spark, d):
     return repository.list_objects(v.files(spark, d).select(F.col("path").alias("key")), "src1", 25, "src11/")
 
 
-# Streams, run to the end of what is there; their batch twins are the oracle of the tests
+# Streams, run to the end of what is there
 
 
-def _streamed(spark, stream, run=jobs.to_parquet):
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-stream-')}"
-    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def streamed(spark, stream, run=jobs.to_parquet):
+    path = new_path(spark, "stream")
     run(stream, f"{path}/out", f"{path}/log").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-@query(None)
+def _plain(df, *times):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+@query(oracle("v_samples", body=", w AS (SELECT unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS start, metric, value FROM v_samples) SELECT start, metric, count(*)::BIGINT AS n, round(max(value), 4) AS peak, round(avg(value), 4) AS mean FROM w GROUP BY start, metric"))
 def stream_windows(spark, d):
-    return _streamed(spark, jobs.windows(jobs.samples(spark, d), late=None), jobs.replayed)
+    return _plain(streamed(spark, jobs.windows(jobs.samples(spark, d), late=None), jobs.replayed), "start")
 
 
-@query(None)
+@query(oracle("v_samples", body=", g AS (SELECT device, ts, coalesce(ts > lag(ts) OVER (PARTITION BY device ORDER BY ts) + INTERVAL 1 DAY, true)::INT AS new FROM v_samples), s AS (SELECT *, sum(new) OVER (PARTITION BY device ORDER BY ts) AS k FROM g) SELECT device, min(ts) AS start, max(ts) + INTERVAL 1 DAY AS \"end\", count(*)::BIGINT AS n FROM s GROUP BY device, k"))
 def stream_sessions(spark, d):
-    return _streamed(spark, jobs.sessions(jobs.samples(spark, d), "1 day", late=None), jobs.replayed)
+    return _plain(streamed(spark, jobs.sessions(jobs.samples(spark, d), "1 day", late=None), jobs.replayed), "start", "end")
 
 
-@query(None)
+@query(ORACLE_SQL["alert_suppressed"])  # the same where nothing is later than the watermark
 def stream_alerts(spark, d):
     table = spark.createDataFrame(RULES, "rule string, severity string, metric string, op string, threshold double, enabled boolean, suppress_s int")
     matches = fleet.alert_matches(jobs.samples(spark, d), table).select("rule", "device", "ts", "suppress_s")
-    return _streamed(spark, jobs.suppressed(matches))
+    return _plain(streamed(spark, jobs.suppressed(matches)), "ts")
 
 
-@query(None)
+RATE = 40.0
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT user_id AS source, event_id AS id, epoch_us(ts) // 100000000000 AS at_s, value AS amount, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 100000000000, event_id) AS n FROM events),
+b(source, id, n, t, have, amount) AS (SELECT source, id, n, at_s, {2 * RATE}::DOUBLE, amount FROM r WHERE n = 1
+  UNION ALL SELECT r.source, r.id, r.n, r.at_s, least(b.have - CASE WHEN b.amount <= b.have THEN b.amount ELSE 0 END + {RATE}::DOUBLE * (r.at_s - b.t), {2 * RATE}::DOUBLE), r.amount FROM b JOIN r ON r.source = b.source AND r.n = b.n + 1)
+SELECT source, id, amount <= have AS granted, amount > {2 * RATE}::DOUBLE AS infeasible FROM b""")
 def rate_limit_replay(spark, d):
-    e = v.table(spark, d, "events").select(F.col("user_id").alias("source"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at_s"), F.col("value").alias("amount"), F.col("event_id").alias("id"))
-    return jobs.token_bucket(e, 0.001)
+    at = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 100000)
+    e = v.table(spark, d, "events").select(F.col("user_id").alias("source"), at.alias("at_s"), F.col("value").alias("amount"), F.col("event_id").alias("id"))
+    return jobs.token_bucket(e, RATE)
+
+
+from . import more  # noqa: E402, F401  registers the rest

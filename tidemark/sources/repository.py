@@ -5,19 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import passes
+from ..shared import deleted, stored
+
 MANIFEST = "version_id LONG, ts TIMESTAMP_NTZ, files ARRAY<STRUCT<path: STRING, size: LONG, mtime: LONG, chunks: ARRAY<STRING>>>"
 
 
-def scan(spark: SparkSession, root: str, *, with_content: bool = False, only: str | None = None) -> DataFrame:
-    """path, size, mtime (microseconds) and, if asked for, content of all files under root.
+def scan(spark: SparkSession, roots: str | list[str], *, with_content: bool = False, only: str | None = None, include: list[tuple[str, str]] = (), exclude: list[tuple[str, str]] = ()) -> DataFrame:
+    """path, size, mtime (microseconds) and, if asked for, content of all files under the roots that pass the rules.
 
-    only: a glob on base names, applied while listing. Files that go meanwhile are left out, and so
-    are empty files, which the reader makes no rows of.
+    only: a glob on base names, applied while listing. Roots that aren't there and files that go
+    meanwhile are left out, and so are empty files, which the reader makes no rows of.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
-    rows = (reader.option("pathGlobFilter", only) if only else reader).load(root)
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    there = [r for r in roots if _exists(spark, r)]
     columns = [F.col("path"), F.col("length").alias("size"), F.unix_micros("modificationTime").alias("mtime")]
-    return rows.select(*columns, *(["content"] if with_content else []))
+    names = [*columns, *(["content"] if with_content else [])]
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true")
+    reader = reader.option("pathGlobFilter", only) if only else reader
+    rows = reader.load(there) if there else spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    return rows.filter(passes(F.col("path"), list(include), list(exclude))).select(*names)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place, fs = _place(spark, path)
+    return fs.exists(place)
 
 
 def estimate(files: DataFrame) -> DataFrame:
@@ -47,6 +64,69 @@ def checked_chunks(spark: SparkSession, path: str, wanted: DataFrame) -> DataFra
     return asked.join(stored, ["bucket", "hash"], "left").select("hash", "data", verdict.alias("verdict"))
 
 
+def remove_chunks(spark: SparkSession, path: str, gone: DataFrame) -> DataFrame:
+    """Take the chunks of gone (hash) out of the table at path; their hashes and freed bytes are returned.
+
+    Only buckets that hold some are written again, each replaced as a whole.
+    """
+    asked = gone.select("hash").distinct().withColumn("bucket", bucket(F.col("hash")))
+    table = spark.read.parquet(path)
+    found = stored(table.join(asked, ["bucket", "hash"], "left_semi").select("hash", "bucket", F.octet_length("data").cast("long").alias("freed")), "removed")
+    touched = [r[0] for r in found.select("bucket").distinct().collect()]  # 256 at most
+    if touched:
+        rest = stored(table.filter(F.col("bucket").isin(touched)).join(asked, ["bucket", "hash"], "left_anti").select(*table.columns), "kept-chunks")
+        left = {r[0] for r in rest.select("bucket").distinct().collect()}
+        rest.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+        for b in set(touched) - left:
+            place, fs = _place(spark, f"{path}/bucket={b}")
+            fs.delete(place, True)
+        deleted(rest)
+    return found.select("hash", "freed")
+
+
+def remove_object(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder; False if it isn't there."""
+    place, fs = _place(spark, path)
+    return fs.delete(place, True)
+
+
+def write_manifests(manifests: DataFrame, path: str) -> None:
+    """Append manifests (of MANIFEST), a JSON object a line; they show once the whole job is done."""
+    manifests.select("version_id", "ts", "files").write.mode("append").json(path)
+
+
+def stage_version(manifest: DataFrame, root: str, version: int) -> str:
+    """Write a version's manifest to the staging area: nothing reads it before commit_version()."""
+    path = f"{root}/staging/{version}"
+    manifest.write.mode("overwrite").json(path)
+    return path
+
+
+def commit_version(spark: SparkSession, root: str, version: int, chunks: DataFrame) -> bool:
+    """Move a staged version among the versions, in one rename, if all chunks (chunk) it refers to are stored."""
+    staged, fs = _place(spark, f"{root}/staging/{version}")
+    if not fs.exists(_place(spark, f"{root}/staging/{version}/_SUCCESS")[0]):
+        return False
+    refs = manifest_refs(spark, f"{root}/staging/{version}")
+    if refs.join(chunks.select("chunk"), "chunk", "left_anti").limit(1).count():
+        return False
+    target, _ = _place(spark, f"{root}/versions/{version}")
+    fs.mkdirs(target.getParent())
+    return fs.rename(staged, target)
+
+
+def clear_incomplete(spark: SparkSession, root: str) -> list[int]:
+    """Remove staged versions whose writing never ended; their numbers, in order."""
+    area, fs = _place(spark, f"{root}/staging")
+    out = []
+    if fs.exists(area):
+        for status in fs.listStatus(area):
+            if not _exists(spark, f"{status.getPath().toString()}/_SUCCESS"):
+                out.append(int(status.getPath().getName()))
+                fs.delete(status.getPath(), True)
+    return sorted(out)
+
+
 def list_versions(spark: SparkSession, path: str) -> DataFrame:
     """version_id, ts, n_files, total_size of every manifest (a JSON object a line); broken ones are skipped."""
     rows = spark.read.schema(MANIFEST).option("mode", "DROPMALFORMED").json(path).filter("version_id IS NOT NULL")
@@ -69,3 +149,20 @@ def list_objects(objects: DataFrame, prefix: str, most: int, after: str | None =
 def pending(staged: DataFrame, versions: DataFrame) -> DataFrame:
     """Staged versions that were never committed."""
     return staged.join(versions.select("version"), "version", "left_anti")
+
+
+COMPAT_FILES = "ARRAY<STRUCT<name: STRING, length: LONG, modified: LONG, blocks: ARRAY<STRING>>>"
+
+
+def to_compat(manifests: DataFrame) -> DataFrame:
+    """Manifests in the form of the compatible repository: ids as text, files renamed, refs the distinct chunks in order."""
+    files = F.transform("files", lambda f: F.struct(f["path"].alias("name"), f["size"].alias("length"), f["mtime"].alias("modified"), f["chunks"].alias("blocks")))
+    refs = F.array_sort(F.array_distinct(F.flatten(F.transform("files", lambda f: f["chunks"]))))
+    return manifests.select(F.col("version_id").cast("string").alias("version"), F.col("ts").alias("created"), files.cast(COMPAT_FILES).alias("entries"), refs.alias("refs"))
+
+
+def from_compat(compat: DataFrame) -> DataFrame:
+    """The other way; a version that is no number is an error."""
+    files = F.transform("entries", lambda e: F.struct(e["name"].alias("path"), e["length"].alias("size"), e["modified"].alias("mtime"), e["blocks"].alias("chunks")))
+    number = F.coalesce(F.expr("try_cast(version AS BIGINT)"), F.raise_error(F.concat(F.lit("no version: "), F.coalesce("version", F.lit("null")))).cast("long"))
+    return compat.select(number.alias("version_id"), F.col("created").alias("ts"), files.alias("files"))

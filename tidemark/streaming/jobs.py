@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import redact
+from ..operators.fleet import folded
+
 SAMPLE = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
@@ -84,21 +88,32 @@ def replayed(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
 
 
+def ingested(stream: DataFrame) -> DataFrame:
+    """Log rows (id, device, level, message, fields) with secrets masked before they reach a sink; fields are kept."""
+    return stream.withColumns({"message": redact.redacted(F.col("message")), "fields": redact.redacted_fields(F.col("fields"))})
+
+
 def token_bucket(requests: DataFrame, rate: float) -> DataFrame:
     """requests (source, at_s, amount, id) with granted and infeasible (above the capacity of 2 * rate); rate 0 grants all.
 
-    Each source replays its requests in order of time with the tokens left as the fold's state.
+    Each source replays its requests in order of time and id; the tokens left and the last moment are
+    all that it carries on.
     """
     if rate == 0:
         return requests.select("source", "id", F.lit(True).alias("granted"), F.lit(False).alias("infeasible"))
-    cap = F.lit(2.0 * rate)
-    order = F.array_sort(F.collect_list(F.struct("at_s", "id", "amount")))
-    start = F.struct(cap.alias("tokens"), F.lit(None).cast("double").alias("t"), F.array().cast("array<struct<id:bigint,granted:boolean>>").alias("out"))
-
-    def step(s, r):
-        have = F.least(s["tokens"] + F.lit(rate) * (r["at_s"].cast("double") - F.coalesce(s["t"], r["at_s"].cast("double"))), cap)
-        ok = r["amount"] <= have
-        return F.struct((have - F.when(ok, r["amount"]).otherwise(0.0)).alias("tokens"), r["at_s"].cast("double").alias("t"), F.concat(s["out"], F.array(F.struct(r["id"].alias("id"), ok.alias("granted")))).alias("out"))
-
-    done = requests.groupBy("source").agg(F.aggregate(order, start, step, lambda s: s["out"]).alias("o")).select("source", F.explode("o").alias("o")).select("source", "o.id", "o.granted")
-    return done.join(requests.select("source", "id", (F.col("amount") > cap).alias("infeasible")), ["source", "id"])
+    cap = 2.0 * rate
+
+    def step(key: tuple, part: pa.RecordBatch, state: tuple[float, float] | None) -> tuple[pa.RecordBatch, tuple[float, float]]:
+        at, amount = part.column("at_s").to_pylist(), part.column("amount").to_pylist()
+        tokens, last = state or (cap, at[0])
+        granted = []
+        for t, a in zip(at, amount):
+            tokens, last = min(tokens + rate * (t - last), cap), t
+            granted.append(a <= tokens)
+            tokens -= a if granted[-1] else 0.0
+        out = [part.column("source"), part.column("id"), pa.array(granted, pa.bool_()), pa.array([a > cap for a in amount], pa.bool_())]
+        return pa.RecordBatch.from_arrays(out, names=["source", "id", "granted", "infeasible"]), (tokens, last)
+
+    rows = requests.select("source", "id", F.col("at_s").cast("double").alias("at_s"), F.col("amount").cast("double").alias("amount"))
+    kinds = dict(rows.dtypes)
+    return folded(rows, ["source"], ["at_s", "id"], f"source {kinds['source']}, id {kinds['id']}, granted boolean, infeasible boolean", step)
