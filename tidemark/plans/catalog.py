@@ -45,7 +45,7 @@ def file_selection(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(oracle("v_files", body="SELECT path, '/restore/' || path || '.restored' AS target, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', size / 1024.0::DOUBLE) WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576.0::DOUBLE) WHEN size < 1099511627776 THEN printf('%.2f GB', size / 1073741824.0::DOUBLE) ELSE printf('%.2f TB', size / 1099511627776.0::DOUBLE) END AS shown FROM v_files"))
+@query(oracle("v_files", body="SELECT path, '/restore/' || path || '.restored' AS target, CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.2f KB', round(size / 1024.0::DOUBLE, 2)) WHEN size < 1073741824 THEN printf('%.2f MB', round(size / 1048576.0::DOUBLE, 2)) WHEN size < 1099511627776 THEN printf('%.2f GB', round(size / 1073741824.0::DOUBLE, 2)) ELSE printf('%.2f TB', round(size / 1099511627776.0::DOUBLE, 2)) END AS shown FROM v_files"))
 def restore_targets(spark, d):
     return v.files(spark, d).select("path", text.restore_path("/restore", F.col("path"), True).alias("target"), text.format_bytes(F.col("size")).alias("shown"))
 

@@ -289,7 +289,7 @@ def list_default(spark, d):
     return fleet.newest(v.samples(spark, d), None, "ts", "id").select("id", "ts")
 
 
-SOAK = "SELECT user_id AS device, event_id, ts, value * 4000 AS rss, value AS handles, value / 40 AS cpu, value / 10 AS connections, (value * 30000000)::BIGINT AS disk_bytes, event_id % 90 <> 0 AS heartbeat_ok FROM events"
+SOAK = "SELECT user_id AS device, event_id, ts, value * 4000 / 7 AS rss, value / 3 AS handles, value / 39 AS cpu, value / 11 AS connections, (value * 30000000)::BIGINT AS disk_bytes, event_id % 90 <> 0 AS heartbeat_ok FROM events"
 
 
 @query(f"""WITH s AS ({SOAK}), x AS (SELECT *, (row_number() OVER (PARTITION BY device ORDER BY ts, event_id) - 1)::DOUBLE AS k FROM s),
@@ -297,7 +297,7 @@ g AS (SELECT device, count(*)::BIGINT AS n, coalesce(regr_slope(rss, k), 0) AS a
 u AS (SELECT device, n, unnest(['memory_leak', 'handle_leak', 'cpu_drift', 'connection_leak', 'disk_growth', 'heartbeat_stability', 'zombie_process']) AS metric, unnest([a, b, e, f, g, h, 0.0]) AS m, unnest([1000.0, 1.0, 0.1, 0.5, n * 104857600.0, 0.01, 1.0]) AS most FROM g)
 SELECT device, metric, n, round(m, 6) AS measured, CASE WHEN n < 2 AND metric NOT IN ('heartbeat_stability', 'zombie_process') THEN 'not_tested' WHEN m > most THEN 'fail' ELSE 'pass' END AS verdict FROM u""")
 def soak_verdicts(spark, d):
-    e = v.table(spark, d, "events").selectExpr("user_id AS device", "event_id AS id", "ts", "value * 4000 AS rss", "value AS handles", "value / 40 AS cpu", "value / 10 AS connections", "CAST(round(value * 30000000) AS BIGINT) AS disk_bytes", "event_id % 90 <> 0 AS heartbeat_ok")
+    e = v.table(spark, d, "events").selectExpr("user_id AS device", "event_id AS id", "ts", "value * 4000 / 7 AS rss", "value / 3 AS handles", "value / 39 AS cpu", "value / 11 AS connections", "CAST(round(value * 30000000) AS BIGINT) AS disk_bytes", "event_id % 90 <> 0 AS heartbeat_ok")
     return fleet.soak_verdicts(e)
 
 
