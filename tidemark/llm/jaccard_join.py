@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, dropped, written
+from .url_filter import BlockedBloom
 from .words import LOWER, STEP, mixed, pieces, run_hashes, shingle_hashes, texts, word_spans
 
 PIECE, FAN = 2 << 20, 8
@@ -303,18 +304,24 @@ def fingerprint(tokens: np.ndarray, k: np.uint64 = STEP) -> int:
     return int(mixed(tokens ^ k).sum(dtype=np.uint64)) - 2**63
 
 
-def _sets_of(rows: DataFrame, n: int) -> DataFrame:
-    """rows (mark1 among the columns) with tokens, the set as bytes, in place of _text; only those whose set has that mark."""
-    keep = [c for c in rows.columns if c != "_text"]
+def member_sets(rows: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """members (_id, mark1 and more) with tokens, the set as bytes.
+
+    A Bloom filter of their ids, of a bounded size, keeps the texts of other documents out of the
+    shuffle; the join behind it is exact. A text whose id is a member's but whose set has another mark
+    is none.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(BlockedBloom.of(members.select(F.xxhash64("_id").alias("h")), 16, 32 << 20).bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            whole = whole.filter(pa.array(BlockedBloom(sent.value).has(whole.column("h").to_numpy(zero_copy_only=False))))
             for batch in pieces(whole, "_text", PIECE):
                 sets = token_sets(batch.column("_text"), n)
-                own = pa.array([fingerprint(s) == m for s, m in zip(sets, batch.column("mark1").to_pylist())], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*keep, "tokens"]).filter(own)
+                yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["_id", "mark1", "tokens"])
 
-    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "_text") + ", tokens binary")
+    sets = rows.filter("_id is not null").withColumn("h", F.xxhash64("_id")).mapInArrow(run, "_id long, mark1 long, tokens binary")
+    return sets.join(members, ["_id", "mark1"])
 
 
 def block_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -387,7 +394,7 @@ def joined(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n
         "mark1", "_id", "block", "shards", spread.alias("shard"), F.when(pivot, F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)).otherwise(F.array(spread)).alias("into")
     )
     placed = written(placed, "placed")
-    sets = written(_sets_of(rows.join(placed, "_id"), n), "sets")
+    sets = written(member_sets(rows, placed, n), "sets")
     name = F.when(F.col("shards") > 1, F.concat_ws(":", "block", "_into")).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("block"), F.lit(bins))))
     found = written(block_links(sets.withColumn("_into", F.explode("into")).select(name.alias("bin"), "block", "mark1", "tokens"), percent), "links")
     comps = components(found, "linked").withColumnRenamed("id", "mark1")
