@@ -620,3 +620,29 @@ def test_pipeline(spark):
         if k == 3:
             assert {r.doc_id for r in docs.collect()} <= before
     assert start.count() > counts[0] >= counts[1] >= counts[2] > 0 and counts[4] >= counts[3] > 0
+
+
+@pytest.mark.parametrize("rows", ["edge", "empty"])
+def test_each_stage_on_edge_tables(spark, edge, rows):
+    """Nulls, empty texts, ties, repeated rows, clashing columns, and no rows at all."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = edge.withColumns({"lang": F.lit(None).cast("string"), "n_chars": F.length("text").cast("long")})
+    docs = docs.limit(0) if rows == "empty" else docs
+    stages = dict(corpus_pipeline.STAGES)
+    out = {name: stage(spark, docs, SF) for name, stage in stages.items()}
+    for name, got in out.items():
+        assert name == "best-fit packing" or got.columns == docs.columns
+    if rows == "empty":
+        assert all(got.count() == 0 for got in out.values())
+        return
+    texts = [t for _, t, _ in EDGE]
+    kept = [(r.doc_id, r.text) for r in out["quality rules"].collect()]
+    assert all(not (base(t)[0] < 50 or 100 * base(t)[4] > 50 * base(t)[0]) for _, t in kept) and (None, BASE) in kept
+    stay = Counter((r.doc_id, r.text) for r in out["n-gram Jaccard join"].collect())
+    lowest = linked_components({i: shingles(t) for i, t, _ in EDGE if i is not None})
+    assert stay == Counter((i, t) for i, t, _ in EDGE if i is None or lowest[i] == i)
+    cut = {(i, without_broken_characters(t, c)) for i, t, c in removed_bytes([(i, t) for i, t, _ in EDGE])}
+    assert {(r.doc_id, r.text) for r in out["suffix-array dedup"].collect()} == {(i, x) for i, x in cut if x or not dict((a, b) for a, b, _ in EDGE)[i]}
+    assert {r.text for r in out["mixing"].collect()} <= set(texts)
+    pieces = out["best-fit packing"].toPandas()
+    assert len(pieces[pieces.piece == 0]) == len(EDGE) and set(pieces.doc_id.dropna().astype(int)) == {i for i, _, _ in EDGE if i is not None}

@@ -473,7 +473,9 @@ def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         gaps = F.transform(gaps, lambda g: _trimmed(F.col("_text"), g))
     kept = F.aggregate(gaps, F.lit(b"").cast("binary"), lambda s, g: F.concat(s, F.substring(F.col("_text"), (g["a"] + 1).cast("int"), g["n"].cast("int"))))
     kept = F.when(F.col("starts").isNull(), F.col("_text")).otherwise(kept)
-    return out.select("_row.*", size.alias("_n_bytes"), starts.alias("_starts"), ends.alias("_ends"), kept.alias("_kept"))
+    # in two steps, so that no column of docs is taken for one of those here
+    out = out.select("_row", size.alias("x0"), starts.alias("x1"), ends.alias("x2"), kept.alias("x3"))
+    return out.select("_row.*", *(F.col(f"x{k}").alias(c) for k, c in enumerate(("_n_bytes", "_starts", "_ends", "_kept"))))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
