@@ -4,8 +4,15 @@
 3 suffix-array dedup removes passages that earlier documents have, 4 mixing repeats or drops
 documents to meet each source's target, 5 packing places the tokens of what is left in sequences.
 
-Stages 1 to 4 return the columns of documents. A stage has run once its result is stored, and the
-next one starts from there.
+Stages 1 to 4 return the columns of documents, whatever further columns those have. A stage has run
+once its result is stored, and the next one starts from there.
+
+Defined cases, stage by stage. 1: a null or empty text has no words and goes. 2: a null or empty text
+and a null id link with nothing and stay; rows that repeat an id stay or go together. 3: a null or
+empty text stays as it is; texts that lose all their bytes go; of rows that share an id none removes
+from another. 4: a null source is a source of its own; a document without words takes no words; a row
+that repeats another is a document of its own. 5: a null text gives a piece with the end id alone.
+Texts of any length are taken whole; an empty table passes through.
 """
 
 from __future__ import annotations
