@@ -110,3 +110,10 @@ def test_collection(spark):
     report = reconcile.gc_report(index, spark.createDataFrame([("a",), ("c",), ("d",)], "hash string"))
     assert {tuple(r) for r in report.collect()} == {("a", "purged", 5), ("b", "gone", 0), ("c", "skipped", 0)}
     assert {r.hash: r.status for r in reconcile.index_after_gc(index, report).collect()} == {"a": "purged", "b": "purged", "c": "active", "d": "gc_pending"}
+
+
+def test_frames_cut_short_are_errors(spark):
+    df = spark.createDataFrame([("{}",), ("",), (None,)], "m string").select("m", repository.framed_manifest(F.col("m")).alias("f"))
+    assert [r.b for r in df.select(repository.unframed_manifest(F.concat("f", F.lit(b"x").cast("binary"))).alias("b")).collect()] == ["{}", "", None]
+    with pytest.raises(Exception, match="cut short"):
+        df.select(repository.unframed_manifest(F.substring("f", F.lit(1), F.octet_length("f") - 1))).collect()

@@ -9,7 +9,7 @@ from tidemark.plans import catalog
 SF = "/root/testdata/sf0.001"
 PYTHON = {"chunk_cdc", "chunk_round_trip", "stream_alerts", "alert_suppressed", "rate_limit_replay", "journal_frames", "redact_json"}
 #: Written by a stream before the frame is returned.
-STREAMS = {"stream_alerts", "stream_windows", "stream_sessions", "log_ingest"}
+STREAMS = {"stream_alerts", "stream_windows", "stream_sessions", "log_ingest", "stream_heartbeats"}
 
 
 def plan(df) -> str:

@@ -94,6 +94,13 @@ def roll_up(versions: DataFrame, refs: DataFrame, repository: str) -> DataFrame:
     return v.join(c, repository, "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)).cast("long"))
 
 
+def index_stat(index: DataFrame) -> DataFrame:
+    """One row over the chunk index (ref_count, stored_size, status): chunks, active, pending, references, bytes."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    of = lambda s: F.count_if(F.col("status") == s)
+    return index.agg(F.count("*").alias("chunks"), of("active").alias("active"), of("gc_pending").alias("pending"), total("ref_count").alias("references"), total("stored_size").alias("bytes"))
+
+
 def batch_put(items: DataFrame) -> DataFrame:
     """One row from items (hash, data): accepted (the hash is right) and refused."""
     good = F.coalesce(F.sha2("data", 256) == F.col("hash"), F.lit(False))

@@ -194,7 +194,11 @@ def growth(samples: DataFrame) -> DataFrame:
 
 def timeouts(samples: DataFrame, as_of: str, seconds: int = 90, known: DataFrame | None = None) -> DataFrame:
     """device, last_seen, state. Only a device that is online (known: device, status; else all are) goes offline, more than so many seconds after its last sample."""
-    last = samples.groupBy("device").agg(F.max("ts").alias("last_seen"))
+    return timed_out(samples.groupBy("device").agg(F.max("ts").alias("last_seen")), as_of, seconds, known)
+
+
+def timed_out(last: DataFrame, as_of: str, seconds: int = 90, known: DataFrame | None = None) -> DataFrame:
+    """timeouts() from what is known of each device (device, last_seen)."""
     status = F.lit("online")
     if known is not None:
         last, status = last.join(known.select("device", "status"), "device", "left"), F.coalesce("status", F.lit("online"))

@@ -74,6 +74,13 @@ def pending_versions(spark, d):
     return repository.pending(versions.filter("version % 6 = 0").select("version"), versions.filter("status <> 'P'"))
 
 
+@query("SELECT o_orderkey AS id, '{\"version\":' || o_orderkey || ',\"job\":' || o_custkey || '}' AS manifest, (4 + octet_length(encode('{\"version\":' || o_orderkey || ',\"job\":' || o_custkey || '}')))::INT AS frame_bytes FROM orders")
+def manifest_frames(spark, d):
+    text_ = F.to_json(F.struct("version", "job"))
+    rows = v.versions(spark, d).select(c("version").alias("id"), repository.framed_manifest(text_).alias("f"))
+    return rows.select("id", repository.unframed_manifest(c("f")).alias("manifest"), F.octet_length("f").alias("frame_bytes"))
+
+
 # Deletion and collection
 
 
@@ -104,6 +111,11 @@ def index_after_gc(spark, d):
     return reconcile.index_after_gc(*_gc(spark, d))
 
 
+@query(f"WITH i AS ({GC}) SELECT count(*)::BIGINT AS chunks, count_if(status = 'active')::BIGINT AS active, count_if(status = 'gc_pending')::BIGINT AS pending, sum(ref_count)::BIGINT AS \"references\", sum(stored_size)::BIGINT AS bytes FROM i")
+def index_stat(spark, d):
+    return control.index_stat(_gc(spark, d)[0])
+
+
 @query("SELECT p_partkey AS id, (p_size > 25 AND (p_partkey % 3 = 0 OR p_partkey % 120 >= 60)) OR p_size * 2 >= 80 AS due FROM part")
 def gc_due(spark, d):
     now = F.lit(AS_OF).cast("timestamp_ntz")
@@ -506,6 +518,15 @@ def redact_json(spark, d):
     return v.table(spark, d, "events").select(c("event_id").alias("id"), redact.redacted_json(doc).alias("doc"))
 
 
+@query("SELECT user_id AS device, max(ts) AS last_seen, CASE WHEN max(ts) < TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 90 SECOND THEN 'offline' ELSE 'online' END AS state FROM events GROUP BY 1")
+def stream_heartbeats(spark, d):
+    """The last heartbeat of each device as a stream's state, and who is offline by it."""
+    from .catalog import streamed
+
+    last = streamed(spark, jobs.last_seen(jobs.samples(spark, d)), jobs.replayed)
+    return fleet.timed_out(last.withColumn("last_seen", c("last_seen").cast("timestamp_ntz")), "2024-01-30 00:00:00")
+
+
 @query("SELECT event_id AS id, event_type AS level, 'sent token=***REDACTED***' AS message, '[REDACTED]' AS secret FROM events")
 def log_ingest(spark, d):
     """Events as log rows, through a stream that masks secrets before its sink."""

@@ -95,6 +95,19 @@ def write_manifests(manifests: DataFrame, path: str) -> None:
     manifests.select("version_id", "ts", "files").write.mode("append").json(path)
 
 
+def framed_manifest(manifest: Column) -> Column:
+    """A manifest (JSON text) as a frame: its length in four bytes, big-endian, and its bytes."""
+    data = manifest.cast("binary")
+    return F.concat(F.unhex(F.lpad(F.hex(F.octet_length(data)), 8, "0")), data)
+
+
+def unframed_manifest(frame: Column) -> Column:
+    """The JSON text of a frame; one that is cut short is an error, bytes behind it don't count."""
+    size = F.conv(F.hex(F.substring(frame, 1, 4)), 16, 10).cast("int")
+    whole = (F.octet_length(frame) >= 4) & (F.octet_length(frame) >= size + 4)
+    return F.when(frame.isNull() | whole, F.substring(frame, F.lit(5), size).cast("string")).otherwise(F.raise_error(F.lit("manifest frame cut short")).cast("string"))
+
+
 def stage_version(manifest: DataFrame, root: str, version: int) -> str:
     """Write a version's manifest to the staging area: nothing reads it before commit_version()."""
     path = f"{root}/staging/{version}"

@@ -39,6 +39,11 @@ def sessions(stream: DataFrame, gap: str = "90 seconds", late: str | None = "10
     return out.select("device", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def last_seen(stream: DataFrame) -> DataFrame:
+    """device, last_seen: one time a device as state; what is offline at a moment follows from it (fleet.timed_out)."""
+    return stream.groupBy("device").agg(F.max("ts").alias("last_seen"))
+
+
 def suppressed(matches: DataFrame, late: str = "10 minutes") -> DataFrame:
     """rule, device, ts of matches (rule, device, ts, suppress_s) that fire, with the last one fired as state.
 
