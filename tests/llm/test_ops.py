@@ -396,6 +396,15 @@ def test_url_filter_drops_false_hits_and_takes_the_longest(spark):
     assert url_filter.judged(df, url_filter.rules_frame(spark).limit(0)).filter("verdict <> 'allow'").count() == 0
 
 
+def test_url_filter_with_long_urls_and_many_path_lengths(spark):
+    rules = [("block", "a.com", "/" + "p" * k) for k in range(0, 600, 2)] + [("allow", "a.com", "/" + "p" * 599)]
+    urls = [(k, f"http://x.a.com/{'p' * n}{'z' * 200_000}") for k, n in enumerate((0, 1, 2, 301, 599))] + [(9, "http://" + "s." * 300 + "a.com/pp"), (10, "http://a.com")]
+    df = spark.createDataFrame(urls, "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judged(df, url_filter.rules_frame(spark, rules)).collect()}
+    want = {k: ("a.com/" + "p" * (n - n % 2), "block") for k, n in enumerate((0, 1, 2, 301))} | {4: ("a.com/" + "p" * 599, "allow"), 9: ("a.com/pp", "block"), 10: (None, "allow")}
+    assert got == want
+
+
 @pytest.mark.parametrize("options", [{}, {"leaf": 40, "max_leaf": 30}])
 def test_embeddings_against_brute_force(spark, options):
     rng = np.random.default_rng(4)

@@ -10,7 +10,7 @@ Running sums never gather a source in one task. Documents are counted by (source
 salt); the running count over these few rows and a row number within each such cell give the
 place of every document.
 
-Defined cases: null text has size 0, null source is a source of its own and comes last, repeated
+Defined cases: texts of any length are counted whole; null text has size 0, null source is a source of its own and comes last, repeated
 rows are separate documents, an empty table gives an empty result, sources without words have
 target 0. A null id sorts first. Columns of the input that bear the name of a result column are
 replaced by it.

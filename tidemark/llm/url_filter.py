@@ -7,7 +7,7 @@ Bloom filter, of bounded size and broadcast, drops nearly all keys that aren't l
 pass meet the list in a hash join by the whole key, which removes the false positives. The longest
 entry wins (host and path together; on a tie the longer host); where none fits, the URL is allowed.
 
-Defined cases: a null URL or one without '://' has an empty host and path and fits nothing; repeated
+Defined cases: a URL of any length is read whole; a null URL or one without '://' has an empty host and path and fits nothing; repeated
 rows are judged one by one; repeated entries of the list count once (block wins over allow); an
 empty list or table gives allow or no rows. Columns other than the id and the URL aren't returned.
 """
