@@ -121,12 +121,23 @@ def test_reading_takes_time_in_proportion(piece):
     assert time.perf_counter() - start < 4
 
 
-def test_labeller_on_held_out_pages():
+def held_out(model, n: int = 150) -> float:
+    """Share of blocks that are labelled right on invented pages of another seed."""
     rng = np.random.default_rng(99)
-    made = [html_text.invented(rng) for _ in range(150)]
+    made = [html_text.invented(rng) for _ in range(n)]
     cut = [html_text.blocks(page) for page, _ in made]
     truth = np.array([any(w.rstrip(".,") in own for w in text.split()) for (_, own), (found, _) in zip(made, cut) for text in found])
-    assert (html_text.train().labels(*html_text.vectors(cut)) == truth).mean() > 0.97
+    return (model.labels(*html_text.vectors(cut)) == truth).mean()
+
+
+def test_stored_labeller_on_held_out_pages():
+    with np.load(html_text.STORED) as held:
+        assert int(held["version"]) == html_text.VERSION
+    assert held_out(html_text.labeller()) > 0.98
+
+
+def test_training_gives_a_labeller():
+    assert held_out(html_text.train(300, 8)) > 0.93
 
 
 def test_lstm_gradient_against_differences():

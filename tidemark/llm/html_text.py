@@ -6,8 +6,10 @@ path, hashed words of its text and a few measures; a bidirectional LSTM in numpy
 sequence and labels every block as article or not. Scripts, styles, comments of the markup and what
 a browser never shows as text are no blocks.
 
-The labeller is trained here, on the driver, on n_train invented pages whose layouts, class names
-and words vary at random (train()); its weights, well under a megabyte, are broadcast. Nothing is
+The labeller is trained by train() on n_train invented pages whose layouts, class names and words
+vary at random. `python -m tidemark.llm.html_text` does so and stores the weights, well under a
+megabyte, beside this file with a version that stands for the vectors they fit; labeller() reads
+them, or trains anew where they are missing or of another version. They are broadcast. Nothing is
 learned from the pages it labels.
 
 Reading a page takes time in proportion to its length, whatever it holds: a '<' that begins no tag
@@ -28,6 +30,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -69,10 +72,10 @@ def _named(rest: str) -> tuple[int, ...]:
 
 
 _named_short = functools.lru_cache(50_000)(_named)
-Path = tuple[frozenset, frozenset, int, int]
+BlockPath = tuple[frozenset, frozenset, int, int]
 
 
-def blocks(page: str) -> tuple[list[str], list[Path]]:
+def blocks(page: str) -> tuple[list[str], list[BlockPath]]:
     """Text of each block; tags and attribute words on its path, its depth and characters inside links."""
     # each open element with the tags and words of the whole path down to it
     stack: list[tuple[str, frozenset, frozenset]] = []
@@ -166,7 +169,7 @@ def blocks(page: str) -> tuple[list[str], list[Path]]:
     return out, paths
 
 
-def vectors(pages: list[tuple[list[str], list[Path]]]) -> tuple[np.ndarray, np.ndarray]:
+def vectors(pages: list[tuple[list[str], list[BlockPath]]]) -> tuple[np.ndarray, np.ndarray]:
     """A vector for each block of all pages, and the number of blocks before each page."""
     every = [t for ts, _ in pages for t in ts]
     paths = [p for _, ps in pages for p in ps]
@@ -427,9 +430,30 @@ def train(n_train: int = 700, epochs: int = 20, seed: int = 3, rate: float = 0.0
     return model
 
 
-def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", n_train: int = 700) -> DataFrame:
+STORED = Path(__file__).with_name("html_labeller.npz")
+#: Changes whenever a block's vector means something else, or the network has another shape.
+VERSION = zlib.crc32(repr((1, TAGS, PATH_WORDS, TEXT_WORDS, MEASURES, HIDDEN)).encode())
+
+
+@functools.lru_cache(1)
+def labeller() -> Labeller:
+    """The stored labeller, or one trained now."""
+    if STORED.exists():
+        with np.load(STORED) as held:
+            if int(held["version"]) == VERSION:
+                model = Labeller()
+                model.w = {k: held[k] for k in model.w}
+                return model
+    return train()
+
+
+def store(n_train: int = 6000) -> None:
+    np.savez_compressed(STORED, version=VERSION, **train(n_train).w)
+
+
+def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", model: Labeller | None = None) -> DataFrame:
     """id, text, n_chars and n_blocks (of the page, article or not) of every page."""
-    sent = pages.sparkSession.sparkContext.broadcast(train(n_train))
+    sent = pages.sparkSession.sparkContext.broadcast(model or labeller())
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,3 +475,7 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "htm
 
 def query(spark, sf_dir: str) -> DataFrame:
     return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("n_blocks")
+
+
+if __name__ == "__main__":
+    store()
