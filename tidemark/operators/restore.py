@@ -33,25 +33,39 @@ def with_parents(versions: DataFrame) -> DataFrame:
     return versions.withColumns({"number": F.row_number().over(w), "parent": F.lag("version").over(w)})
 
 
+#: Steps from which on chains are searched for versions that they hold twice.
+FAR = 64
+
+
 def chains(versions: DataFrame, start: DataFrame) -> DataFrame:
     """start, version, depth: the parents of each start version, itself included, to a root.
 
     A chain that meets a version it already holds (a cycle) ends there; length doesn't matter. By
-    pointer doubling: a round knows the ancestor 2^k steps up of every version and doubles all
-    chains, so the number of joins is the logarithm of the longest chain.
+    pointer doubling: a round knows the ancestor 2^k steps up of every version that has one and
+    doubles all chains, so the number of joins is the logarithm of the longest chain. Only chains of
+    FAR steps and more can go round a cycle unseen for long; from there on repeats are dropped.
     """
     up = stored(versions.filter("parent is not null").select("version", "parent"), "parents")
     own = start.join(versions.select("version"), "version", "left_semi").select("version").distinct()
-    out, n, step = stored(own.select(F.col("version").alias("start"), "version", F.lit(0).cast("long").alias("depth")), "chains"), -1, 1
-    while (now := out.count()) != n:
-        n = now
-        further = out.join(up, "version").select("start", F.col("parent").alias("version"), (F.col("depth") + step).alias("depth"))
-        longer = stored(out.unionByName(further).groupBy("start", "version").agg(F.min("depth").alias("depth")), "chains")
+    out = stored(own.select(F.col("version").alias("start"), "version", F.lit(0).alias("depth")), "chains")
+    pieces, n, step = [out], -1, 1
+    while up.count():
+        # the further half of each chain, below it what is known
+        part = out.join(up, "version").select("start", F.col("parent").alias("version"), (F.col("depth") + step).alias("depth"))
+        if step < FAR:
+            pieces.append(stored(part, "chains"))
+            out = out.unionByName(pieces[-1])
+        else:
+            whole = stored(out.unionByName(part).groupBy("start", "version").agg(F.min("depth").alias("depth")), "chains")
+            for old in pieces:
+                deleted(old)
+            out, pieces, last, n = whole, [whole], n, whole.count()
+            if n == last:
+                break
         twice = stored(up.join(up.select(F.col("version").alias("parent"), F.col("parent").alias("_p")), "parent").select("version", F.col("_p").alias("parent")), "parents")
-        deleted(out)
         deleted(up)
-        out, up, step = longer, twice, step * 2
-    return out.select("start", "version", F.col("depth").cast("int").alias("depth"))
+        up, step = twice, step * 2
+    return out
 
 
 def chain_verdicts(chain: DataFrame, readable: DataFrame) -> DataFrame:
