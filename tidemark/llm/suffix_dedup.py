@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import freed, written
 from .words import STEP, eights, mixed, pieces, ragged, run_hashes, run_words, texts
 
-LENGTH, GRAM, BLOCK, NO_ID = 50, 16, 1 << 21, 2**63 - 1
+LENGTH, GRAM, NO_ID = 50, 16, 2**63 - 1
+#: Bytes of text in a piece, within which equal segments count once, and in the stretches that are hashed at a time.
+PIECE, BLOCK = 1 << 21, 1 << 19
 #: The table of bytes by minimizer: 2^20 cells in parts of 2^14.
 CELL_BITS, PART_BITS = 20, 14
 SEGMENTS, SPANS, DOCS = range(3)
@@ -120,7 +122,7 @@ def heavy_cells(docs: DataFrame, length: int, heavy_bytes: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << CELL_BITS, np.int64)
         for whole in batches:
-            for batch in pieces(whole, "_text", BLOCK):
+            for batch in pieces(whole, "_text", PIECE):
                 _, _, size, _, deal, _ = segments(*texts(batch.column("_text")), length, keyed=False)
                 total += np.bincount(cells(deal), weights=size, minlength=len(total)).astype(np.int64)
         for part, sums in enumerate(total.reshape(-1, 1 << PART_BITS)):
@@ -189,7 +191,7 @@ def cut_up(docs: DataFrame, length: int, n_buckets: int, heavy: np.ndarray) -> D
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press, heavy = zstandard.ZstdCompressor(level=1), np.unpackbits(sent.value).astype(bool)
         for whole in batches:
-            for batch in pieces(whole, "_text", BLOCK):
+            for batch in pieces(whole, "_text", PIECE):
                 run, offsets = texts(batch.column("_text"))
                 ids = batch.column("_id").to_numpy(zero_copy_only=False)
                 marks = batch.column("_mark").to_numpy(zero_copy_only=False)
