@@ -213,6 +213,7 @@ def cut_up(docs: DataFrame, length: int, n_buckets: int, heavy: np.ndarray) -> D
                         used, own = np.unique(doc[pick], return_inverse=True)
                         rows.append((k, piece, SEGMENTS, packed(used, ids[used], own, start[pick], size[pick], at[pick]), press.compress(run[ragged(first[pick], size[pick])].tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "piece", "kind", "facts", "text"])
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(cut, "bucket long, piece long, kind int, facts binary, text binary")
 
@@ -363,8 +364,8 @@ def found_in(table: pa.Table, length: int, most: int) -> pa.Table:
     doc, start, count = [], [], []
     if len(sizes):
         places = np.cumsum(sizes) - sizes
-        words = eight(run)
-        group, _ = by_key(mixed(words[places + at] * STEP ^ mixed(words[places + at + 8] + STEP)), ids)
+        view = eights(run, ">")  # only what is asked for becomes numbers
+        group, _ = by_key(mixed(view[places + at].astype(np.uint64) * STEP ^ mixed(view[places + at + 8].astype(np.uint64) + STEP)), ids)
         low, high = np.full(int(group.max()) + 1, NO_ID, np.int64), np.full(int(group.max()) + 1, -(2**63), np.int64)
         np.minimum.at(low, group, ids)
         np.maximum.at(high, group, ids)
