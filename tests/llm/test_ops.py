@@ -394,6 +394,20 @@ def test_ratio_against_a_plain_count():
     assert np.allclose(quality.log_ratios(counts)[0, :3], np.log((counts[2, :3] + 3 * raw[:3]) / 6) - np.log(raw[:3]))
 
 
+def test_quality_uses_all_labels_and_finds_exact_quantiles(spark):
+    n = 50_200  # more than the labels that an earlier form took of each kind
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('trusted w', id % 7) AS text")
+    marks = quality.labelled(docs.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    counts = quality.bucket_counts(docs.selectExpr("doc_id AS _id", "text AS _text"), marks)
+    assert (counts[0] == counts[1] + counts[2]).all() and counts[0].sum() == 3 * n
+    rng = np.random.default_rng(3)
+    for values in (rng.normal(size=20_000) ** 9, np.repeat([0.5, -1.0, 2.0], 3000), np.array([4.0])):
+        scores = spark.createDataFrame([(float(x),) for x in values], "score double")
+        for q in (0.0, 0.01, 0.5, 1.0):
+            assert np.isclose(quality.quantile_of(scores, q), np.quantile(values, q), rtol=1e-12, atol=0)
+    assert quality.quantile_of(scores.limit(0), 0.5) is None
+
+
 def test_url_filter_drops_false_hits_and_takes_the_longest(spark):
     bloom = url_filter.BlockedBloom.of(spark.range(500).select(F.xxhash64("id").alias("h")), 12, 1 << 20)
     inside, outside = (spark.range(a, b).select(F.xxhash64("id").alias("h")).toPandas().h.to_numpy() for a, b in ((0, 500), (500, 20_500)))
