@@ -31,3 +31,10 @@ def test_scans_read_what_is_asked_for(spark):
 def test_placement_shuffles_nothing(spark):
     text = plan(catalog.QUERIES["replica_placement"](spark, SF))
     assert "hashpartitioning" not in text and "Window" not in text
+
+
+@pytest.mark.parametrize("name", ["orphan_chunks", "gc_candidates"])
+def test_references_are_distinct_before_they_meet_chunks(spark, name):
+    df = catalog.QUERIES[name](spark, SF)
+    text = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[(l_partkey|chunk)#\d+L?\]", text) and "Join Inner" not in text

@@ -18,8 +18,11 @@ def missing(refs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def orphans(refs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Stored chunks that nothing refers to."""
-    return chunks.join(refs, "chunk", "left_anti").select("chunk", "stored_size")
+    """Stored chunks that nothing refers to, with all their columns.
+
+    References are made distinct before the join, with partial sums: tasks hold chunks, not references.
+    """
+    return chunks.join(refs.select("chunk").distinct(), "chunk", "left_anti")
 
 
 def version_health(refs: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -63,7 +66,7 @@ def removed(index: DataFrame, dropped: DataFrame) -> DataFrame:
 
 def gc_candidates(refs: DataFrame, chunks: DataFrame, immutable: DataFrame) -> DataFrame:
     """Orphans by bucket that may go: bucket, chunks, freed_bytes. Chunks listed in immutable (chunk) stay."""
-    free = orphans(refs, chunks).join(immutable.select("chunk"), "chunk", "left_anti").join(chunks.select("chunk", "bucket"), "chunk")
+    free = orphans(refs, chunks).join(immutable.select("chunk").distinct(), "chunk", "left_anti")
     return free.groupBy("bucket").agg(F.count("*").alias("chunks"), F.sum("stored_size").cast("long").alias("freed_bytes"))
 
 

@@ -178,7 +178,7 @@ def missing_chunks(spark, d):
 
 @query(oracle("v_refs", "v_chunks", body="SELECT chunk, stored_size FROM v_chunks WHERE chunk NOT IN (SELECT chunk FROM v_refs)"))
 def orphan_chunks(spark, d):
-    return reconcile.orphans(v.refs(spark, d), v.chunks(spark, d))
+    return reconcile.orphans(v.refs(spark, d), v.chunks(spark, d)).select("chunk", "stored_size")
 
 
 @query(oracle("v_refs", "v_chunks", body="SELECT version, count(*)::BIGINT AS refs, count_if(c.chunk IS NULL)::BIGINT AS missing, count_if(c.chunk IS NULL) = 0 AS complete FROM v_refs r LEFT JOIN v_chunks c ON r.chunk = c.chunk GROUP BY version"))
