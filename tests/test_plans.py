@@ -38,3 +38,17 @@ def test_references_are_distinct_before_they_meet_chunks(spark, name):
     df = catalog.QUERIES[name](spark, SF)
     text = df._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[(l_partkey|chunk)#\d+L?\]", text) and "Join Inner" not in text
+
+
+@pytest.mark.parametrize("name", ["refs_set_equality"])
+def test_both_sides_come_from_one_aggregate(spark, name):
+    assert "Join" not in plan(catalog.QUERIES[name](spark, SF))
+
+
+def test_set_equality_with_nulls_and_repeated_pairs(spark):
+    from tidemark.operators import reconcile
+
+    kind = "g long, i long"
+    left, right = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, None), (None, 5)], kind), spark.createDataFrame([(1, 1), (2, None), (None, 5), (3, 7)], kind)
+    got = {r.g: (r.only_left, r.only_right, r.equal) for r in reconcile.set_equality(left, right, "g", "i").collect()}
+    assert got == {1: (1, 0, False), 2: (1, 1, False), 3: (0, 1, False), None: (1, 1, False)}

@@ -78,11 +78,16 @@ def reclaimable(refs: DataFrame, deleted: DataFrame, in_use: DataFrame | None =
 
 
 def set_equality(left: DataFrame, right: DataFrame, group: str, item: str) -> DataFrame:
-    """group, only_left, only_right, equal for two tables of (group, item)."""
-    a, b = (x.select(group, item).distinct().withColumn(n, F.lit(True)) for x, n in ((left, "_a"), (right, "_b")))
-    rows = a.join(b, [group, item], "full_outer").groupBy(group)
-    only = lambda c: F.count_if(F.col(c).isNull())
-    return rows.agg(only("_b").alias("only_left"), only("_a").alias("only_right"), (only("_a") + only("_b") == 0).alias("equal"))
+    """group, only_left, only_right, equal for two tables of (group, item).
+
+    Both tables meet in one aggregate instead of two and a join: a task holds each pair once. As in a
+    join, pairs with a null are equal to none.
+    """
+    side = lambda x, k: x.select(group, item, F.lit(k).alias("_side"))
+    alone = F.when(F.col(group).isNull() | F.col(item).isNull(), F.col("_side")).otherwise(F.lit(0)).alias("_alone")
+    pairs = side(left, 1).unionByName(side(right, 2)).groupBy(group, item, alone).agg(F.bit_or("_side").alias("_in"))
+    only = lambda k: F.count_if(F.col("_in") == k)
+    return pairs.groupBy(group).agg(only(1).alias("only_left"), only(2).alias("only_right"), (only(1) + only(2) == 0).alias("equal"))
 
 
 def damage(refs: DataFrame, chunks: DataFrame, manifest: DataFrame, broken: DataFrame | None = None) -> DataFrame:
