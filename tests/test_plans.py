@@ -40,7 +40,7 @@ def test_references_are_distinct_before_they_meet_chunks(spark, name):
     assert re.search(r"Aggregate \[(l_partkey|chunk)#\d+L?\]", text) and "Join Inner" not in text
 
 
-@pytest.mark.parametrize("name", ["refs_set_equality"])
+@pytest.mark.parametrize("name", ["refs_set_equality", "manifest_conversion"])
 def test_both_sides_come_from_one_aggregate(spark, name):
     assert "Join" not in plan(catalog.QUERIES[name](spark, SF))
 

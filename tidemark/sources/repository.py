@@ -167,15 +167,15 @@ def pending(staged: DataFrame, versions: DataFrame) -> DataFrame:
 COMPAT_FILES = "ARRAY<STRUCT<name: STRING, length: LONG, modified: LONG, blocks: ARRAY<STRING>>>"
 
 
-def to_compat(manifests: DataFrame) -> DataFrame:
-    """Manifests in the form of the compatible repository: ids as text, files renamed, refs the distinct chunks in order."""
+def to_compat(manifests: DataFrame, *keep: str) -> DataFrame:
+    """Manifests in the form of the compatible repository: ids as text, files renamed, refs the distinct chunks in order; columns of keep go along."""
     files = F.transform("files", lambda f: F.struct(f["path"].alias("name"), f["size"].alias("length"), f["mtime"].alias("modified"), f["chunks"].alias("blocks")))
     refs = F.array_sort(F.array_distinct(F.flatten(F.transform("files", lambda f: f["chunks"]))))
-    return manifests.select(F.col("version_id").cast("string").alias("version"), F.col("ts").alias("created"), files.cast(COMPAT_FILES).alias("entries"), refs.alias("refs"))
+    return manifests.select(F.col("version_id").cast("string").alias("version"), F.col("ts").alias("created"), files.cast(COMPAT_FILES).alias("entries"), refs.alias("refs"), *keep)
 
 
-def from_compat(compat: DataFrame) -> DataFrame:
-    """The other way; a version that is no number is an error."""
+def from_compat(compat: DataFrame, *keep: str) -> DataFrame:
+    """The other way; a version that is no number is an error. Columns of keep go along."""
     files = F.transform("entries", lambda e: F.struct(e["name"].alias("path"), e["length"].alias("size"), e["modified"].alias("mtime"), e["blocks"].alias("chunks")))
     number = F.coalesce(F.expr("try_cast(version AS BIGINT)"), F.raise_error(F.concat(F.lit("no version: "), F.coalesce("version", F.lit("null")))).cast("long"))
-    return compat.select(number.alias("version_id"), F.col("created").alias("ts"), files.alias("files"))
+    return compat.select(number.alias("version_id"), F.col("created").alias("ts"), files.alias("files"), *keep)
