@@ -52,3 +52,7 @@ def test_set_equality_with_nulls_and_repeated_pairs(spark):
     left, right = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, None), (None, 5)], kind), spark.createDataFrame([(1, 1), (2, None), (None, 5), (3, 7)], kind)
     got = {r.g: (r.only_left, r.only_right, r.equal) for r in reconcile.set_equality(left, right, "g", "i").collect()}
     assert got == {1: (1, 0, False), 2: (1, 1, False), 3: (0, 1, False), None: (1, 1, False)}
+
+
+def test_hash_levels_number_references_once(spark):
+    assert catalog.QUERIES["hash_levels"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1

@@ -91,26 +91,35 @@ def sample(rows: DataFrame, key: str, ratio: float, seed: int = 0) -> DataFrame:
     return hashed.filter(F.col("_h") < low).unionByName(rest).drop("_h")
 
 
+def _hash_of(order: str, digest: str) -> Column:
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda e: e[digest])
+    return F.sha2(F.unhex(F.array_join(ordered, "")), 256)
+
+
 def manifest_hashes(entries: DataFrame, group: str, order: str, digest: str) -> DataFrame:
     """A hash of hashes for each group: SHA-256 over the digests (hex) in order.
 
     A group's digests meet in one row, 64 bytes an entry: groups are manifests, whose files or chunks
     one writer has put together.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, digest))), lambda e: e[digest])
-    return entries.groupBy(group).agg(F.count("*").alias("entries"), F.sha2(F.unhex(F.array_join(ordered, "")), 256).alias("manifest_hash"))
+    return entries.groupBy(group).agg(F.count("*").alias("entries"), _hash_of(order, digest).alias("manifest_hash"))
 
 
-def hash_levels(versions: DataFrame, files: DataFrame, refs: DataFrame) -> DataFrame:
+def hash_levels(versions: DataFrame, files: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """version, file_index, chunk_index, manifest, repo: the four hashes of each version.
 
     files: version, ordinal, digest; refs: version, ordinal, digest; versions: version and fields.
+    Where each file is one chunk, refs may be left out: files then has both digests, as file_index
+    and chunk_index, and is gone through once.
     file_index and chunk_index are hashes over the digests in order (of nothing: the empty hash),
     manifest that of the version's fields as JSON with both, repo that of the three others.
     """
-    level = lambda rows, name: manifest_hashes(rows, "version", "ordinal", "digest").select("version", F.col("manifest_hash").alias(name))
+    level = lambda rows, name: rows.groupBy("version").agg(_hash_of("ordinal", "digest").alias(name))
     none = F.sha2(F.lit(b"").cast("binary"), 256)
-    rows = versions.join(level(files, "file_index"), "version", "left").join(level(refs, "chunk_index"), "version", "left")
+    if refs is None:
+        rows = versions.join(files.groupBy("version").agg(*(_hash_of("ordinal", c).alias(c) for c in ("file_index", "chunk_index"))), "version", "left")
+    else:
+        rows = versions.join(level(files, "file_index"), "version", "left").join(level(refs, "chunk_index"), "version", "left")
     rows = rows.withColumns({c: F.coalesce(c, none) for c in ("file_index", "chunk_index")})
     rows = rows.withColumn("manifest", F.sha2(F.to_json(F.struct(*versions.columns, "file_index", "chunk_index")), 256))
     return rows.select("version", "file_index", "chunk_index", "manifest", F.sha2(F.unhex(F.concat("manifest", "file_index", "chunk_index")), 256).alias("repo"))
