@@ -56,3 +56,29 @@ def test_set_equality_with_nulls_and_repeated_pairs(spark):
 
 def test_hash_levels_number_references_once(spark):
     assert catalog.QUERIES["hash_levels"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
+
+
+def test_cuts_follow_the_rolling_sum_from_the_start_of_each_search():
+    import random
+
+    from tidemark.operators import chunking
+
+    def slow(data, least, bits, most):
+        out, at = [], 0
+        while len(data) - at > least:
+            h, end = 0, min(len(data), at + most)
+            cut = end
+            for p in range(at + least, end):
+                h = (2 * h + data[p]) % 2**64
+                if h % 2**bits == 0:
+                    cut = p + 1
+                    break
+            out.append(cut)
+            at = cut
+        return out + [len(data)] * (at < len(data))
+
+    rnd = random.Random(4)
+    for k in range(300):
+        data = bytes(rnd.choice([0, 1, 32, 64, 128, rnd.randrange(256)]) for _ in range(rnd.randrange(3000)))
+        args = rnd.choice([(256, 10, 4096), (16, 4, 64), (1, 0, 5), (5, 1, 40), (10, 6, 10), (3, 20, 500), (2, 8, 2000)])
+        assert chunking.gear_cuts(data, *args) == slow(data, *args)

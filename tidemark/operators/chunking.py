@@ -44,21 +44,30 @@ def fixed_chunks(files: DataFrame, chunk_size: int | Column, *, content: str = "
 def gear_cuts(data: bytes, least: int, mask_bits: int, most: int) -> list[int]:
     """Ends of content-defined chunks: from least bytes on, cut where the last mask_bits bits of the rolling sum are zero.
 
-    The rolling sum h = 2h + byte (64 bits) forgets a byte after 64 steps, so all places are computed
-    at once as a sum of shifted copies, counted from the start of the chunk's search.
+    The rolling sum h = 2h + byte is looked at only in its last mask_bits bits, which forget a byte
+    after as many steps. So all places of the file are computed at once, as a sum of shifted copies;
+    the first mask_bits - 1 of a chunk's search, where the sum is still short, are counted one by one.
     """
-    out, at, n = [], 0, len(data)
-    values = np.frombuffer(data, np.uint8).astype(np.uint64)
+    out, at, n, mask = [], 0, len(data), (1 << mask_bits) - 1
+    h = np.frombuffer(data, np.uint8).astype(np.uint16 if mask_bits <= 16 else np.uint64)
+    step = 1
+    while step < min(mask_bits, n):
+        grown = h.copy()
+        grown[step:] += h[:-step] << h.dtype.type(step)
+        h, step = grown, step * 2
+    hits = np.flatnonzero((h & h.dtype.type(mask)) == 0)
     while n - at > least:
         begin, end = at + least, min(n, at + most)
-        h = values[begin:end].copy()
-        step = 1
-        while step < min(64, len(h)):
-            grown = h.copy()
-            grown[step:] += h[:-step] << np.uint64(step)
-            h, step = grown, step * 2
-        hits = np.flatnonzero((h & np.uint64((1 << mask_bits) - 1)) == 0)
-        cut = begin + int(hits[0]) + 1 if len(hits) else end
+        cut, short, full = end, 0, begin + max(mask_bits - 1, 0)
+        for place in range(begin, min(full, end)):
+            short = (2 * short + data[place]) & mask
+            if short == 0:
+                cut = place + 1
+                break
+        else:
+            k = int(np.searchsorted(hits, full))
+            if k < len(hits) and hits[k] < end:
+                cut = int(hits[k]) + 1
         out.append(cut)
         at = cut
     if at < n:
@@ -74,12 +83,19 @@ def content_chunks(files: DataFrame, *, least: int, average: int, most: int, con
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
+        names = ["ordinal", "offset", "chunk_bytes", "hash"]
         for pdf in batches:
+            rows, owners, n = [[], [], [], []], [], []
             for name, data in zip(pdf[key], pdf[content]):
                 if data:
                     ends = gear_cuts(bytes(data), least, bits, most)
                     starts = [0, *ends[:-1]]
-                    yield pd.DataFrame({key: name, "ordinal": range(len(ends)), "offset": starts, "chunk_bytes": np.diff([0, *ends]), "hash": [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(starts, ends)]})
+                    owners.append(name)
+                    n.append(len(ends))
+                    for column, values in zip(rows, (range(len(ends)), starts, [b - a for a, b in zip(starts, ends)], [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(starts, ends)])):
+                        column.extend(values)
+            if owners:
+                yield pd.DataFrame({key: pd.Series(owners).repeat(n).to_numpy(), **dict(zip(names, rows))})
 
     return files.select(key, content).mapInPandas(run, f"{key} {kind}, ordinal long, offset long, chunk_bytes long, hash string")
 
