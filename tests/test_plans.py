@@ -58,6 +58,10 @@ def test_hash_levels_number_references_once(spark):
     assert catalog.QUERIES["hash_levels"](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
 
 
+def test_cron_days_are_made_for_each_day_and_not_for_each_row(spark):
+    assert "BroadcastHashJoin" in plan(catalog.cron_next(spark, SF))
+
+
 def test_cuts_follow_the_rolling_sum_from_the_start_of_each_search():
     import random
 

@@ -44,21 +44,26 @@ def cron_field(text: str, low: int, high: int) -> list[int]:
 def cron_next(rows: DataFrame, expression: str, now: str, name: str = "next_run", days: int = 366) -> DataFrame:
     """rows with the first minute after the column now that fits expression, null if none does in so many days.
 
-    Day of month and day of week must both fit. Days are pruned first; minutes are looked at only
-    within days that fit.
+    Day of month and day of week must both fit. The next two days that fit are looked up for each
+    distinct day of now, so the calendar bounds that table, which is broadcast; a row takes a time of
+    the first of them that is still ahead, else the first time of the second.
     """
     fields = expression.split()
     if len(fields) != 5:
         raise ValueError("minute, hour, day, month, weekday")
     minutes, hours, dom, months, dow = (cron_field(f, a, b) for f, (a, b) in zip(fields, ((0, 59), (0, 23), (1, 31), (1, 12), (0, 6))))
     start = F.date_trunc("DAY", F.col(now)).cast("timestamp_ntz")
-    every = F.transform(F.sequence(F.lit(0), F.lit(days)), lambda d: start + F.make_dt_interval(days=d))
+    every = F.transform(F.sequence(F.lit(0), F.lit(days)), lambda d: F.col("_day") + F.make_dt_interval(days=d))
     fit = F.filter(every, lambda d: F.dayofmonth(d).isin(dom) & F.month(d).isin(months) & (F.dayofweek(d) - 1).isin(dow))
-    times = F.array(*(F.lit(h * 60 + m) for h in hours for m in minutes))
-    # all moments of the first two fitting days: the first may lie before now, the second cannot
-    moments = F.flatten(F.transform(F.slice(fit, 1, 2), lambda d: F.transform(times, lambda t: d + F.make_dt_interval(mins=t))))
+    calendar = rows.select(start.alias("_day")).distinct().select("_day", F.slice(fit, 1, 2).alias("_fit")).select("_day", F.get("_fit", F.lit(0)).alias("_first"), F.get("_fit", F.lit(1)).alias("_second"))
+    times = sorted(h * 60 + m for h in hours for m in minutes)
+    after = F.array(*(F.lit(next((t for t in times if t > m), None)).cast("int") for m in range(24 * 60)))
+    today = F.get(after, F.hour(now) * 60 + F.minute(now))
+    moment = lambda d, t: d + F.make_dt_interval(mins=t)
+    first = F.when(F.col("_first") == F.col("_day"), moment(F.col("_first"), today)).otherwise(moment(F.col("_first"), F.lit(times[0])))
+    found = F.coalesce(first, moment(F.col("_second"), F.lit(times[0])))
     end = F.col(now) + F.make_dt_interval(F.lit(days))
-    return rows.withColumn(name, F.array_min(F.filter(moments, lambda t: (t > F.col(now)) & (t <= end))))
+    return rows.withColumn("_at", start).join(F.broadcast(calendar), F.col("_at") == F.col("_day"), "left").select(*(x for x in rows.columns if x != name), F.when(found <= end, found).alias(name))
 
 
 def due(next_at: Column, now: Column) -> Column:
