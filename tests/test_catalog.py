@@ -49,6 +49,41 @@ def test_alerts_read_a_folder_of_part_files(spark, in_parts):
     assert catalog.stream_alerts(spark, in_parts).count() > 0
 
 
+def test_alerts_are_whole_however_files_overlap_in_time(spark, con, in_parts):
+    assert rows(catalog.stream_alerts(spark, in_parts).toPandas()) == rows(con.execute(catalog.ORACLE_SQL["stream_alerts"]).df())
+
+
+def test_alerts_carry_the_last_fired_from_batch_to_batch(spark, con, tmp_path):
+    import os
+
+    import pyarrow.parquet as pq
+
+    from tidemark.operators import fleet
+    from tidemark.streaming import jobs
+
+    events = pq.read_table(f"{SF}/events.parquet").sort_by("ts")
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(4):
+        name = str(tmp_path / f"events.parquet/{k}.parquet")
+        pq.write_table(events.slice(k * len(events) // 4, (k + 1) * len(events) // 4 - k * len(events) // 4), name)
+        os.utime(name, (1e9 + 60 * k, 1e9 + 60 * k))
+    table = spark.createDataFrame(catalog.RULES, "rule string, severity string, metric string, op string, threshold double, enabled boolean, suppress_s int")
+    matches = fleet.alert_matches(jobs.samples(spark, str(tmp_path), 1), table).select("rule", "device", "ts", "suppress_s")
+    out, log = f"file://{tmp_path}/out", f"file://{tmp_path}/log"
+    for _ in range(2):  # a second start finds nothing new
+        jobs.suppressed(matches, out, log).awaitTermination()
+    got = spark.read.parquet(out)
+    assert got.agg(F.countDistinct("batch")).first()[0] == 4 and sorted(os.listdir(tmp_path / "log/last"))[-2:] == ["2", "3"]
+    assert rows(got.select("rule", "device", "ts").toPandas()) == rows(con.execute(catalog.ORACLE_SQL["stream_alerts"]).df())
+
+
+def test_matches_without_a_time_never_fire(spark):
+    from tidemark.operators import fleet
+
+    asks = spark.sql("SELECT * FROM VALUES ('r', 1L, NULL, 60), ('r', 1L, TIMESTAMP_NTZ '2024-01-01 00:00:00', 60), ('r', 2L, NULL, 60) AS t(rule, device, ts, suppress_s)")
+    assert [(r.device, str(r.ts)) for r in fleet.fired(asks).collect()] == [(1, "2024-01-01 00:00:00")]
+
+
 def test_contents_defined_chunks_cover_each_file(spark):
     from tidemark.sources import views
 

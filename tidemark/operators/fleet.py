@@ -74,6 +74,7 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, step
     """rows by key in order, a stretch at a time: step(key, stretch, state) gives what comes out and the state for the key's next stretch.
 
     state is None at a key's start. A key may have any number of rows: tasks hold a batch and a state.
+    What comes out of a batch leaves as one batch, as keys with few rows are many.
     """
     names = rows.columns
 
@@ -87,26 +88,31 @@ def folded(rows: DataFrame, keys: list[str], order: list[str], schema: str, step
             for c in columns:
                 codes = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
                 new[1:] |= codes[1:] != codes[:-1]
-            cuts = np.concatenate([[0], np.flatnonzero(new), [len(batch)]])
+            cuts, parts = np.concatenate([[0], np.flatnonzero(new), [len(batch)]]), []
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
                 key = tuple(c[a].as_py() for c in columns)
                 state = state if key == last else None
                 out, state = step(key, batch.slice(a, b - a), state)
                 last = key
                 if out is not None:
-                    yield out
+                    parts.append(out)
+            if parts:
+                yield from pa.Table.from_batches(parts).combine_chunks().to_batches()
 
     return rows.select(names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
-def fired(matches: DataFrame) -> DataFrame:
+def fired(matches: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """rule, device, ts of the matches that fire: the first, and each first one suppress_s or more after the last that fired.
 
     The time of the last one fired is all that a (rule, device) carries on; any number of matches will do.
+    before has such times of earlier matches (rule, device, ts), one for each (rule, device) at most.
     """
 
     def step(key: tuple, part: pa.RecordBatch, last: int | None) -> tuple[pa.RecordBatch | None, int | None]:
-        times, gap = part.column("us").to_numpy(), int(part.column("suppress_s")[0].as_py()) * 1_000_000
+        times, gap = part.column("us").to_numpy(), int(part.column("suppress_s")[len(part) - 1].as_py()) * 1_000_000
+        if not part.column("fresh")[0].as_py():
+            last, times = int(times[0]), times[1:]
         at, hits = (0 if last is None else int(np.searchsorted(times, last + gap))), []
         while at < len(times):
             hits.append(at)
@@ -116,8 +122,11 @@ def fired(matches: DataFrame) -> DataFrame:
         us = times[hits]
         return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(us), pa.string()), pa.array([key[1]] * len(us), pa.int64()), pa.array(us, pa.int64())], names=["rule", "device", "us"]), int(us[-1])
 
-    slim = matches.select("rule", F.col("device").cast("long").alias("device"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("suppress_s").cast("long").alias("suppress_s"))
-    out = folded(slim, ["rule", "device"], ["us"], "rule string, device long, us long", step)
+    slim = lambda df, gap, fresh: df.select("rule", F.col("device").cast("long").alias("device"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), gap.cast("long").alias("suppress_s"), F.lit(fresh).alias("fresh"))
+    rows = slim(matches.filter("ts IS NOT NULL"), F.col("suppress_s"), True)
+    if before is not None:
+        rows = rows.unionByName(slim(before, F.lit(0), False))
+    out = folded(rows, ["rule", "device"], ["fresh", "us"], "rule string, device long, us long", step)
     return out.select("rule", "device", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"))
 
 

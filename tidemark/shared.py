@@ -37,8 +37,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that no later step reads; one that isn't there is fine."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def deleted(df: DataFrame) -> None:
     """Delete the files of a table from stored() that no later step reads."""
-    jvm, path = df.sparkSession.sparkContext._jvm, df._stored_at
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    removed(df.sparkSession, df._stored_at)

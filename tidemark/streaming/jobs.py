@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import redact
-from ..operators.fleet import folded
+from ..operators.fleet import fired, folded
+from ..shared import removed
 
 SAMPLE = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def samples(spark: SparkSession, folder: str, files_per_trigger: int = 8, table: str = "events.parquet") -> DataFrame:
-    """A stream of the table in folder, a file or a folder of part files, files_per_trigger in a batch at most."""
+def samples(spark: SparkSession, folder: str, files_per_trigger: int | None = 8, table: str = "events.parquet") -> DataFrame:
+    """A stream of the table in folder, a file or a folder of part files, files_per_trigger in a batch at most; None: all that is there."""
+    reader = spark.readStream.schema(SAMPLE)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     # as a pattern, since Spark takes a plain path for a folder
-    raw = spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{table[:-1]}[{table[-1]}]")
+    raw = reader.parquet(f"{folder}/{table[:-1]}[{table[-1]}]")
     return raw.select(F.col("event_id").alias("id"), F.col("user_id").alias("device"), F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
@@ -44,35 +44,6 @@ def last_seen(stream: DataFrame) -> DataFrame:
     return stream.groupBy("device").agg(F.max("ts").alias("last_seen"))
 
 
-def suppressed(matches: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """rule, device, ts of matches (rule, device, ts, suppress_s) that fire, with the last one fired as state.
-
-    State is one time a (rule, device), dropped once the watermark is past its suppression.
-    """
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values("ts")
-        last = state.get[0] if state.exists else None
-        fire = []
-        gap = int(rows["suppress_s"].iloc[0]) * 1_000_000
-        for t in rows["ts"]:
-            us = t.value // 1000
-            if last is None or us >= last + gap:
-                last = us
-                fire.append(t)
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(last + gap, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
-        if fire:
-            yield pd.DataFrame({"rule": [key[0]] * len(fire), "device": [key[1]] * len(fire), "ts": fire})
-
-    marked = matches.withWatermark("ts", late)
-    return marked.groupBy("rule", "device").applyInPandasWithState(step, "rule string, device long, ts timestamp", "last_us long", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def new_only(stream: DataFrame, key: str, late: str = "10 minutes") -> DataFrame:
     """Each key once within the watermark."""
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
@@ -93,6 +64,28 @@ def replayed(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
 
 
+def suppressed(matches: DataFrame, path: str, checkpoint: str):
+    """rule, device, ts of matches (rule, device, ts, suppress_s) that fire, of all that is there now, with the last one fired as state.
+
+    Within a batch matches may come in any order and number, and none is dropped as late; one that comes
+    batches after a later one doesn't fire before it. State is one time a (rule, device), a table for each
+    batch, so a batch that is run again gives the same.
+    """
+    kind = "rule string, device long, ts timestamp_ntz"
+    for first in (f"{path}/batch=-1", f"{checkpoint}/last/-1"):
+        matches.sparkSession.createDataFrame([], kind).write.mode("ignore").parquet(first)
+
+    def put(rows: DataFrame, batch: int) -> None:
+        read = rows.sparkSession.read.schema(kind).parquet
+        last = read(f"{checkpoint}/last/{batch - 1}")
+        fired(rows, last).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        new = last.unionByName(read(f"{path}/batch={batch}")).groupBy("rule", "device").agg(F.max("ts").alias("ts"))
+        new.write.mode("overwrite").parquet(f"{checkpoint}/last/{batch}")
+        removed(rows.sparkSession, f"{checkpoint}/last/{batch - 2}")
+
+    return matches.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def ingested(stream: DataFrame) -> DataFrame:
     """Log rows (id, device, level, message, fields) with secrets masked before they reach a sink; fields are kept."""
     return stream.withColumns({"message": redact.redacted(F.col("message")), "fields": redact.redacted_fields(F.col("fields"))})
