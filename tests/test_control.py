@@ -63,6 +63,29 @@ def test_crypto_round_trip(spark, text):
     assert (row.a, row.b, row.c) == (text, None, text)
 
 
+def test_compressed_values_leave_before_the_batch_is_done():
+    import pyarrow as pa
+
+    turned = []
+    parts = crypto._mapped(iter([pa.array([b"x" * (crypto.LEAVES_AT // 2), None] * 4 + [b"y"], pa.binary())]), lambda b: turned.append(1) or b.to_pybytes())
+    first = next(parts)
+    assert len(turned) == 2 and len(first) == 3
+    assert [len(x.as_py() or b"") for x in [*first, *(y for p in parts for y in p)]] == [crypto.LEAVES_AT // 2, 0] * 4 + [1]
+
+
+def test_crypto_round_trip_of_more_than_leaves_at_once(spark):
+    df = spark.range(40, numPartitions=1).withColumn("d", F.when(F.col("id") % 7 != 3, F.repeat(F.concat(F.lit("ab"), "id"), 200_000)).cast("binary"))
+    got = df.select("id", F.sha2("d", 256).alias("a"), F.sha2(crypto.decompressed(crypto.compressed("d")), 256).alias("b")).collect()
+    assert len(got) == 40 and all(r.a == r.b and (r.a is None) == (r.id % 7 == 3) for r in got)
+
+
+def test_round_trip_of_a_file_without_content(spark, tmp_path):
+    from tidemark.plans import catalog
+
+    spark.sql("SELECT * FROM VALUES (1L, 'one', 'en', 's'), (2L, NULL, 'en', 's'), (3L, '', 'en', 's') AS t(doc_id, text, lang, source)").write.parquet(f"file://{tmp_path}/documents.parquet")
+    assert sorted(tuple(r) for r in catalog.chunk_round_trip(spark, str(tmp_path)).collect()) == [(f"s/en/{k}.txt", True, True, True) for k in (1, 2, 3)]
+
+
 def test_scan_of_several_roots_with_rules(spark, tmp_path):
     for name in ("a/x.txt", "a/skip/y.txt", "b/z.txt", "b/z.log"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
@@ -27,18 +29,34 @@ def decrypted(data: Column, key: Column) -> Column:
     return F.try_aes_decrypt(data, key, F.lit("GCM"), F.lit("DEFAULT"))
 
 
-@F.pandas_udf(BinaryType())
-def compressed(data: pd.Series) -> pd.Series:
+#: Bytes after which what has been made of a batch goes on, so that it needn't fit in memory, or in one Arrow array, as a whole.
+LEAVES_AT = 4 << 20
+
+
+def _mapped(batches: Iterator[pa.Array], turn: Callable[[pa.Buffer], bytes]) -> Iterator[pa.Array]:
+    """turn of each value, null for null. Values go through one at a time, and leave in arrays of LEAVES_AT bytes and one value more at most."""
+    for data in batches:
+        done, size = [], 0
+        for value in data:
+            done.append(turn(value.as_buffer()) if value.is_valid else None)
+            size += len(done[-1] or b"")
+            if size >= LEAVES_AT:
+                yield pa.array(done, pa.binary())
+                done, size = [], 0
+        if done:
+            yield pa.array(done, pa.binary())
+
+
+@F.arrow_udf(BinaryType())
+def compressed(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Zstandard at level 3; null stays null, empty data is allowed."""
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=3)
-    return data.map(lambda x: None if x is None else press.compress(x))
+    return _mapped(data, zstandard.ZstdCompressor(level=3).compress)
 
 
-@F.pandas_udf(BinaryType())
-def decompressed(data: pd.Series) -> pd.Series:
+@F.arrow_udf(BinaryType())
+def decompressed(data: Iterator[pa.Array]) -> Iterator[pa.Array]:
     import zstandard
 
-    press = zstandard.ZstdDecompressor()
-    return data.map(lambda x: None if x is None else press.decompress(x))
+    return _mapped(data, zstandard.ZstdDecompressor().decompress)

@@ -692,7 +692,7 @@ def chunk_round_trip(spark, d):
     key, digest = F.lit(b"0123456789abcdef0123456789abcdef"), F.sha2("content", 256)
     packed = v.files(spark, d).select("path", "content", crypto.encrypted(F.col("content"), key, digest).alias("e"), crypto.compressed("content").alias("z"))
     torn = F.concat(F.col("e"), F.lit(b"x").cast("binary"))
-    return packed.select("path", (crypto.decrypted(F.col("e"), key) == F.col("content")).alias("same"), crypto.decrypted(torn, key).isNull().alias("tampered_is_null"), (crypto.decompressed("z") == F.col("content")).alias("unpacked"))
+    return packed.select("path", crypto.decrypted(F.col("e"), key).eqNullSafe(F.col("content")).alias("same"), crypto.decrypted(torn, key).isNull().alias("tampered_is_null"), crypto.decompressed("z").eqNullSafe(F.col("content")).alias("unpacked"))
 
 
 @query(oracle("v_files", body="SELECT path AS key FROM v_files WHERE starts_with(path, 'src1') AND path > 'src11/' ORDER BY path LIMIT 25"))
